@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .simhash import op8_simhash
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op3_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op8_simhash": op8_simhash,
 }
 SQL: dict[str, str] = {}
