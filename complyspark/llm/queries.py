@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op5_packing
 from .simhash import op8_simhash
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op3_suffix_dedup
@@ -13,6 +14,7 @@ from .suffix_dedup import op3_suffix_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_packing": op5_packing,
     "op8_simhash": op8_simhash,
 }
 SQL: dict[str, str] = {}
