@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op9_mixing
 from .packing import op5_packing
 from .simhash import op8_simhash
 from .substring_dedup import op2_substring_dedup
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_packing": op5_packing,
     "op8_simhash": op8_simhash,
+    "op9_mixing": op9_mixing,
 }
 SQL: dict[str, str] = {}
