@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op9_mixing
 from .packing import op5_packing
+from .secrets import SQL as SECRETS_SQL
+from .secrets import op6_secrets
 from .simhash import op8_simhash
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op3_suffix_dedup
@@ -16,7 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_secrets": SECRETS_SQL}
