@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,5 +70,3 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeats(docs).drop("kept_text")
 
-
-__all__ = ["factor_spans", "np", "op2_substring_dedup", "remove_repeats"]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, U64, Rolling, chunks, cut, discard, keyed, mix, release, signed, utf8, word_bounds, word_hashes
+from .common import BYTE_CODES, U64, Rolling, chunks, cut, discard, release, signed, utf8, word_bounds, word_hashes
 
 POS = (1 << 24) - 1
 SEGMENT = 1 << 20
@@ -180,16 +180,19 @@ def repeated(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
     the rows: counts are pre-aggregated, and what joins back is one row a run."""
     spark = docs.sparkSession
     scan = cut(docs.mapInArrow(_scan(shape), RUNS))
-    local = scan.mapInArrow(_locally, RUNS + ", m long")
+    names = cut(scan.select("name").groupBy("name").count().filter("count > 1").select("name"))
+    release(spark)
+    hits = cut(scan.join(names, "name", "left_semi").select(*scan.columns))
+    discard(scan, names)
+    release(spark)
     contexts = cut(
-        local.groupBy("name", "ctx")
+        hits.mapInArrow(_locally, RUNS + ", m long")
+        .groupBy("name", "ctx")
         .agg(F.sum("m").alias("m"), F.min(F.struct("_id", "_k", "s1")).alias("f"), F.max("n").alias("n"))
         .select("name", "ctx", "m", "f._id", "f._k", "f.s1", "n")
     )
-    release(spark)
     several = contexts.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
-    one = contexts.join(several, "name", "left_semi")
-    reps = cut(one)
+    reps = cut(contexts.join(several, "name", "left_semi"))
     release(spark)
     # windows of representatives, where one name has several contexts
     wanted = reps.groupBy("_id", "_k").agg(F.collect_list(F.struct("name", "s1", "n")).alias("at"))
@@ -202,13 +205,13 @@ def repeated(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
     back = back.select("_id", "_k", "s", F.lit(1).alias("n"))
     # whole runs whose context is elsewhere too
     known = contexts.filter("m > 1").select("name", "ctx", F.struct("_id", "_k", "s1").alias("f"))
-    whole = scan.join(known, ["name", "ctx"])
+    whole = hits.join(known, ["name", "ctx"])
     if keep_first:
         whole = whole.filter(F.struct("_id", "_k", "s1") != F.col("f"))
     whole = whole.select("_id", "_k", F.col("s1").alias("s"), "n")
     out = cut(whole.unionByName(back).groupBy("_id", "_k").agg(F.collect_list(F.struct("s", "n")).alias("spans")))
     release(spark)
-    discard(scan, contexts, reps, windows)
+    discard(hits, contexts, reps, windows)
     return out
 
 
@@ -236,5 +239,3 @@ def span_lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = col.flatten()
     return np.append(0, np.cumsum(size)), flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
 
-
-__all__ = ["Shape", "chunks", "covered", "keyed", "mix", "repeated", "runs", "span_lists", "with_spans"]
