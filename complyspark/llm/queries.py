@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import op1_fingerprints
 from .mixing import op9_mixing
 from .packing import op5_packing
 from .secrets import SQL as SECRETS_SQL
@@ -15,6 +16,7 @@ from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op3_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_packing": op5_packing,
