@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op4_embeddings
 from .fingerprints import op1_fingerprints
 from .mixing import op9_mixing
 from .packing import op5_packing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_embeddings": op4_embeddings,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
     "op8_simhash": op8_simhash,
