@@ -10,6 +10,7 @@ from .embeddings import op4_embeddings
 from .fingerprints import op1_fingerprints
 from .mixing import op9_mixing
 from .packing import op5_packing
+from .quality import op7_quality
 from .secrets import SQL as SECRETS_SQL
 from .secrets import op6_secrets
 from .simhash import op8_simhash
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embeddings": op4_embeddings,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
 }
