@@ -16,6 +16,7 @@ from .secrets import op6_secrets
 from .simhash import op8_simhash
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op3_suffix_dedup
+from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
@@ -27,5 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {"op6_secrets": SECRETS_SQL}
