@@ -79,6 +79,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", *carry: str) -> DataFrame:
     return out.select("_id", (F.row_number().over(Window.partitionBy("_id").orderBy(*order)) - 1).cast("int").alias("_k"), *carry)
 
 
+def keyed_rows(docs: DataFrame, *carry: str) -> DataFrame:
+    """`_id, _k`, `carry` and the whole row as the struct `_row`, whatever its columns are called."""
+    with_row = docs.select("doc_id", *carry, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return keyed(with_row, "doc_id", *carry, "_row")
+
+
 def doc_id() -> F.Column:
     return F.when(F.col("_id") != F.lit(NULL_ID), F.col("_id")).alias("doc_id")
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, discard, doc_id, keyed, release
+from .common import WORD, cut, discard, doc_id, keyed, keyed_rows, release
 
 FAN_IN = 128
 """Documents of a block, about (twice that: at most, but for chance)."""
@@ -128,6 +128,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX
     return out
 
 
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES, seed: int = 9) -> DataFrame:
+    """The rows of `docs`, all columns as they are, each as often as the mix takes it."""
+    take = mix(docs, weights, most, seed).filter("copies > 0").select("_id", "_k", "copies")
+    rows = keyed_rows(docs, "source", "text").select("_id", "_k", "_row").join(take, ["_id", "_k"])
+    return rows.select("_row", F.explode(F.expr("sequence(1, copies)"))).select("_row.*")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select(doc_id(), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

@@ -85,22 +85,25 @@ def _spans(rule: Rule, number: int, asked: Column) -> Column:
     return F.when(asked & F.regexp_like(text, F.lit(rule.pattern)), F.expr(expr)).otherwise(none)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_text: bool = False) -> DataFrame:
-    """`_id, _k, spans` (and `text`) of every row of `docs` (`doc_id`, `text`): spans are
-    (start, rule, end), by start, then rule.
-
-    Null texts count as empty and have no span; repeated rows are rows of their
-    own; other columns are ignored; an empty table gives none."""
-    rows = keyed(docs, "doc_id", "text")
+def _scan(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """`rows` (`_id, _k, text`, others) with `spans`; null texts are read as empty."""
     named = cut(candidates(postings(rows, rules), rules))
-    release(docs.sparkSession)
-    both = rows.join(named, ["_id", "_k"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    release(rows.sparkSession)
+    both = rows.withColumn("_null", F.col("text").isNull()).withColumn("text", F.coalesce("text", F.lit(""))).join(named, ["_id", "_k"], "left")
     parts = []
     for n, r in enumerate(rules):
         indexed = trigram_query(r.pattern) is not None
         parts.append(_spans(r, n, F.coalesce(F.array_contains("rules", n), F.lit(False)) if indexed else F.lit(True)))
-    spans = F.array_sort(F.concat(*parts)).alias("spans")
-    return both.select("_id", "_k", *(["text"] if keep_text else []), spans)
+    return both.withColumn("spans", F.array_sort(F.concat(*parts))).drop("rules")
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """`_id, _k, spans` of every row of `docs` (`doc_id`, `text`): spans are
+    (start, rule, end), by start, then rule.
+
+    Null texts count as empty and have no span; repeated rows are rows of their
+    own; other columns are ignored; an empty table gives none."""
+    return _scan(keyed(docs, "doc_id", "text"), rules).select("_id", "_k", "spans")
 
 
 def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -108,16 +111,29 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rule"] + 1), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """`_id, _k, text, found`: every span (overlapping ones as one) replaced by `mark`."""
-    out = scan(docs, rules, keep_text=True)
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+    """The rows of `docs`, every span in `text` (overlapping ones as one) replaced by
+    `mark`; `n_chars`, where there is such a column, follows. Other columns stay,
+    and so do texts without a span, null ones too."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row")), "doc_id", "text", "_row")
     folded = F.expr(
         f"""aggregate(spans, named_struct('pos', 0, 'parts', cast(array() as array<string>)),
         (a, s) -> if(s.end <= a.pos, a, named_struct('pos', s.end, 'parts',
             if(s.start < a.pos, a.parts, concat(a.parts, array(substring(text, a.pos + 1, s.start - a.pos), '{mark}'))))),
         a -> concat(array_join(a.parts, ''), substring(text, a.pos + 1)))"""
     )
-    return out.select("_id", "_k", F.when(F.size("spans") > 0, folded).otherwise(F.col("text")).alias("text"), F.size("spans").alias("found"))
+    out = _scan(rows, rules).withColumn("text", F.when(F.col("_null"), F.lit(None).cast("string")).when(F.size("spans") > 0, folded).otherwise(F.col("text")))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        own = F.col("_row").getField(c)
+        if c == "n_chars":
+            own = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(own)
+        return own.alias(c)
+
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

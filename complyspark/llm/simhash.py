@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, doc_id, keyed, release, utf8
+from .common import components, cut, discard, doc_id, keyed, keyed_rows, release, utf8
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 
@@ -71,8 +71,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """`_id, _k, fp, component_id`: fingerprint of every whole text of `docs`
-    (`doc_id`, `text`) and the least id of its linked group.
+    """`_id, _k, fp, comp, component_id`: fingerprint of every whole text of `docs`
+    (`doc_id`, `text`), its linked group (least fingerprint) and that group's least id.
 
     Null and wordless texts have fingerprint 0 and link like any other; repeated
     rows are rows of their own with the same group; an empty table gives none."""
@@ -83,12 +83,19 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
     tied = components(links(distinct.select("fp"), distance))
     label = distinct.join(tied, distinct.fp == tied.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("comp"))
     least = label.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = cut(label.join(least, "comp").select("fp", "component_id"))
+    named = cut(label.join(least, "comp").select("fp", "comp", "component_id"))
     release(spark)
     discard(distinct)
     return marks.join(named, "fp")
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of `docs`, all columns as they are, without near copies: of each
+    group the row with the least id (of rows that repeat it, the first by text) stays."""
+    stay = groups(docs, shingle, distance).groupBy("comp").agg(F.min(F.struct("_id", "_k")).alias("s")).select("s._id", "s._k")
+    return keyed_rows(docs, "text").select("_id", "_k", "_row").join(stay, ["_id", "_k"], "left_semi").select("_row.*")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(doc_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

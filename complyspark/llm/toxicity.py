@@ -40,6 +40,7 @@ LONGEST = 48
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
+    "*": "aeiou",
 }
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœ"
@@ -96,7 +97,9 @@ def language_model(docs: DataFrame) -> LanguageModel:
 
 # -- the channel -----------------------------------------------------------------------------------
 
-AS_IS, STANDS_FOR, NOISE, REPEAT = 0.0, -0.7, -2.5, -0.3
+AS_IS, STANDS_FOR, NOISE, REPEAT = 0.0, -0.7, -1.0, -0.3
+LOST = -9.0
+"""A character that stands for a letter is noise after all."""
 _RUN = re.compile(r"(.)\1{2,}")
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W_](?:[ .\-_*]{1,2}[^\W_]){3,}(?![^\W\d_])")
 
@@ -117,11 +120,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             options.append((c, AS_IS))
         options += [(x, STANDS_FOR) for x in LEET.get(c, "")]
+        noise = LOST if c.isalnum() or c in "$@" else NOISE
         if n >= 3:
-            out.append([(x * k, p + (REPEAT if k == 2 else 0.0)) for x, p in options for k in (1, 2)] + ([] if c.isalpha() else [("", NOISE)]))
+            out.append([(x * k, p + (REPEAT if k == 2 else 0.0)) for x, p in options for k in (1, 2)] + ([] if c.isalpha() else [("", noise)]))
             continue
         if not c.isalpha():
-            options.append(("", NOISE))
+            options.append(("", noise))
         out += [options] * n
     return out
 
@@ -174,6 +178,9 @@ class Reader:
             core = left[-1] + core
         if not core:
             return ()
+        tail = low[low.rfind(core[-1]) + 1 :]
+        if tail and tail[0] == "$" and suspicious(core):
+            core += "$" * (len(tail) - len(tail.lstrip("$")))
         if core.isalpha() and not _RUN.search(core):
             return (core,)
         if len(core) > LONGEST:
@@ -318,6 +325,21 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(f, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose text scores below `threshold`."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        reader = Reader(own.lm)
+        for t in batches:
+            keep = [own.score(reader.words(x or "")) < threshold for x in t.column(at).to_pylist()]
+            yield t.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(f, docs.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
