@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import doc_id, keyed, utf8
 from .windows import Shape, covered, span_lists, with_spans
 
-WINDOW, ANCHOR = 20, 5
+WINDOW, ANCHOR, STEP = 20, 5, 4
 
 
 def factor_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -27,7 +27,7 @@ def factor_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
 
     Null texts have no words; repeated rows are documents of their own, the
     later one a copy; other columns are ignored."""
-    return with_spans(keyed(docs, "doc_id", "text"), Shape(window, anchor, True), keep_first=True)
+    return with_spans(keyed(docs, "doc_id", "text"), Shape(window, anchor, STEP, True), keep_first=True)
 
 
 def _strip(window: int):

@@ -1,8 +1,10 @@
 """Repeated byte strings by distributed prefix doubling.
 
-Positions are ranked by their first k bytes, Spark groups the ranks, unique
-positions leave; survivors are reranked by the longer context under their run
-and, where that is not decided, by whole 200-byte strings, past the threshold.
+Positions are ranked by their first 64 bytes, Spark groups the ranks, unique
+positions leave; survivors are reranked at growing lengths (the whole context of
+a run, the 185 bytes common to a block of windows, and past the threshold the
+200 bytes themselves) until they are unique or known to repeat.
+
 Plain doubling would hold a row for each byte of the corpus in every round
 (24 bytes of ranks a byte of text); here positions are first thinned, without
 loss, to the anchors of windows.py, and ranks are Karp-Rabin names, so a rank
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import doc_id, keyed, utf8
 from .windows import Shape, covered, span_lists, with_spans
 
-LENGTH, ANCHOR = 200, 64
+LENGTH, ANCHOR, STEP = 200, 64, 16
 
 
 def _strip(length: int):
@@ -60,7 +62,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = A
     documents as UTF-8 without each byte under a `length`-byte string that
     starts anywhere else too. Null texts are empty; repeated rows are documents
     of their own, so both lose their text; cuts may fall inside a character."""
-    found = with_spans(keyed(docs, "doc_id", "text"), Shape(length, anchor, False), keep_first=False)
+    found = with_spans(keyed(docs, "doc_id", "text"), Shape(length, anchor, STEP, False), keep_first=False)
     out = found.mapInArrow(_strip(length), "_id long, _k int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 

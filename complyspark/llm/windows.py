@@ -8,8 +8,11 @@ its run, and the symbols under a run are the run's context. Then:
 * an anchor whose k-gram is nowhere else has no repeated window (dropped);
 * runs with equal contexts repeat as a whole (one row per context, pre-aggregated
   in each task before any shuffle);
-* only where one k-gram has several contexts do single windows of one
-  representative per context have to be compared.
+* only where one k-gram has several contexts are their representatives looked
+  into: windows are taken in blocks of `step` by their offset to the anchor. Where
+  the part common to a block's windows (its core) is nowhere else, no window of
+  it repeats; blocks that are equal repeat as a whole; single windows are compared
+  only in the blocks that are neither.
 
 Names are 64-bit hashes; contexts and windows are compared only within one
 name, so equality stands on 128 bits."""
@@ -32,10 +35,12 @@ SEGMENT = 1 << 20
 
 @dataclass(frozen=True)
 class Shape:
-    """w: symbols of a window; k: symbols of an anchor; words: symbols are words, else bytes."""
+    """w: symbols of a window; k: symbols of an anchor; step: windows of a block;
+    words: symbols are words, else bytes."""
 
     w: int
     k: int
+    step: int
     words: bool
 
     def symbols(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +52,9 @@ class Shape:
 
 
 def runs(sym: np.ndarray, first: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """(row, name, ctx, s1, n) of every run: its text, its anchor's and its
-    context's hash, its first window's start in the text, its number of windows."""
+    """(row, name, ctx, s1, n, a) of every run: its text, its anchor's and its
+    context's hash, its first window's start in the text, its number of windows,
+    and its anchor's offset in the first one."""
     w, k = shape.w, shape.k
     out: list[tuple[np.ndarray, ...]] = []
     for lo in range(0, max(0, len(sym) - w + 1), SEGMENT):
@@ -76,10 +82,10 @@ def runs(sym: np.ndarray, first: np.ndarray, shape: Shape) -> tuple[np.ndarray,
         tail[:-1] &= ~ok[1:] | (at[1:] != at[:-1])
         h, t = np.flatnonzero(head), np.flatnonzero(tail)
         if len(h):
-            out.append((row[h], grams[at[h]], roll.of(h, t + w), h + lo - first[row[h]], t - h + 1))
+            out.append((row[h], grams[at[h]], roll.of(h, t + w), h + lo - first[row[h]], t - h + 1, at[h] - h))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z.astype(U64), z.astype(U64), z, z
+        return z, z.astype(U64), z.astype(U64), z, z, z
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -90,16 +96,16 @@ def _scan(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             data, offs = utf8(b.column(2))
             for i, j in chunks(offs):
                 sym, first = shape.symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                row, name, ctx, s1, n = runs(sym, first, shape)
+                row, name, ctx, s1, n, a = runs(sym, first, shape)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + row]), pa.array(ks[i + row], pa.int32()), signed(name), signed(ctx), pa.array(s1, pa.int64()), pa.array(n, pa.int32())],
-                    names=["_id", "_k", "name", "ctx", "s1", "n"],
+                    [pa.array(ids[i + row]), pa.array(ks[i + row], pa.int32()), signed(name), signed(ctx), pa.array(s1, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.int32())],
+                    names=["_id", "_k", "name", "ctx", "s1", "n", "a"],
                 )
 
     return f
 
 
-RUNS = "_id long, _k int, name long, ctx long, s1 long, n int"
+RUNS = "_id long, _k int, name long, ctx long, s1 long, n int, a int"
 
 
 def _locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +121,7 @@ def _locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.flatnonzero(head)
         m = np.diff(np.append(h, len(o)))
         first = o[h]
-        return pa.RecordBatch.from_arrays([pa.array(c[x][first]) for x in ("_id", "_k", "name", "ctx", "s1", "n")] + [pa.array(m, pa.int64())], names=["_id", "_k", "name", "ctx", "s1", "n", "m"])
+        return pa.RecordBatch.from_arrays([pa.array(c[x][first]) for x in t.column_names] + [pa.array(m, pa.int64())], names=[*t.column_names, "m"])
 
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -129,45 +135,62 @@ def _locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield reduce(held)
 
 
-def _single(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The windows of chosen runs (`at`: list of (name, s1, n) in each text)."""
+BLOCKS = "_id long, _k int, name long, core long, full long, s long, n int, wins array<long>"
+
+
+def _blocks(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The blocks of chosen runs (`at`: list of (name, s1, n, a) in each text), with
+    the hashes of their cores, of all that is under them, and of each window."""
+    w, step = shape.w, shape.step
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = utf8(b.column(2))
             lists = b.column(3)
             loffs = lists.offsets.to_numpy()
-            flat = lists.flatten()
             loffs = loffs - loffs[0]
-            name, s1, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in range(3))
+            name, s1, n, a = (lists.flatten().field(x).to_numpy(zero_copy_only=False) for x in range(4))
             ids, ks = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for i in range(b.num_rows):
                 sym, _ = shape.symbols(data[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]]))
-                lo, hi = loffs[i], loffs[i + 1]
-                for a in range(lo, hi, 4096):
-                    z = min(hi, a + 4096)
-                    k = np.repeat(np.arange(a, z), n[a:z])
-                    first = np.cumsum(n[a:z]) - n[a:z]
-                    s = s1[k] + np.arange(len(k)) - first[k - a]
-                    h = window_hash(sym, s, shape.w)
-                    m = len(k)
+                for lo in range(loffs[i], loffs[i + 1], 1024):
+                    z = min(loffs[i + 1], lo + 1024)
+                    k = np.repeat(np.arange(lo, z), n[lo:z])
+                    nth = np.arange(len(k)) - (np.cumsum(n[lo:z]) - n[lo:z])[k - lo]
+                    s = s1[k] + nth
+                    block = (a[k] - nth) // step
+                    head = np.ones(len(k), bool)
+                    head[1:] = (k[1:] != k[:-1]) | (block[1:] != block[:-1])
+                    h = np.flatnonzero(head)
+                    many = np.diff(np.append(h, len(k)))
+                    last = s1[k[h]] + a[k[h]] - step * block[h]
+                    m = len(h)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(m, ids[i])), pa.array(np.full(m, ks[i], np.int32)), pa.array(name[k]), signed(h), pa.array(s)],
-                        names=["_id", "_k", "name", "win", "s"],
+                        [
+                            pa.array(np.full(m, ids[i])),
+                            pa.array(np.full(m, ks[i], np.int32)),
+                            pa.array(name[k[h]]),
+                            signed(range_hash(sym, last, last - step + 1 + w, SEGMENT) + block[h].astype(U64)),
+                            signed(range_hash(sym, s[h], s[h] + many - 1 + w, SEGMENT) + (a[k[h]] - nth[h]).astype(U64)),
+                            pa.array(s[h]),
+                            pa.array(many, pa.int32()),
+                            pa.ListArray.from_arrays(pa.array(np.append(h, len(k)), pa.int32()), signed(range_hash(sym, s, s + w, SEGMENT))),
+                        ],
+                        names=["_id", "_k", "name", "core", "full", "s", "n", "wins"],
                     )
 
     return f
 
 
-def window_hash(sym: np.ndarray, s: np.ndarray, w: int) -> np.ndarray:
-    """Hashes of sym[s : s + w], whatever the length of sym: sums run over one segment at a time."""
+def range_hash(sym: np.ndarray, s: np.ndarray, e: np.ndarray, segment: int) -> np.ndarray:
+    """Hashes of sym[s : e], whatever the length of sym: sums run over one segment at a time."""
     out = np.empty(len(s), U64)
-    part = s // SEGMENT
+    part = s // segment
+    reach = int((e - s).max()) if len(s) else 0
     for x in np.unique(part):
         at = part == x
-        roll = Rolling(sym[x * SEGMENT : (x + 1) * SEGMENT + w])
-        q = s[at] - x * SEGMENT
-        out[at] = roll.of(q, q + w)
+        roll = Rolling(sym[x * segment : (x + 1) * segment + reach])
+        out[at] = roll.of(s[at] - x * segment, e[at] - x * segment)
     return out
 
 
@@ -188,21 +211,35 @@ def repeated(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
     contexts = cut(
         hits.mapInArrow(_locally, RUNS + ", m long")
         .groupBy("name", "ctx")
-        .agg(F.sum("m").alias("m"), F.min(F.struct("_id", "_k", "s1")).alias("f"), F.max("n").alias("n"))
-        .select("name", "ctx", "m", "f._id", "f._k", "f.s1", "n")
+        .agg(F.sum("m").alias("m"), F.min(F.struct("_id", "_k", "s1")).alias("f"), F.max("n").alias("n"), F.max("a").alias("a"))
+        .select("name", "ctx", "m", "f._id", "f._k", "f.s1", "n", "a")
     )
     several = contexts.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
     reps = cut(contexts.join(several, "name", "left_semi"))
     release(spark)
-    # windows of representatives, where one name has several contexts
-    wanted = reps.groupBy("_id", "_k").agg(F.collect_list(F.struct("name", "s1", "n")).alias("at"))
-    windows = cut(docs.join(wanted, ["_id", "_k"]).select("_id", "_k", "text", "at").mapInArrow(_single(shape), "_id long, _k int, name long, win long, s long"))
+    # representatives, where one name has several contexts
+    wanted = reps.groupBy("_id", "_k").agg(F.collect_list(F.struct("name", "s1", "n", "a")).alias("at"))
+    blocks = cut(docs.join(wanted, ["_id", "_k"]).select("_id", "_k", "text", "at").mapInArrow(_blocks(shape), BLOCKS))
+    discard(reps)
+    release(spark)
+    cores = cut(blocks.groupBy("name", "core").agg(F.count("*").alias("c"), (F.min("full") < F.max("full")).alias("several")).filter("c > 1").drop("c"))
+    release(spark)
+    live = cut(blocks.join(cores, ["name", "core"]).select(*blocks.columns, "several"))
+    discard(blocks, cores)
+    release(spark)
+    place = F.struct("_id", "_k", "s")
+    fulls = cut(live.groupBy("name", "core", "full").agg(F.count("*").alias("m"), F.min(place).alias("f")))
+    same = live.drop("wins").join(fulls.filter("m > 1"), ["name", "core", "full"])
+    if keep_first:
+        same = same.filter(place != F.col("f"))
+    apart = live.filter("several").join(fulls.select("name", "core", "full", "f"), ["name", "core", "full"]).filter(place == F.col("f"))
+    windows = cut(apart.select("_id", "_k", "name", "core", "s", F.posexplode("wins").alias("i", "win")).select("_id", "_k", "name", "core", (F.col("s") + F.col("i")).alias("s"), "win"))
     release(spark)
-    more = windows.groupBy("name", "win").agg(F.count("*").alias("c"), F.min(F.struct("_id", "_k", "s")).alias("f")).filter("c > 1")
-    back = windows.join(more, ["name", "win"]).select("_id", "_k", "s", "f")
+    more = windows.groupBy("name", "core", "win").agg(F.count("*").alias("c"), F.min(place).alias("f")).filter("c > 1")
+    back = windows.join(more, ["name", "core", "win"])
     if keep_first:
-        back = back.filter(F.struct("_id", "_k", "s") != F.col("f"))
-    back = back.select("_id", "_k", "s", F.lit(1).alias("n"))
+        back = back.filter(place != F.col("f"))
+    back = same.select("_id", "_k", "s", "n").unionByName(back.select("_id", "_k", "s", F.lit(1).alias("n")))
     # whole runs whose context is elsewhere too
     known = contexts.filter("m > 1").select("name", "ctx", F.struct("_id", "_k", "s1").alias("f"))
     whole = hits.join(known, ["name", "ctx"])
@@ -211,7 +248,7 @@ def repeated(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
     whole = whole.select("_id", "_k", F.col("s1").alias("s"), "n")
     out = cut(whole.unionByName(back).groupBy("_id", "_k").agg(F.collect_list(F.struct("s", "n")).alias("spans")))
     release(spark)
-    discard(hits, contexts, reps, windows)
+    discard(hits, contexts, live, fulls, windows)
     return out
 
 
