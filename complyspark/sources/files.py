@@ -187,7 +187,7 @@ def to_markdown(files: DataFrame) -> DataFrame:
 
 def html_text(html: Column) -> Column:
     """Text of a page: scripts, styles and comments go, blocks become lines."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
+    t = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)</(p|div|h[1-6]|li|tr|article|section|title)>|<br\s*/?>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", " ")
     for code, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
