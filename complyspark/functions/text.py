@@ -155,7 +155,7 @@ def word_edit_distance(a: Column, b: Column) -> Column:
     wa, wb = F.filter(F.split(a, r"\s+"), lambda w: w != ""), F.filter(F.split(b, r"\s+"), lambda w: w != "")
     alphabet = F.array_distinct(F.concat(wa, wb))
     # private-use code points from U+E000 on: 6400 words of a pair
-    symbol = lambda w: F.decode(F.unhex(F.hex(F.array_position(alphabet, w) + 0xE000)), F.lit("UTF-16BE"))
+    symbol = lambda w: F.decode(F.unhex(F.hex(F.array_position(alphabet, w) + 0xE000)), "UTF-16BE")
     joined = lambda ws: F.array_join(F.transform(ws, symbol), "")
     return F.when(F.size(alphabet) < 6400, F.levenshtein(joined(wa), joined(wb)))
 

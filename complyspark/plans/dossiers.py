@@ -1,2 +1,288 @@
-QUERIES = {}
-SQL = {}
+"""Fields, judgements and reports over `lineitem` (fields of a dossier), `orders`, `events` and
+`conversations`; lexicon and extraction over `documents`."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import accuracy as Q
+from ..operators import extract as E
+from ..operators import lexicon as L
+from ..operators import merging as M
+from ..operators import verdicts as V
+from ..streaming import progress as T
+from .audit import table
+
+
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field a line number; about a quarter have no value."""
+    n, p = F.col("l_linenumber"), F.col("pk")
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("pk"), F.min("l_returnflag").alias("flag"))
+    return l.select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.concat(F.lit("f"), n).alias("field_key"),
+        F.when(p % 4 == 0, F.lit(" ")).when(n == 2, (p % 50).cast("string")).otherwise(F.concat(F.lit("v"), p % 3)).alias("value"),
+        F.when(n == 1, "declaration").when(n == 2, "positive_integer").otherwise("regulated").alias("check_type"),
+        (n <= 4).alias("required"),
+        (p % 2 == 0).alias("selected"),
+        n.alias("ord"),
+        p.alias("pk"),
+        "flag",
+    )
+
+
+def _model(f: DataFrame) -> DataFrame:
+    v = F.when(F.col("flag") == "A", "PASS").when(F.col("flag") == "N", "FAIL").otherwise("NEEDS_SUPPLEMENT")
+    one = f.filter("pk % 5 <> 0").select("doc_id", "field_key", F.lit(0).alias("ord"), v.alias("model_verdict"), (F.col("pk") % 3).alias("citations"))
+    return one.unionByName(one.withColumn("ord", F.lit(1)).withColumn("model_verdict", F.lit("PASS")))
+
+
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fields(spark, sf_dir)
+    c = V.quality_gate(V.reconcile(f, _model(f)), f.filter("pk % 17 = 0"))
+    c = V.mandatory_missing(c, f, False)
+    groups = spark.createDataFrame([(0, "f5", 0), (0, "f6", 1), (1, "f7", 0)], "group_id int, field_key string, pos int")
+    return V.no_citation(V.required_one_of(c, f, groups))
+
+
+def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checks(spark, sf_dir).select("doc_id", "field_key", "verdict", "mandatory")
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.report(_checks(spark, sf_dir))
+
+
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.completeness(fields(spark, sf_dir))
+
+
+def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.checked_fields(fields(spark, sf_dir)).select("doc_id", "field_key")
+
+
+def _dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a customer's dossier: its orders, by key."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("dossier"))
+    return fields(spark, sf_dir).join(o, "doc_id").select("dossier", "field_key", "value", F.col("doc_id").alias("ord"), "pk", "flag")
+
+
+def first_non_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.merge_first(_dossiers(spark, sf_dir))
+
+
+def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.conflicts(_dossiers(spark, sf_dir))
+
+
+def severity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("flag") == "A", "PASS").when(F.col("flag") == "N", "FAIL").otherwise("NEEDS_SUPPLEMENT")
+    c = _dossiers(spark, sf_dir).select(F.concat_ws(":", "dossier", "field_key").alias("check_id"), v.alias("verdict"), "ord")
+    return V.merge_checks(c)
+
+
+def flag_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _dossiers(spark, sf_dir).select("dossier", F.when(F.col("pk") % 2 == 0, "SIGNED_DATE_MISSING").otherwise("BLURRY").alias("code"), F.col("flag").alias("message"), "ord")
+    return M.dedupe_flags(f, f.filter("dossier % 3 = 0"))
+
+
+def selected_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _dossiers(spark, sf_dir)
+    return M.selected_unseen(d.filter("pk % 2 = 0").select("dossier", "field_key").distinct(), d.filter("pk % 3 = 0"))
+
+
+def manual_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fields(spark, sf_dir).select(F.col("doc_id").alias("dossier"), "field_key", "value", F.when(F.col("pk") % 7 == 0, "old").alias("machine"), "pk")
+    edits = f.filter("pk % 3 = 0").select("dossier", "field_key", F.lit("v0").alias("value"))
+    return M.patch(f.drop("pk"), edits)
+
+
+def unique_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("field_key"), F.concat_ws(" ", "p_name", F.col("p_size") * 7 % 400).alias("label"), F.array(F.concat_ws(" ", "p_brand", "p_type", F.col("p_size"))).alias("label_alts"))
+    return M.unique_labels(c).select("field_key", "label")
+
+
+def accuracy_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fields(spark, sf_dir)
+    hyp = F.when(F.col("pk") % 6 == 0, F.concat("value", F.lit(" x"))).otherwise(F.col("value"))
+    p = f.select(F.btrim("value").alias("ref"), F.btrim(hyp).alias("hyp"), F.when(F.col("ord") == 2, "number").when(F.col("ord") == 3, "date").otherwise("text").alias("value_type"), (F.col("ord") == 4).alias("in_table"), (F.col("pk") % 12 == 0).alias("edited"))
+    return Q.run_accuracy(p).drop("wer")
+
+
+def golden_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fields(spark, sf_dir)
+    golden = f.select(F.col("doc_id").alias("case_id"), "field_key", F.when(F.col("pk") % 9 != 0, F.col("value")).alias("expected"))
+    produced = f.select(F.col("doc_id").alias("case_id"), "field_key", F.when(F.col("pk") % 10 == 0, "zzz").otherwise(F.upper("value")).alias("actual"))
+    a = Q.extraction_accuracy(golden, produced)
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_orderstatus") != "P").alias("verified"))
+    return Q.golden_summary(cases.join(a, "case_id", "left"))
+
+
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), (F.col("l_partkey") % 20).alias("chunk_id"), "l_linenumber")
+    return Q.recall_at_k(l.filter("l_linenumber < 4"), l.filter("l_linenumber >= 3"))
+
+
+def citation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.lit(0).alias("check_id"), F.concat(F.lit("Nghị định "), F.col("l_suppkey") % 5).alias("source"), "l_linenumber")
+    return Q.citation_sources(l.filter("l_linenumber = 1"), l.filter("l_linenumber > 1").withColumn("source", F.upper("source")))
+
+
+def signed_date_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    day = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit("2025-02-31")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", V.signed_date_flag(day, F.lit("1998-01-01").cast("date"), "1995-01-01").alias("flag"))
+
+
+def ocr_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg((F.count("*") - 1).alias("num_lines"), F.round(F.avg("l_discount") * 10, 4).alias("avg_confidence"), F.count_if(F.col("l_tax") > 0.04).alias("low_lines"))
+    return V.input_flags(s, many_low=3)
+
+
+# -- lexicon ------------------------------------------------------------------------------------------------
+
+
+def _accented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.words(table(spark, sf_dir, "documents").filter("lang <> 'en'"))
+
+
+def lexicon_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.fold_table(_accented(spark, sf_dir))
+
+
+def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.bigrams(_accented(spark, sf_dir)).groupBy(F.concat_ws(" ", "prev", "word").alias("pair")).agg(F.count("*").alias("n")).filter("n >= 20")
+
+
+def restore_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """French texts whose marks were lost, restored by the lexicon of French texts."""
+    from ..functions.text import fold_diacritics
+
+    d = table(spark, sf_dir, "documents").filter("lang = 'fr'")
+    lex = L.build(d)
+    lost = d.select("doc_id", fold_diacritics(F.col("text")).alias("text"))
+    return L.restore(lost, lex)
+
+
+CATALOG = [E.Field("day", "Ngày ký", "date"), E.Field("wage", "Tiền lương", "money"), E.Field("people", "Số lượng", "number"), E.Field("place", "Địa điểm làm việc", "text", ("Nơi làm việc",))]
+
+
+def label_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dossiers as forms, made from orders."""
+    o = table(spark, sf_dir, "orders")
+    text = F.concat(
+        F.lit("HỢP ĐỒNG\n1. Ngày ký: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("\n2. Tien luong: "), F.floor("o_totalprice").cast("long"), F.lit(" USD/tháng\n- Số lượng: "), F.col("o_custkey") % 1000, F.lit(" người\n- Đa đim làm vic: Kho "), F.col("o_orderpriority"), F.lit("\n\nHết")
+    )
+    return E.extract_fields(o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), CATALOG).drop("quote")
+
+
+def draft_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("- Ngày ký hợp đồng: bắt buộc; 2) Tiền lương: USD\nSố lượng lao động\n* "), F.col("p_name"), F.lit("\n"), F.upper("p_name")).alias("text"))
+    return E.draft_fields(t)
+
+
+# -- progress -----------------------------------------------------------------------------------------------
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = F.when(F.col("event_type") == "purchase", "done").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("pid"), stage.alias("stage"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+
+
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.latest_state(_events(spark, sf_dir)).select("pid", "stage", "updates")
+
+
+def active_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    s = T.latest_state(e).crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))
+    return T.active_jobs(s, F.col("now"), 3600)
+
+
+def event_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.tumbling(_events(spark, sf_dir), "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "stage", "n")
+
+
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.sessions(_events(spark, sf_dir), "2 hours").groupBy("pid").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.assemble_replies(table(spark, sf_dir, "conversations")).select("conv_id", "pieces", "sha256", F.col("last_length").cast("long").alias("last_length"))
+
+
+_F = """f AS (SELECT l_orderkey AS doc_id, 'f' || CAST(l_linenumber AS VARCHAR) AS field_key, CASE WHEN pk % 4 = 0 THEN ' ' WHEN l_linenumber = 2 THEN CAST(pk % 50 AS VARCHAR) ELSE 'v' || CAST(pk % 3 AS VARCHAR) END AS value,
+ l_linenumber AS ord, l_linenumber <= 4 AS required, pk % 2 = 0 AS selected, pk, flag, pk % 4 <> 0 AS has FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2))"""
+_CHECKS = f"""WITH {_F}, c AS (SELECT doc_id, field_key, pk, ord >= 3 AS made, CASE WHEN pk % 5 <> 0 THEN pk % 3 ELSE 0 END AS cit,
+ CASE WHEN ord = 1 THEN 'DECLARATION' WHEN ord = 2 THEN CASE WHEN NOT has THEN 'NEEDS_SUPPLEMENT' WHEN pk % 50 >= 1 THEN 'PASS' ELSE 'FAIL' END WHEN pk % 5 = 0 THEN 'NEEDS_SUPPLEMENT' WHEN flag = 'A' THEN 'PASS' WHEN flag = 'N' THEN 'FAIL' ELSE 'NEEDS_SUPPLEMENT' END AS v
+ FROM f WHERE ord = 1 OR (has AND (required OR selected))), g AS (SELECT doc_id, field_key, made, cit, CASE WHEN pk % 17 = 0 AND v IN ('PASS', 'FAIL') THEN 'NEEDS_SUPPLEMENT' ELSE v END AS v, false AS mandatory FROM c),
+ m AS (SELECT * FROM g UNION ALL SELECT doc_id, field_key, false, 0, 'NEEDS_SUPPLEMENT', true FROM f WHERE required AND NOT has AND ord <> 1),
+ o AS (SELECT doc_id, grp, bool_or(has) AS hit, arg_min(field_key, ord) AS first FROM (SELECT *, CASE WHEN ord IN (5, 6) THEN 0 ELSE 1 END AS grp FROM f WHERE ord >= 5 AND ord <= 7) GROUP BY 1, 2),
+ u AS (SELECT * FROM m UNION ALL SELECT doc_id, 'one_of_' || first, false, 0, 'NEEDS_SUPPLEMENT', true FROM o WHERE NOT hit),
+ r AS (SELECT doc_id, field_key, made, mandatory, CASE WHEN NOT mandatory AND made AND cit = 0 AND v IN ('PASS', 'FAIL') THEN 'NEEDS_SUPPLEMENT' ELSE v END AS verdict FROM u)"""
+_D = f"WITH {_F}, d AS (SELECT o_custkey AS dossier, field_key, value, doc_id AS ord, pk, flag, has FROM f JOIN orders ON o_orderkey = doc_id)"
+_V = "CASE flag WHEN 'A' THEN 'PASS' WHEN 'N' THEN 'FAIL' ELSE 'NEEDS_SUPPLEMENT' END"
+_STAGE = "e AS (SELECT user_id AS pid, CASE WHEN event_type = 'purchase' THEN 'done' ELSE event_type END AS stage, ts, event_id FROM events)"
+_WORDS = r"""w AS (SELECT doc_id, i, raw, lower(strip_accents(raw)) AS fold FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS raw FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9\p{L}]+'), lambda x: length(x) >= 2 AND NOT regexp_full_match(x, '\d+')) AS l FROM documents WHERE lang <> 'en'))),
+ b AS (SELECT *, NOT regexp_full_match(fold, '\p{L}+') OR (upper(raw) = raw AND length(raw) <= 4) AS brk FROM w), s AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS seg FROM b), t AS (SELECT doc_id, i, lower(raw) AS word, fold, seg FROM s WHERE NOT brk)"""
+QUERIES = {
+    "reconcile_checks": reconcile,
+    "reports": reports,
+    "completeness": completeness,
+    "checked_fields": checked,
+    "first_non_missing_merge": first_non_missing,
+    "conflict_detect": conflicts,
+    "severity_merge": severity_merge,
+    "flag_dedupe": flag_dedupe,
+    "selected_unseen": selected_unseen,
+    "manual_patch": manual_patch,
+    "unique_labels": unique_labels,
+    "accuracy_buckets": accuracy_buckets,
+    "golden_micro_avg": golden_micro,
+    "recall_at_k": recall_at_k,
+    "citation_sources": citation_sources,
+    "signed_date_flags": signed_date_flags,
+    "ocr_flags": ocr_flags,
+    "lexicon_dominance": lexicon_dominance,
+    "bigram_lag": bigram_counts,
+    "restore_spelling": restore_spelling,
+    "label_extract": label_extract,
+    "draft_rules": draft_rules,
+    "latest_state_per_key": latest_state,
+    "active_jobs": active_jobs,
+    "event_tumbling": event_tumbling,
+    "event_session": event_sessions,
+    "assemble_replies": replies,
+}
+SQL = {
+    "reconcile_checks": _CHECKS + " SELECT doc_id, field_key, verdict, mandatory FROM r",
+    "reports": _CHECKS + """, a AS (SELECT doc_id, CASE WHEN bool_or(verdict = 'FAIL') THEN 'FAIL' WHEN bool_or(verdict = 'NEEDS_SUPPLEMENT') THEN 'NEEDS_SUPPLEMENT' ELSE 'PASS' END AS o, count(*) FILTER (made) AS regulated, count(*) FILTER (verdict = 'FAIL') AS violations, count(*) AS checks FROM r GROUP BY 1)
+ SELECT doc_id, CASE WHEN regulated = 0 AND o = 'PASS' THEN 'NEEDS_SUPPLEMENT' ELSE o END AS overall, regulated, violations, checks FROM a""",
+    "completeness": f"WITH {_F} SELECT doc_id, count(*) AS required_total, count(*) FILTER (NOT has) AS required_missing, count(*) FILTER (NOT has) = 0 AS is_complete FROM f WHERE required GROUP BY 1",
+    "checked_fields": f"WITH {_F} SELECT doc_id, field_key FROM f WHERE ord = 1 OR (has AND (required OR selected))",
+    "first_non_missing_merge": _D + " SELECT dossier, field_key, arg_min(value, ord) FILTER (has) AS value, min(ord) FILTER (has) AS source_ord, min(ord) AS first_seen FROM d GROUP BY 1, 2",
+    "conflict_detect": _D + " SELECT dossier, field_key, count(DISTINCT value) AS n_values FROM d WHERE has GROUP BY 1, 2 HAVING count(DISTINCT value) > 1",
+    "severity_merge": _D + f" SELECT CAST(dossier AS VARCHAR) || ':' || field_key AS check_id, arg_min({_V}, struct_pack(s := CASE flag WHEN 'N' THEN 0 WHEN 'A' THEN 2 ELSE 1 END, o := ord)) AS verdict, min(ord) AS first_seen FROM d GROUP BY 1",
+    "flag_dedupe": _D + " SELECT dossier, CASE WHEN pk % 2 = 0 THEN 'SIGNED_DATE_MISSING' ELSE 'BLURRY' END AS code, flag AS message, min(ord) AS ord FROM d WHERE dossier % 3 <> 0 OR pk % 2 <> 0 GROUP BY 1, 2, 3",
+    "selected_unseen": _D + " SELECT DISTINCT dossier, field_key FROM d WHERE pk % 2 = 0 EXCEPT SELECT dossier, field_key FROM d WHERE pk % 3 = 0",
+    "manual_patch": f"WITH {_F}, e AS (SELECT *, pk % 3 = 0 AND value <> 'v0' AS ch, CASE WHEN pk % 7 = 0 THEN 'old' END AS mc FROM f) SELECT doc_id AS dossier, field_key, CASE WHEN ch THEN 'v0' ELSE value END AS value, CASE WHEN ch THEN coalesce(mc, value) ELSE mc END AS machine, ch AS edited FROM e",
+    "unique_labels": "WITH l AS (SELECT DISTINCT p_partkey AS field_key, unnest([p_name || ' ' || CAST(p_size * 7 % 400 AS VARCHAR), p_brand || ' ' || p_type || ' ' || CAST(p_size AS VARCHAR)]) AS label FROM part) SELECT field_key, label FROM l WHERE lower(label) IN (SELECT lower(label) FROM l GROUP BY 1 HAVING count(DISTINCT field_key) = 1)",
+    "accuracy_buckets": f"""WITH {_F}, p AS (SELECT trim(value) AS r, trim(CASE WHEN pk % 6 = 0 THEN value || ' x' ELSE value END) AS h, ord, pk % 12 = 0 AS edited FROM f), q AS (SELECT *, r = h AS ok FROM p WHERE r <> '' OR h <> '')
+ SELECT cer, field_accuracy, number_accuracy, date_accuracy, table_accuracy, fields, fields_edited, greatest(0.0, 1 - cer) AS ocr_accuracy FROM (SELECT round(sum(levenshtein(h, r)) / nullif(sum(length(r)), 0), 4) AS cer, round(count(*) FILTER (ok) / count(*), 4) AS field_accuracy, round(count(*) FILTER (ok AND ord = 2) / count(*) FILTER (ord = 2), 4) AS number_accuracy,
+ round(count(*) FILTER (ok AND ord = 3) / count(*) FILTER (ord = 3), 4) AS date_accuracy, round(count(*) FILTER (ok AND ord = 4) / count(*) FILTER (ord = 4), 4) AS table_accuracy, count(*) AS fields, count(*) FILTER (edited AND NOT ok) AS fields_edited FROM q)""",
+    "golden_micro_avg": f"""WITH {_F}, m AS (SELECT doc_id, trim(lower(coalesce(CASE WHEN pk % 9 <> 0 THEN value END, ''))) AS e, trim(lower(CASE WHEN pk % 10 = 0 THEN 'zzz' ELSE value END)) AS a FROM f),
+ k AS (SELECT doc_id, count(*) AS labels, count(*) FILTER (CASE WHEN e = '' AND a = '' THEN true WHEN e = '' OR a = '' THEN false ELSE contains(e, a) OR contains(a, e) END AND NOT (regexp_full_match(e, '\\d+') AND regexp_full_match(a, '\\d+') AND e <> a)) AS correct FROM m GROUP BY 1)
+ SELECT count(*) FILTER (o_orderstatus = 'P') AS unverified, count(*) FILTER (o_orderstatus <> 'P' AND labels IS NOT NULL) AS measured, round(sum(correct) FILTER (o_orderstatus <> 'P') / sum(labels) FILTER (o_orderstatus <> 'P'), 4) AS accuracy FROM orders LEFT JOIN k ON doc_id = o_orderkey""",
+    "recall_at_k": "WITH e AS (SELECT DISTINCT l_orderkey AS c, l_partkey % 20 AS k FROM lineitem WHERE l_linenumber < 4), g AS (SELECT DISTINCT l_orderkey AS c, l_partkey % 20 AS k, 1 AS h FROM lineitem WHERE l_linenumber >= 3) SELECT count(*) AS expected, count(h) AS found, round(count(h) / count(*), 4) AS recall FROM e LEFT JOIN g USING (c, k)",
+    "citation_sources": "WITH e AS (SELECT l_orderkey AS c, l_suppkey % 5 AS s FROM lineitem WHERE l_linenumber = 1), g AS (SELECT DISTINCT l_orderkey AS c, l_suppkey % 5 AS s, true AS h FROM lineitem WHERE l_linenumber > 1), k AS (SELECT c, coalesce(bool_or(h), false) AS ok FROM e LEFT JOIN g USING (c, s) GROUP BY 1) SELECT count(*) AS checks, count(*) FILTER (ok) AS correct, round(count(*) FILTER (ok) / count(*), 4) AS accuracy FROM k",
+    "signed_date_flags": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'SIGNED_DATE_MISSING' WHEN o_orderkey % 5 = 1 THEN 'SIGNED_DATE_INVALID' WHEN CAST(o_orderdate AS DATE) - DATE '1998-01-01' > 2 THEN 'SIGNED_DATE_FUTURE' WHEN CAST(o_orderdate AS DATE) < DATE '1995-01-01' THEN 'SIGNED_DATE_TOO_OLD' END AS flag FROM orders",
+    "ocr_flags": """WITH s AS (SELECT l_orderkey AS doc_id, count(*) - 1 AS n, round(avg(l_discount) * 10, 4) AS a, count(*) FILTER (l_tax > 0.04) AS w FROM lineitem GROUP BY 1), c AS (SELECT doc_id, unnest(list_filter([CASE WHEN n < 1 THEN 'EMPTY_TEXT' END, CASE WHEN n >= 1 AND a < 0.3 THEN 'BLURRY' END, CASE WHEN n >= 1 AND a >= 0.3 AND a < 0.6 THEN 'LOW_CONFIDENCE' END, CASE WHEN n >= 1 AND w > 3 THEN 'MANY_LOW_LINES' END], lambda x: x IS NOT NULL)) AS code FROM s) SELECT * FROM c""",
+    "lexicon_dominance": f"WITH {_WORDS}, c AS (SELECT fold, word, count(*) AS n FROM t GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY n DESC, word DESC) AS r, lead(n) OVER (PARTITION BY fold ORDER BY n DESC, word DESC) AS n2 FROM c) SELECT fold, word, n FROM k WHERE r = 1 AND n >= 3 * coalesce(n2, 0)",
+    "bigram_lag": f"WITH {_WORDS}, l AS (SELECT lag(word) OVER (PARTITION BY doc_id, seg ORDER BY i) AS p, word FROM t) SELECT p || ' ' || word AS pair, count(*) AS n FROM l WHERE p IS NOT NULL GROUP BY 1 HAVING count(*) >= 20",
+    "latest_state_per_key": f"WITH {_STAGE} SELECT pid, arg_max(stage, struct_pack(t := ts, i := event_id)) AS stage, count(*) AS updates FROM e GROUP BY 1",
+    "active_jobs": f"WITH {_STAGE}, s AS (SELECT pid, arg_max(stage, struct_pack(t := ts, i := event_id)) AS stage, max(ts) AS ts FROM e GROUP BY 1) SELECT count(*) FILTER (stage NOT IN ('done', 'error') AND epoch(date_trunc('second', (SELECT max(ts) FROM e))) - epoch(date_trunc('second', ts)) <= 3600) AS active, count(*) AS known FROM s",
+    "event_tumbling": f"WITH {_STAGE} SELECT strftime(ts, '%Y-%m-%d') AS day, stage, count(*) AS n FROM e GROUP BY 1, 2",
+    "event_session": f"WITH {_STAGE}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY pid ORDER BY ts, event_id)), s AS (SELECT pid, sum(new) OVER (PARTITION BY pid ORDER BY ts, event_id) AS k FROM g), c AS (SELECT pid, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT pid, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1",
+    "assemble_replies": "SELECT conv_id, count(*) AS pieces, sha256(string_agg(text, chr(10) ORDER BY turn)) AS sha256, arg_max(length(text), turn) AS last_length FROM conversations GROUP BY 1",
+}
