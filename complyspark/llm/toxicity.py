@@ -30,8 +30,6 @@ TOP = 1500
 """Features kept of all words and beginnings, those with the greatest G2 against the label."""
 LEAST = 4
 """Toxic training documents that a feature must occur in."""
-EVIDENCE = 14.0
-"""Least half G2 of a feature: rare words that lie in toxic texts by chance have less."""
 CACHE = 200_000
 LONGEST = 48
 """Characters of a token that is read as a lattice; longer ones (keys, addresses) are parted at symbols."""
@@ -295,13 +293,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = FOL
     rows = cut(labelled(docs, sample(labels, label, mod, held)).select("text", "y"))
     total = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n1, n0 = float(total.get(1, 0)), float(total.get(0, 0))
-    counts = rows.mapInArrow(_count(lm), "name string, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).filter(F.col("a") >= LEAST)
+    counts = cut(rows.mapInArrow(_count(lm), "name string, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")))
+    # exp(-G2 / 2) bounds the chance of a feature, so one of all features by chance has half a G2 of log(features)
+    evidence = math.log(max(2, counts.count()))
+    counts = counts.filter(F.col("a") >= LEAST)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     both = a + b
     g2 = part(a, both * n1 / (n1 + n0)) + part(b, both * n0 / (n1 + n0)) if n1 + n0 else F.lit(0.0)
     # only what speaks for toxicity: clean texts have no words of their own
-    chosen = counts.filter(a * n0 > 2 * b * n1).filter(g2 >= EVIDENCE).orderBy(g2.desc(), "name").limit(TOP).select("name").collect()
+    chosen = counts.filter(a * n0 > 2 * b * n1).filter(g2 >= evidence).orderBy(g2.desc(), "name").limit(TOP).select("name").collect()
     index = {r["name"]: i for i, r in enumerate(chosen)}
     seen = rows.mapInArrow(_present(lm, index), "at array<int>, y int").toArrow()
     w, bias = regression(seen.column("at").to_pylist(), seen.column("y").to_numpy().astype(np.float64), len(index))
