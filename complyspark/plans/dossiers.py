@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import accuracy as Q
 from ..operators import extract as E
+from ..operators import grounding as G
 from ..operators import lexicon as L
 from ..operators import merging as M
 from ..operators import verdicts as V
@@ -140,6 +141,37 @@ def ocr_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.input_flags(s, many_low=3)
 
 
+def grounded_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a model for missing fields, some without evidence, too unsure or no answer at all."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("Ben B: "), F.col("o_orderpriority"), F.lit("; so nguoi "), k % 500, F.lit("; ky ngay 05/04/2024"))
+    f = o.select(k.alias("doc_id"), F.concat(F.lit("f"), k % 3).alias("field_key"), F.when(k % 5 == 0, "read").alias("value"), F.element_at(F.array(F.lit("text"), F.lit("number"), F.lit("date")), (k % 3 + 1).cast("int")).alias("kind"), text.alias("text"))
+    new = F.when(k % 7 == 0, "N/A").when(k % 3 == 0, F.col("o_orderpriority")).when(k % 3 == 1, (k % 500 + F.when(k % 11 == 0, 1).otherwise(0)).cast("string")).otherwise("05/04/2024")
+    m = o.select(k.alias("doc_id"), F.concat(F.lit("f"), k % 3).alias("field_key"), new.alias("value"), F.lit("Ben B").alias("quote"), (k % 10 / 10).alias("confidence"))
+    return G.merge_model(f, m)
+
+
+def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fields(spark, sf_dir).select("doc_id", "field_key")
+    c = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("doc_id"), F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text"))
+    r = G.requests(f, c, 6)
+    return r.select("doc_id", F.sha1("request").alias("sha1"))
+
+
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dossier"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"))
+    return G.cache_keys(o, "set-1")
+
+
+def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import pages as P
+
+    d = table(spark, sf_dir, "documents")
+    q = d.filter("lang = 'en'").select("doc_id", F.substring_index(F.substring("text", 200, 60), "\n", 1).alias("quote"))
+    return G.best_line(P.lines(d), q).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("score").cast("long").alias("score"))
+
+
 # -- lexicon ------------------------------------------------------------------------------------------------
 
 
@@ -226,6 +258,7 @@ _V = "CASE flag WHEN 'A' THEN 'PASS' WHEN 'N' THEN 'FAIL' ELSE 'NEEDS_SUPPLEMENT
 _STAGE = "e AS (SELECT user_id AS pid, CASE WHEN event_type = 'purchase' THEN 'done' ELSE event_type END AS stage, ts, event_id FROM events)"
 _WORDS = r"""w AS (SELECT doc_id, i, raw, lower(strip_accents(raw)) AS fold FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS raw FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9\p{L}]+'), lambda x: length(x) >= 2 AND NOT regexp_full_match(x, '\d+')) AS l FROM documents WHERE lang <> 'en'))),
  b AS (SELECT *, NOT regexp_full_match(fold, '\p{L}+') OR (upper(raw) = raw AND length(raw) <= 4) AS brk FROM w), s AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS seg FROM b), t AS (SELECT doc_id, i, lower(raw) AS word, fold, seg FROM s WHERE NOT brk)"""
+_FOLDED = "strip_accents(replace(replace({0}, 'đ', 'd'), 'Đ', 'D'))"
 QUERIES = {
     "reconcile_checks": reconcile,
     "reports": reports,
@@ -244,6 +277,10 @@ QUERIES = {
     "citation_sources": citation_sources,
     "signed_date_flags": signed_date_flags,
     "ocr_flags": ocr_flags,
+    "grounded_merge": grounded_merge,
+    "model_requests": model_requests,
+    "cache_keys": cache_keys,
+    "evidence_lines": evidence_lines,
     "lexicon_dominance": lexicon_dominance,
     "bigram_lag": bigram_counts,
     "restore_spelling": restore_spelling,
@@ -278,6 +315,17 @@ SQL = {
     "citation_sources": "WITH e AS (SELECT l_orderkey AS c, l_suppkey % 5 AS s FROM lineitem WHERE l_linenumber = 1), g AS (SELECT DISTINCT l_orderkey AS c, l_suppkey % 5 AS s, true AS h FROM lineitem WHERE l_linenumber > 1), k AS (SELECT c, coalesce(bool_or(h), false) AS ok FROM e LEFT JOIN g USING (c, s) GROUP BY 1) SELECT count(*) AS checks, count(*) FILTER (ok) AS correct, round(count(*) FILTER (ok) / count(*), 4) AS accuracy FROM k",
     "signed_date_flags": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'SIGNED_DATE_MISSING' WHEN o_orderkey % 5 = 1 THEN 'SIGNED_DATE_INVALID' WHEN CAST(o_orderdate AS DATE) - DATE '1998-01-01' > 2 THEN 'SIGNED_DATE_FUTURE' WHEN CAST(o_orderdate AS DATE) < DATE '1995-01-01' THEN 'SIGNED_DATE_TOO_OLD' END AS flag FROM orders",
     "ocr_flags": """WITH s AS (SELECT l_orderkey AS doc_id, count(*) - 1 AS n, round(avg(l_discount) * 10, 4) AS a, count(*) FILTER (l_tax > 0.04) AS w FROM lineitem GROUP BY 1), c AS (SELECT doc_id, unnest(list_filter([CASE WHEN n < 1 THEN 'EMPTY_TEXT' END, CASE WHEN n >= 1 AND a < 0.3 THEN 'BLURRY' END, CASE WHEN n >= 1 AND a >= 0.3 AND a < 0.6 THEN 'LOW_CONFIDENCE' END, CASE WHEN n >= 1 AND w > 3 THEN 'MANY_LOW_LINES' END], lambda x: x IS NOT NULL)) AS code FROM s) SELECT * FROM c""",
+    "grounded_merge": """WITH m AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey % 500 + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS VARCHAR) ELSE '2024-04-05' END AS v, o_orderkey % 10 / 10 AS c, 'Ben B: ' || o_orderpriority || '; so nguoi ' || CAST(o_orderkey % 500 AS VARCHAR) || '; ky ngay 05/04/2024' AS t FROM orders),
+ g AS (SELECT *, k % 5 <> 0 AS gm, v <> 'N/A' AS ga, CASE WHEN k % 3 = 1 THEN contains(regexp_replace(t, '[^0-9]', '', 'g'), v) ELSE true END AS gg, c >= 0.3 AS gs FROM m)
+ SELECT k AS doc_id, 'f' || CAST(k % 3 AS VARCHAR) AS field_key, CASE WHEN gm AND ga AND gg AND gs THEN v WHEN NOT gm THEN 'read' END AS value, CASE WHEN gm AND ga AND gg AND gs THEN least(0.7, c) END AS model_confidence,
+ CASE WHEN NOT gm THEN 'g_missing' WHEN NOT ga THEN 'g_answer' WHEN NOT gg THEN 'g_grounded' WHEN NOT gs THEN 'g_sure' END AS refused FROM g""",
+    "model_requests": """WITH c AS (SELECT DISTINCT l_orderkey AS d, p_partkey AS k, p_name[1:6] AS t FROM lineitem JOIN part ON l_partkey = p_partkey), g AS (SELECT d, string_agg('{"chunk_id":' || CAST(k AS VARCHAR) || ',"text":"' || t || '"}', ',' ORDER BY k) AS r FROM c GROUP BY 1),
+ f AS (SELECT d, string_agg('"f' || CAST(n AS VARCHAR) || '"', ',' ORDER BY n) AS f FROM (SELECT DISTINCT l_orderkey AS d, l_linenumber AS n FROM lineitem) GROUP BY 1)
+ SELECT f.d AS doc_id, sha1('{' || coalesce('"regulations":[' || r || '],', '') || '"fields":[' || f || ']}') AS sha1 FROM f LEFT JOIN g ON f.d = g.d""",
+    "cache_keys": "SELECT o_custkey AS dossier, sha256(string_agg(h, '|' ORDER BY h) || '|set-1') AS cache_key FROM (SELECT o_custkey, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders) GROUP BY 1",
+    "evidence_lines": rf"""WITH lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, lower({_FOLDED.format('unnest(l)')}) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), q AS (SELECT doc_id, quote, lower({_FOLDED.format('quote')}) AS lq FROM (SELECT doc_id, split_part(text[200:259], chr(10), 1) AS quote FROM documents WHERE lang = 'en')),
+ w AS (SELECT *, list_filter(regexp_split_to_array(lq, '[^a-z0-9]+'), lambda x: length(x) >= 2) AS ws FROM q), s AS (SELECT doc_id, quote, line_no, CASE WHEN contains(t, lq) THEN len(ws) + 1 ELSE len([x for x in ws if contains(t, x)]) END AS score FROM lines JOIN w USING (doc_id))
+ SELECT doc_id, line_no, score FROM s WHERE score >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, quote ORDER BY score DESC, line_no) = 1""",
     "lexicon_dominance": f"WITH {_WORDS}, c AS (SELECT fold, word, count(*) AS n FROM t GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY n DESC, word DESC) AS r, lead(n) OVER (PARTITION BY fold ORDER BY n DESC, word DESC) AS n2 FROM c) SELECT fold, word, n FROM k WHERE r = 1 AND n >= 3 * coalesce(n2, 0)",
     "bigram_lag": f"WITH {_WORDS}, l AS (SELECT lag(word) OVER (PARTITION BY doc_id, seg ORDER BY i) AS p, word FROM t) SELECT p || ' ' || word AS pair, count(*) AS n FROM l WHERE p IS NOT NULL GROUP BY 1 HAVING count(*) >= 20",
     "latest_state_per_key": f"WITH {_STAGE} SELECT pid, arg_max(stage, struct_pack(t := ts, i := event_id)) AS stage, count(*) AS updates FROM e GROUP BY 1",
