@@ -3,9 +3,11 @@ lineage, Arrow text buffers, word splitting and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,29 @@ def discard(*cuts: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCH_ROWS = 1000
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Arrow batches hold whole texts: at most BATCH_ROWS rows each, so that a worker's
+    memory doesn't follow the 10,000 rows of Spark's default. It stays set, as plans run later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`f`, giving freed memory back to the system after a partition: workers are used again."""
+
+    def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return g
+
+
 # -- row keys ----------------------------------------------------------------------
 
 
@@ -69,6 +94,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", *carry: str) -> DataFrame:
     `_id` is the id (null: the smallest long), `_k` numbers rows that repeat an
     id, in the order of their carried columns; it is 0 where ids are unique,
     which a count over the id column alone finds out."""
+    lean_batches(docs.sparkSession)
     out = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), *carry)
     repeats = out.groupBy("_id").count().filter("count > 1").limit(1).count()
     if not repeats:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, lean_batches, release
 from .labelled import fold, isotonic, labelled, sample
 
 FOLDS, HELD = 5, 0
@@ -104,6 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = F
     """Fitted on a bounded sample of labelled rows outside the held-out fold (see
     labelled.py). Three quarters of it give the normal equations, the rest the calibration.
     Without any labelled row every score is one half."""
+    lean_batches(docs.sparkSession)
     rows = cut(labelled(docs, sample(labels, label, mod, held)).select("doc_id", "text", "y").mapInArrow(_stats_rows, "doc_id long, x array<double>, y int"))
     part = rows.withColumn("cal", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4)) == 0)
     size = len(statistics(""))

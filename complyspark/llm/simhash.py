@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, doc_id, keyed, keyed_rows, release, utf8
+from .common import components, cut, discard, doc_id, keyed, keyed_rows, lean, release, utf8
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 
@@ -77,7 +77,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
     Null and wordless texts have fingerprint 0 and link like any other; repeated
     rows are rows of their own with the same group; an empty table gives none."""
     spark = docs.sparkSession
-    marks = cut(keyed(docs, "doc_id", "text").mapInArrow(_scan(shingle), "_id long, _k int, fp long"))
+    marks = cut(keyed(docs, "doc_id", "text").mapInArrow(lean(_scan(shingle)), "_id long, _k int, fp long"))
     distinct = cut(marks.groupBy("fp").agg(F.min("_id").alias("low")))
     release(spark)
     tied = components(links(distinct.select("fp"), distance))

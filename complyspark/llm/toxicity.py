@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, lean, lean_batches, release
 from .labelled import fold, labelled, sample
 
 FOLDS, HELD = 4, 2
@@ -30,7 +30,7 @@ TOP = 1500
 """Features kept of all words and beginnings, those with the greatest G2 against the label."""
 LEAST = 4
 """Toxic training documents that a feature must occur in."""
-CACHE = 200_000
+CACHE = 60_000
 LONGEST = 48
 """Characters of a token that is read as a lattice; longer ones (keys, addresses) are parted at symbols."""
 
@@ -87,7 +87,7 @@ class LanguageModel:
 
 def language_model(docs: DataFrame) -> LanguageModel:
     """Counted over every whole text; what reaches the driver has one row a trigram of a fixed alphabet."""
-    got = docs.select("text").mapInArrow(_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("text").mapInArrow(lean(_trigrams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SIZE**3)
     counts[got.column("gram").to_numpy()] = got.column("n").to_numpy()
     return LanguageModel.of(counts)
@@ -249,7 +249,7 @@ def _count(lm: LanguageModel):
         for t in batches:
             for text, y in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
                 (toxic if y else clean).update(names(reader.words(text)))
-                if len(toxic) + len(clean) > 300_000:
+                if len(toxic) + len(clean) > 100_000:
                     yield flush()
         yield flush()
 
@@ -289,11 +289,12 @@ def regression(rows: list[list[int]], y: np.ndarray, size: int, steps: int = 800
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = FOLDS, held: int = HELD) -> Model:
     """The language model of all texts, and the classifier of a bounded sample of
     labelled rows outside the held-out fold (see labelled.py)."""
+    lean_batches(docs.sparkSession)
     lm = language_model(docs)
     rows = cut(labelled(docs, sample(labels, label, mod, held)).select("text", "y"))
     total = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n1, n0 = float(total.get(1, 0)), float(total.get(0, 0))
-    counts = cut(rows.mapInArrow(_count(lm), "name string, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")))
+    counts = cut(rows.mapInArrow(lean(_count(lm)), "name string, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")))
     # exp(-G2 / 2) bounds the chance of a feature, so one of all features by chance has half a G2 of log(features)
     evidence = math.log(max(2, counts.count()))
     counts = counts.filter(F.col("a") >= LEAST)
@@ -304,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = FOL
     # only what speaks for toxicity: clean texts have no words of their own
     chosen = counts.filter(a * n0 > 2 * b * n1).filter(g2 >= evidence).orderBy(g2.desc(), "name").limit(TOP).select("name").collect()
     index = {r["name"]: i for i, r in enumerate(chosen)}
-    seen = rows.mapInArrow(_present(lm, index), "at array<int>, y int").toArrow()
+    seen = rows.mapInArrow(lean(_present(lm, index)), "at array<int>, y int").toArrow()
     w, bias = regression(seen.column("at").to_pylist(), seen.column("y").to_numpy().astype(np.float64), len(index))
     release(docs.sparkSession)
     return Model(lm, {n: float(w[i]) for n, i in index.items() if abs(w[i]) > 1e-3}, bias)
@@ -323,7 +324,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             scores = [own.score(reader.words(x or "")) for x in t.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(f, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(f), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -338,7 +339,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
             keep = [own.score(reader.words(x or "")) < threshold for x in t.column(at).to_pylist()]
             yield t.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(f, docs.schema)
+    return docs.mapInArrow(lean(f), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
