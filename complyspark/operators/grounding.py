@@ -10,6 +10,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import CURRENCIES, coerce_typed
 from ..functions.text import accent_fold, fold_diacritics, golden_normalize
@@ -20,13 +21,13 @@ MODEL_CONFIDENCE_CAP = 0.7
 PLACEHOLDERS = ("na", "none", "null", "khongco", "khongro", "khongxacdinh", "chuaxacdinh", "unknown")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Gestalt similarity of two texts."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def coverage(part: pd.Series, whole: pd.Series) -> pd.Series:
     """Share of the characters of `part` in blocks that `whole` has too."""
 
