@@ -34,6 +34,18 @@ def in_force(day: Column) -> Column:
     return day.isNull() | ((F.col("effective_from") <= day) & (F.coalesce(F.col("effective_to"), F.lit("9999-12-31").cast("date")) >= day))
 
 
+def valid_on(days: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks in force on each day (`day`, null: all of them). A stab join with the year
+    as its equi-join key: an interval is a row a year, open ends up to the last day asked for."""
+    known = days.filter("day is not null").withColumn("_y", F.year("day"))
+    last = known.agg(F.coalesce(F.max("_y"), F.lit(0)).alias("_last"))
+    start, end = F.year("effective_from"), F.least(F.year(F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))), F.col("_last"))
+    by_year = chunks.crossJoin(F.broadcast(last)).withColumn("_y", F.explode(F.when(end >= start, F.sequence(start, end)).otherwise(F.array().cast("array<int>"))))
+    dated = by_year.join(known, "_y").filter(in_force(F.col("day"))).select("day", *chunks.columns)
+    undated = chunks.crossJoin(F.broadcast(days.filter("day is null").select("day").distinct()))
+    return dated.unionByName(undated.select("day", *chunks.columns))
+
+
 def relaxed(hits: DataFrame, query: str = "query_id") -> DataFrame:
     """Of each query the rows in force; all of its rows where none is (scope holds)."""
     any_in = F.max(F.col("in_force")).over(Window.partitionBy(query))

@@ -107,3 +107,45 @@ def test_chunks_keep_long_paragraphs(spark):
 def test_relaxed_keeps_scope(spark):
     h = spark.createDataFrame([(1, "a", True), (1, "b", False), (2, "c", False)], "query_id int, chunk_id string, in_force boolean")
     assert {r.chunk_id for r in retrieval.relaxed(h).collect()} == {"a", "c"}
+
+
+def test_valid_on(spark):
+    import datetime as dt
+
+    d = lambda s: dt.date.fromisoformat(s) if s else None
+    days = spark.createDataFrame([(d("2020-06-01"),), (d("1999-01-01"),), (None,)], "day date")
+    chunks = spark.createDataFrame([("a", d("2019-01-01"), d("2020-05-31")), ("b", d("2018-01-01"), None), ("c", d("2020-06-01"), d("2020-06-01")), ("d", d("2021-01-01"), None)], "chunk_id string, effective_from date, effective_to date")
+    got = {(str(r.day), r.chunk_id) for r in retrieval.valid_on(days, chunks).collect()}
+    assert got == {("2020-06-01", "b"), ("2020-06-01", "c"), ("None", "a"), ("None", "b"), ("None", "c"), ("None", "d")}
+
+
+def test_images(spark):
+    import numpy as np
+
+    from complyspark.sources import images
+
+    page = np.full((100, 80, 3), 255, np.uint8)
+    assert images.is_blank(page)
+    page[20:22, 5:75] = 0
+    page[60:62, 5:75] = 0
+    page[80:90, 40:60] = (200, 20, 30)
+    assert not images.is_blank(page) and images.axis_ratio(page) > 1
+    assert (images.without_red(page)[80:90, 40:60] == 255).all()
+    assert images.crop(page, (0.5, 0.0, 1.0, 0.5)).shape == (50, 40, 3) and images.crop(page, (0, 0, 0.01, 1)).shape == page.shape
+    assert images.rotation(page, {180: 0.9, 0: 0.2}) == 180
+    df = spark.createDataFrame([(1, 100, 80, bytearray(page.tobytes()))], "page_id long, height int, width int, pixels binary")
+    assert images.page_facts(df).first().blank is False
+
+
+def test_flow(spark):
+    import datetime as dt
+
+    from complyspark.plans import flow
+
+    docs = spark.createDataFrame([(1, "Ngày ký: 01/02/2024\n2. Tiền lương: 5000 USD\n- Số lượng: 3 người\n- Địa điểm làm việc: Kho 1"), (2, None)], "doc_id long, text string")
+    chunks = spark.createDataFrame([("c1", "tiền lương", dt.date(2020, 1, 1), None)], "chunk_id string, text string, effective_from date, effective_to date")
+    checks, report = flow.check_dossiers(docs, chunks, flow.CHECK)
+    got = {(r.doc_id, r.field_key): (r.verdict, r.mandatory) for r in checks.collect()}
+    assert got[1, "people"] == ("PASS", False) and got[1, "place"] == ("DECLARATION", False)
+    assert {k for k in got if k[0] == 2 and got[k] == ("NEEDS_SUPPLEMENT", True)} == {(2, "day"), (2, "wage"), (2, "people")}
+    assert {r.doc_id: r.overall for r in report.collect()}[2] == "NEEDS_SUPPLEMENT"
