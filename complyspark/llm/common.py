@@ -92,7 +92,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", *carry: str) -> DataFrame:
     """Columns `_id`, `_k` and `carry`, one row per input row, unique by (`_id`, `_k`).
 
     `_id` is the id (null: the smallest long), `_k` numbers rows that repeat an
-    id, in the order of their carried columns; it is 0 where ids are unique,
+    id, in the order of their carried columns but `_row`; it is 0 where ids are unique,
     which a count over the id column alone finds out."""
     lean_batches(docs.sparkSession)
     out = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), *carry)
@@ -101,7 +101,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", *carry: str) -> DataFrame:
         return out.select("_id", F.lit(0).cast("int").alias("_k"), *carry)
     from pyspark.sql import Window
 
-    order = [F.col(c) for c in carry] or [F.lit(0)]
+    order = [F.col(c) for c in carry if c != "_row"] or [F.lit(0)]
     return out.select("_id", (F.row_number().over(Window.partitionBy("_id").orderBy(*order)) - 1).cast("int").alias("_k"), *carry)
 
 

@@ -33,6 +33,8 @@ SAMPLE = 20_000
 ROUNDS = 30
 PROBES = 512
 CHUNK_ROWS = 1024
+BUNDLE = 2048
+"""Vectors for each bundle of small buckets of a label and table."""
 
 
 def itq(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 4) -> np.ndarray:
@@ -129,17 +131,21 @@ def _code_rows(codes: Codes, d: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 
 def _block(codes: Codes, d: int) -> Callable[[pa.Table], pa.Table]:
-    """Links of one block of one bucket, as (node, links) sums and (node, other) forest edges."""
+    """Links of one block of a large bucket, or of a bundle of small ones of one table, as
+    (node, links) sums and (node, other) forest edges."""
 
     def f(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        node, home, chunk, copies = (t.column(c).to_numpy() for c in ("node", "home", "chunk", "copies"))
         tbl = int(t.column("tbl")[0].as_py())
         lo, hi = int(t.column("lo")[0].as_py()), int(t.column("hi")[0].as_py())
-        x = _matrix(t.column("vec"), d)
+        code = t.column("code").to_numpy()
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        node, home, chunk, copies = (t.column(c).to_numpy()[order] for c in ("node", "home", "chunk", "copies"))
+        x = _matrix(t.column("vec"), d)[order]
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        y = codes.turn(x)
-        first, second = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        cuts = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])), len(code))
         links = np.zeros(len(node), np.int64)
         parent = np.arange(len(node))
 
@@ -149,16 +155,14 @@ def _block(codes: Codes, d: int) -> Callable[[pa.Table], pa.Table]:
                 i = parent[i]
             return i
 
-        for s in range(0, len(first), 256):
-            rows = first[s : s + 256]
-            i, j = np.nonzero(unit[rows] @ unit[second].T >= codes.cosine)
-            i, j = rows[i], second[j]
-            if lo == hi:
-                i, j = i[i < j], j[i < j]
-            keep = (node[i] != node[j]) & (home[i] | home[j] if tbl >= 0 else ~home[i] | ~home[j])
-            i, j = i[keep], j[keep]
-            if tbl >= 0 and len(i):
-                owner, who = codes.owner(y[i], y[j], node[i], node[j])
+        def settle() -> None:
+            """Of the pairs met so far, those that this table counts."""
+            if not pairs:
+                return
+            i, j = (np.concatenate(z) for z in zip(*pairs, strict=True))
+            pairs.clear()
+            if tbl >= 0:
+                owner, who = codes.owner(codes.turn(x[i]), codes.turn(x[j]), node[i], node[j])
                 roles = np.where(who == 0, home[i] & home[j], np.where(who == 1, ~home[i] & home[j], home[i] & ~home[j]))
                 i, j = i[(owner == tbl) & roles], j[(owner == tbl) & roles]
             np.add.at(links, i, copies[j])
@@ -167,6 +171,24 @@ def _block(codes: Codes, d: int) -> Callable[[pa.Table], pa.Table]:
                 ra, rb = find(a), find(b)
                 if ra != rb:
                     parent[max(ra, rb)] = min(ra, rb)
+
+        held = 0
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            first, second = (a + np.flatnonzero(chunk[a:z] == k) for k in (lo, hi))
+            for s in range(0, len(first), 256):
+                rows = first[s : s + 256]
+                i, j = np.nonzero(unit[rows] @ unit[second].T >= codes.cosine)
+                i, j = rows[i], second[j]
+                keep = (node[i] != node[j]) & (home[i] | home[j] if tbl >= 0 else ~home[i] | ~home[j])
+                if lo == hi:
+                    keep &= i < j
+                if keep.any():
+                    pairs.append((i[keep], j[keep]))
+                    held += int(keep.sum())
+                if held > 100_000:
+                    settle()
+                    held = 0
+        settle()
         got = np.flatnonzero(links)
         roots = np.array([find(int(i)) for i in got], np.int64)
         return pa.table({"node": pa.array(node[got]), "links": pa.array(links[got]), "other": pa.array(node[roots] if len(got) else node[:0])})
@@ -206,9 +228,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bits: int = BITS
     every = coded.filter("tbl >= 0").unionByName(homes)
     bucket = every.groupBy(*key).agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 and (any or tbl < 0)").select(*key, F.ceil(F.col("n") / CHUNK_ROWS).alias("chunks"))
     met = every.join(bucket, key).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    met = met.withColumn("o", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("lo", F.least("chunk", "o")).withColumn("hi", F.greatest("chunk", "o")).drop("o", "chunks", "label")
+    met = met.withColumn("o", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("lo", F.least("chunk", "o")).withColumn("hi", F.greatest("chunk", "o"))
+    # small buckets share a task: a bundle is a hash of codes; the blocks of a large one stand alone
+    bundles = max(1, -(-classes.count() // BUNDLE))
+    met = met.withColumn("bundle", F.when(F.col("chunks") > 1, F.col("code") + bundles).otherwise(F.pmod(F.xxhash64("code"), F.lit(bundles)))).drop("o", "chunks", "label")
     blocks = met.join(classes.select("node", "label", "vec", "copies"), "node")
-    linked = cut(blocks.groupBy("label", "tbl", "code", "lo", "hi").applyInArrow(_block(codes, d), "node long, links long, other long"))
+    linked = cut(blocks.groupBy("label", "tbl", "bundle", "lo", "hi").applyInArrow(_block(codes, d), "node long, links long, other long"))
     release(spark)
     tied = components(linked.select(F.col("node").alias("src"), F.col("other").alias("dst")))
     degree = linked.groupBy("node").agg(F.sum("links").alias("links"))
