@@ -21,7 +21,7 @@ def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     sha = F.sha2("p_name", 256)
-    return table(spark, sf_dir, "part").filter(k % 9 != 4).select(
+    return table(spark, sf_dir, "part").filter("p_size <> 4").select(
         F.concat(F.lit("doc_"), k).alias("file"),
         F.when(k % 8 == 1, F.lit(None)).when(k % 8 == 2, F.lit("stale")).otherwise(sha).alias("sha256"),
         F.when(k % 6 != 5, F.lit("chief")).alias("approved_by"),
@@ -33,7 +33,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").filter(k % 10 != 3).select(F.concat(F.lit("doc_"), k).alias("file"), F.sha2("p_name", 256).alias("sha256"), F.col("p_name").alias("text"))
+    return table(spark, sf_dir, "part").filter("p_size <> 13").select(F.concat(F.lit("doc_"), k).alias("file"), F.sha2("p_name", 256).alias("sha256"), F.col("p_name").alias("text"))
 
 
 def registry_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,14 +69,14 @@ def add_regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delete_regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = registry(spark, sf_dir).withColumn("file", F.concat(F.lit("doc_"), F.col("ord") % 300))
+    r = registry(spark, sf_dir).withColumn("file", F.concat(F.lit("doc_"), F.col("ord") % 1500))
     return C.delete_set(r, "Brand#3")[1]
 
 
 def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    old = table(spark, sf_dir, "part").filter(k % 2 == 0).select(k.alias("chunk_id"), F.col("p_name").alias("text"))
-    new = table(spark, sf_dir, "part").filter(k % 3 == 0).select(k.alias("chunk_id"), F.upper("p_name").alias("text"))
+    old = table(spark, sf_dir, "part").filter("p_size <= 30").select(k.alias("chunk_id"), F.col("p_name").alias("text"))
+    new = table(spark, sf_dir, "part").filter("p_size >= 20").select(k.alias("chunk_id"), F.upper("p_name").alias("text"))
     return C.upsert(old, new)
 
 
@@ -132,8 +132,8 @@ def column_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.column_segments(b, 0.03).groupBy("doc_id").agg(F.max("segment").cast("long").alias("segments"))
 
 
-_REG = """reg AS (SELECT 'doc_' || CAST(p_partkey AS VARCHAR) AS file, CASE p_partkey % 8 WHEN 1 THEN NULL WHEN 2 THEN 'stale' ELSE sha256(p_name) END AS sha256, CASE WHEN p_partkey % 6 <> 5 THEN 'chief' END AS approved_by, p_partkey AS ord, p_name AS title, p_brand AS reg_set FROM part WHERE p_partkey % 9 <> 4),
- fil AS (SELECT 'doc_' || CAST(p_partkey AS VARCHAR) AS file, sha256(p_name) AS sha256 FROM part WHERE p_partkey % 10 <> 3)"""
+_REG = """reg AS (SELECT 'doc_' || CAST(p_partkey AS VARCHAR) AS file, CASE p_partkey % 8 WHEN 1 THEN NULL WHEN 2 THEN 'stale' ELSE sha256(p_name) END AS sha256, CASE WHEN p_partkey % 6 <> 5 THEN 'chief' END AS approved_by, p_partkey AS ord, p_name AS title, p_brand AS reg_set FROM part WHERE p_size <> 4),
+ fil AS (SELECT 'doc_' || CAST(p_partkey AS VARCHAR) AS file, sha256(p_name) AS sha256 FROM part WHERE p_size <> 13)"""
 _AUDIT = f"""WITH {_REG} SELECT coalesce(r.file, f.file) AS file, CASE WHEN r.file IS NULL THEN 'unregistered' WHEN f.file IS NULL THEN 'missing_file' WHEN r.sha256 <> f.sha256 THEN 'hash_mismatch' WHEN coalesce(approved_by, '') = '' THEN 'unapproved' ELSE 'ok' END AS status FROM reg r FULL OUTER JOIN fil f ON r.file = f.file"""
 _FOLD = "strip_accents(replace(replace({0}, 'đ', 'd'), 'Đ', 'D'))"
 _LINES = "lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -175,10 +175,10 @@ SQL = {
     "reg_set_additions": f"""WITH {_REG}, n AS (SELECT 'Brand#' || CAST(s_suppkey % 25 + 1 AS VARCHAR) AS reg_set, 'doc_' || CAST(s_suppkey % 40 AS VARCHAR) AS stem, sha256('n' || CAST(s_suppkey % 70 AS VARCHAR)) AS sha256, s_suppkey AS ord FROM supplier),
  d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY reg_set, sha256 ORDER BY ord) = 1), e AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM reg WHERE reg.reg_set = d.reg_set AND reg.sha256 = d.sha256)),
  k AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY ord) + CASE WHEN stem IN (SELECT file FROM reg) THEN 1 ELSE 0 END AS n FROM e) SELECT reg_set, CASE WHEN n = 1 THEN stem ELSE stem || '_' || CAST(n AS VARCHAR) END AS file, ord FROM k""",
-    "reg_set_deletion": "WITH r AS (SELECT 'doc_' || CAST(p_partkey % 300 AS VARCHAR) AS file, p_brand FROM part WHERE p_partkey % 9 <> 4) SELECT DISTINCT file FROM r WHERE p_brand = 'Brand#3' AND file NOT IN (SELECT file FROM r WHERE p_brand <> 'Brand#3')",
-    "upsert_chunks": "SELECT p_partkey AS chunk_id, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS text FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0",
+    "reg_set_deletion": "WITH r AS (SELECT 'doc_' || CAST(p_partkey % 1500 AS VARCHAR) AS file, p_brand FROM part WHERE p_size <> 4) SELECT DISTINCT file FROM r WHERE p_brand = 'Brand#3' AND file NOT IN (SELECT file FROM r WHERE p_brand <> 'Brand#3')",
+    "upsert_chunks": "SELECT p_partkey AS chunk_id, CASE WHEN p_size >= 20 THEN upper(p_name) ELSE p_name END AS text FROM part",
     "prune_orphans": "SELECT o_orderkey, o_custkey AS segment_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)",
-    "reg_set_usage": "SELECT reg_set, string_agg(s_name, ',' ORDER BY s_name) AS used_by FROM (SELECT DISTINCT s_name, unnest(['Brand#' || CAST(s_suppkey % 25 + 1 AS VARCHAR), 'Brand#' || CAST(s_nationkey AS VARCHAR)]) AS reg_set FROM supplier) WHERE reg_set IN (SELECT p_brand FROM part WHERE p_partkey % 9 <> 4) GROUP BY 1",
+    "reg_set_usage": "SELECT reg_set, string_agg(s_name, ',' ORDER BY s_name) AS used_by FROM (SELECT DISTINCT s_name, unnest(['Brand#' || CAST(s_suppkey % 25 + 1 AS VARCHAR), 'Brand#' || CAST(s_nationkey AS VARCHAR)]) AS reg_set FROM supplier) WHERE reg_set IN (SELECT p_brand FROM part WHERE p_size <> 4) GROUP BY 1",
     "page_texts": r"""SELECT page_id, length(t) AS chars, sha1(t) AS sha1 FROM (SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'),
  '(?i)</(p|div|h[1-6]|li|tr|article|section|title)>|<br\s*/?>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), ' ' || chr(10)) AS t FROM pages)""",
     "chunk_sources": "SELECT source, count(*) AS chunks, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1",

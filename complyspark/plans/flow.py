@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import normalize_signed_date
@@ -58,13 +58,12 @@ def passages(fields: DataFrame, chunks: DataFrame, check: CheckSet) -> DataFrame
     labels = fields.select("field_key", "label").distinct().select("field_key", F.concat_ws(" ", F.lit(check.kind), "label").alias("text"))
     vec = models.embed(labels.withColumnRenamed("field_key", "chunk_id"), check.embedder).withColumnsRenamed({"chunk_id": "field_key", "embedding": "vec"})
     store = models.embed(chunks, check.embedder).join(chunks, "chunk_id")
+    # a distance belongs to a field and a chunk, whatever the day: one row of the catalog meets one chunk once
+    near = store.join(F.broadcast(vec), F.lit(True)).select("field_key", "chunk_id", F.round(retrieval.squared_distance(F.col("vec"), F.col("embedding")), 6).alias("distance"))
     days = signing_days(fields, check).select("day").distinct()
-    open_day = F.coalesce("day", F.lit(NO_DAY).cast("date")).alias("day")
-    valid = retrieval.valid_on(days, store.select("chunk_id", "embedding", "effective_from", "effective_to")).withColumn("day", open_day)
-    # every field asks on every day: a row a day and field of the catalog
-    query = days.select(open_day, F.explode(F.lit([f.key for f in check.fields])).alias("field_key")).join(F.broadcast(vec), "field_key").select(F.concat_ws("|", "field_key", F.col("day").cast("string")).alias("query_id"), "vec", "day")
-    hits = retrieval.top_k(query, valid, "day", check.top)
-    return hits.select(F.substring_index("query_id", "|", 1).alias("field_key"), F.to_date(F.substring_index("query_id", "|", -1)).alias("day"), "chunk_id", "rank")
+    valid = retrieval.valid_on(days, chunks.select("chunk_id", "effective_from", "effective_to")).select("chunk_id", F.coalesce("day", F.lit(NO_DAY).cast("date")).alias("day"))
+    w = Window.partitionBy("field_key", "day").orderBy("distance", "chunk_id")
+    return valid.join(near, "chunk_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= check.top).select("field_key", "day", "chunk_id", "rank")
 
 
 def check_dossiers(docs: DataFrame, chunks: DataFrame, check: CheckSet) -> tuple[DataFrame, DataFrame]:
@@ -85,10 +84,10 @@ def check_dossiers(docs: DataFrame, chunks: DataFrame, check: CheckSet) -> tuple
 
 def _forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Forms and passages made from orders and parts."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     text = F.concat(F.lit("HỢP ĐỒNG\n1. Ngày ký: "), F.when(k % 30 == 0, "chưa rõ").otherwise(F.date_format("o_orderdate", "01/MM/yyyy")), F.lit("\n2. Tien luong: "), F.floor("o_totalprice").cast("long"), F.lit(" USD/tháng\n- Số lượng: "), k % 1000, F.lit(" người\n- Địa điểm làm việc: Kho "), F.col("o_orderpriority"), F.lit("\n\nHết"))
-    p = table(spark, sf_dir, "part").filter("p_size < 4")
+    p = table(spark, sf_dir, "part")
     start = F.date_add(F.lit("1992-01-01").cast("date"), (F.col("p_partkey") % 2000).cast("int"))
     chunks = p.select(F.concat(F.lit("c"), "p_partkey").alias("chunk_id"), F.concat_ws(" ", F.lit("Tiền lương"), "p_name", "p_type").alias("text"), start.alias("effective_from"), F.when(F.col("p_partkey") % 3 == 0, F.date_add(start, 900)).alias("effective_to"))
     return o.select(k.alias("doc_id"), text.alias("text")), chunks

@@ -72,8 +72,7 @@ def in_force_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relaxed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _passages(spark, sf_dir).filter(F.col("chunk_id") % 50 == 0)
-    j = p.join(_requests(spark, sf_dir), "jurisdiction").withColumn("in_force", R.in_force(F.col("day")))
+    j = _passages(spark, sf_dir).join(_requests(spark, sf_dir), "jurisdiction").withColumn("in_force", R.in_force(F.col("day")))
     return R.relaxed(j).groupBy("query_id").agg(F.count("*").alias("passages"), F.bool_and("in_force").alias("strict"))
 
 
@@ -164,7 +163,7 @@ SQL = {
     "rerank_order": f"WITH {_HITS.format(5)} SELECT query_id AS field_key, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id * 7 % 5 DESC, distance, chunk_id) - 1 AS i FROM hits",
     "scope_filter": "SELECT o_orderkey AS chunk_id, o_orderstatus AS doc_type, CAST(o_custkey % 4 AS VARCHAR) AS reg_set FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus IN ('F', 'P') AND o_custkey % 4 IN (1, 2)",
     "in_force_interval_join": f"WITH {_PASS}, {_REQ} SELECT query_id, count(*) AS passages, max(chunk_id) AS last FROM p JOIN q USING (j) WHERE {_FORCE} GROUP BY 1",
-    "relaxed_fallback": f"WITH {_PASS}, {_REQ}, m AS (SELECT *, {_FORCE} AS ok FROM p JOIN q USING (j) WHERE chunk_id % 50 = 0), a AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS hit FROM m) SELECT query_id, count(*) AS passages, bool_and(ok) AS strict FROM a WHERE ok OR NOT hit GROUP BY 1",
+    "relaxed_fallback": f"WITH {_PASS}, {_REQ}, m AS (SELECT *, {_FORCE} AS ok FROM p JOIN q USING (j)), a AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS hit FROM m) SELECT query_id, count(*) AS passages, bool_and(ok) AS strict FROM a WHERE ok OR NOT hit GROUP BY 1",
     "best_chunk_overlap": f"WITH q AS (SELECT item_id, unnest({_TOK.format('text')}) AS t FROM benchmark), d AS (SELECT doc_id, unnest({_TOK.format('text')}) AS t FROM documents), n AS (SELECT item_id, doc_id, count(*) AS score FROM q JOIN d USING (t) GROUP BY 1, 2 HAVING count(*) >= 2) SELECT item_id AS query_id, doc_id AS chunk_id, score FROM n QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) = 1",
     "citation_precision": "SELECT count(*) AS citations, count(*) FILTER (p) AS known, count(*) FILTER (c IS NOT NULL AND NOT p) AS invented, count(*) FILTER (c IS NULL) AS static, round(count(*) FILTER (p) / nullif(count(c), 0), 4) AS precision FROM (SELECT c, coalesce(c IN (SELECT p_partkey FROM part WHERE p_size < 40), false) AS p FROM (SELECT CASE WHEN l_linenumber % 4 <> 0 THEN l_partkey END AS c FROM lineitem))",
     "citation_backfill_join": "SELECT l_orderkey AS check_id, p_partkey AS chunk_id, p_brand AS source_doc, CAST(least(1200, 150 * length(p_name)) AS BIGINT) AS chars FROM lineitem JOIN part ON l_partkey = p_partkey AND l_linenumber % 4 <> 0 AND p_size < 10",
