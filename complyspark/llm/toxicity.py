@@ -54,17 +54,28 @@ for _c in range(0x250):
 # -- the language model ---------------------------------------------------------------------------
 
 
+def _runs(texts: list[str | None], size: int = 1 << 20) -> Iterator[str]:
+    """Texts joined by blanks, in parts of about `size` characters that overlap by two."""
+    held: list[str] = [""]
+    n = 0
+    for k, x in enumerate(texts):
+        held.append(x or "")
+        n += len(held[-1])
+        if n >= size or k == len(texts) - 1:
+            whole = " ".join([*held, ""])
+            held, n = [""], 0
+            for a in range(0, len(whole), size):
+                yield whole[max(0, a - 2) : a + size]
+
+
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in batches:
         total = np.zeros(SIZE**3, np.int64)
-        texts = t.column(0).to_pylist()
-        for lo in range(0, len(texts), 64):
-            raw = np.frombuffer(" ".join(["", *[x or "" for x in texts[lo : lo + 64]], ""]).encode("utf-32-le"), np.uint32)
-            for a in range(0, len(raw), 1 << 20):
-                part = raw[max(0, a - 2) : a + (1 << 20)]
-                code = np.where(part < 0x250, _LUT[np.minimum(part, 0x24F)], 1)
-                gram = (code[:-2] * SIZE + code[1:-1]) * SIZE + code[2:]
-                total += np.bincount(gram, minlength=SIZE**3)
+        for part in _runs(t.column(0).to_pylist()):
+            raw = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+            code = np.where(raw < 0x250, _LUT[np.minimum(raw, 0x24F)], 1)
+            gram = (code[:-2] * SIZE + code[1:-1]) * SIZE + code[2:]
+            total += np.bincount(gram, minlength=SIZE**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
