@@ -6,7 +6,6 @@ from collections import Counter
 
 import numpy as np
 import xxhash
-from conftest import DOCS  # noqa: F401
 
 from complyspark.llm import common, fingerprints, simhash, substring_dedup, suffix_dedup, windows
 
