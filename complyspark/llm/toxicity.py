@@ -31,8 +31,6 @@ TOP = 1500
 LEAST = 4
 """Toxic training documents that a feature must occur in."""
 CACHE = 60_000
-LONGEST = 48
-"""Characters of a token that is read as a lattice; longer ones (keys, addresses) are parted at symbols."""
 
 # Letters that leetspeak characters stand for.
 LEET = {
@@ -139,13 +137,14 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(token: str, lm: LanguageModel) -> str:
-    """The best reading of a lower-case token as one word."""
+def decoded(places: list[list[tuple[str, float]]], lm: LanguageModel) -> str:
+    """The best reading of a lattice as one word. Readings are chains of their parts, so a
+    lattice of any length takes time in proportion."""
     table = lm.table
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(token):
-        now: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+    best: dict[tuple[int, int], tuple[float, int, tuple | None]] = {(0, 0): (0.0, 0, None)}
+    for options in places:
+        now: dict[tuple[int, int], tuple[float, int, tuple | None]] = {}
+        for (a, b), (score, size, chain) in best.items():
             for letters, p in options:
                 s, x, y = score + p, a, b
                 for ch in letters:
@@ -153,23 +152,35 @@ def viterbi(token: str, lm: LanguageModel) -> str:
                     s += float(table[x, y, z])
                     x, y = y, z
                 if (old := now.get((x, y))) is None or s > old[0]:
-                    now[x, y] = (s, text + letters)
+                    now[x, y] = (s, size + len(letters), (chain, letters) if letters else chain)
         best = now
     if not best:
         return ""
     # the mean over a word's characters: readings of unlike length compare fairly
-    return max(((s + float(table[a, b, 0])) / (len(t) + 1), t) for (a, b), (s, t) in best.items())[1]
+    chain = max(((s + float(table[a, b, 0])) / (n + 1), k, c) for k, ((a, b), (s, n, c)) in enumerate(best.items()))[2]
+    parts = []
+    while chain is not None:
+        chain, letters = chain
+        parts.append(letters)
+    return "".join(reversed(parts))
+
+
+def viterbi(token: str, lm: LanguageModel) -> str:
+    """The best reading of a lower-case token as one word."""
+    return decoded(lattice(token), lm)
 
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
+_JOINT = re.compile(r"(?:_|[^\w@$!|+(€£¡*])+")
+"""What joins words: symbols that stand for no letter."""
+
+
 def suspicious(token: str) -> bool:
-    """Whether a token without its outer punctuation needs decoding."""
-    if token.isalpha():
-        return _RUN.search(token) is not None
-    letters = sum(map(str.isalpha, token))
-    return letters >= 1 and 3 <= len(token) and 2 * letters >= len(token) - 2 and any(c in LEET or not c.isalnum() for c in token)
+    """Whether a token without its outer punctuation needs decoding: a letter is repeated, or there
+    are other characters than letters. What such a token reads as is left to the language model."""
+    return _RUN.search(token) is not None if token.isalpha() else len(token) >= 3
 
 
 @dataclass
@@ -192,10 +203,12 @@ class Reader:
             core += "$" * (len(tail) - len(tail.lstrip("$")))
         if core.isalpha() and not _RUN.search(core):
             return (core,)
-        if len(core) > LONGEST:
-            return tuple(w for p in re.split(r"[\W\d_]+", core) if p for w in ([p] if len(p) > LONGEST or not suspicious(p) else [viterbi(p, self.lm)]))
         plain = tuple(p for p in re.split(r"[\W\d_]+", core) if p)
-        return (*plain, viterbi(core, self.lm)) if suspicious(core) else plain
+        if not suspicious(core):
+            return plain
+        # parts keep their digits; the whole is read too, as what joins may be noise within a word
+        parts = {p for p in _JOINT.split(core) if suspicious(p)} - {core}
+        return (*plain, *(viterbi(p, self.lm) for p in sorted(parts)), viterbi(core, self.lm))
 
     def words(self, text: str) -> set[str]:
         """All words of a text, restored."""
@@ -210,9 +223,7 @@ class Reader:
             out.update(got)
         for m in _SPACED.finditer(text):
             joined = re.sub(r"[ .\-_*]", "", m[0]).lower()
-            for a in range(0, len(joined), LONGEST):
-                part = joined[a : a + LONGEST]
-                out.add(part if part.isalpha() and not _RUN.search(part) else viterbi(part, self.lm))
+            out.add(joined if joined.isalpha() and not _RUN.search(joined) else viterbi(joined, self.lm))
         return out
 
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 from oracle import connect, of_spark, of_sql
 
 from complyspark.llm import quality, queries, secrets, toxicity
@@ -117,6 +118,27 @@ def test_toxicity(spark, make_docs):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, s in got.items() if s < 0.3}
 
 
+def _reader(extra=""):
+    ugly = ["idiot", "moron", "worthless", "pathetic", "stupid"]
+    rng = np.random.default_rng(5)
+    prose = "you are such a man and an old friend today so go away now or stay with me in a house that is not far the moon was on".split()
+    text = " ".join(str(rng.choice(ugly if k % 9 == 0 else prose)) for k in range(6000)) + extra
+    counts = np.zeros(toxicity.SIZE**3)
+    for b in toxicity._trigrams(iter([pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])])):
+        counts[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    return toxicity.Reader(toxicity.LanguageModel.of(counts))
+
+
+def test_tokens_of_any_length_and_few_letters():
+    reader = _reader()
+    assert "stupid" in reader.token("st" + "u" * 50 + "pid")
+    assert {"worthless", "moron", "idiot"} <= set(reader.token("you-are-such-a-w0r7hl355-m0r0n-and-1d10t-go-away-now"))
+    assert "idiot" in reader.token("1d107") and "idiot" in reader.token("1d!07") and "worthless" in reader.token("w0r7h1355")
+    assert {"idiot", "moron"} <= set(reader.token("go_1d107.now/m0r0n"))
+    assert reader.token("m.o_r-0.n")[-1] == "moron"
+    assert len(reader.token("-".join(["w0r7h1355"] * 20_000))) > 0
+
+
 def test_digest_columns(spark, sf_dir):
     r = queries.QUERIES["op6_secrets"](spark, sf_dir).filter("spans = ''").first()
     assert r.base_sha256 == hashlib.sha256(b"").hexdigest()
