@@ -1,9 +1,9 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character trigram model is counted over all documents. A suspicious token
-(letters mixed with leetspeak, a letter repeated three times or more, letters
+(leetspeak with or without letters, a letter repeated three times or more, letters
 spaced out) is a lattice: each of its characters may be itself, a letter it
-stands for, or noise. Viterbi finds the reading that the language model likes
+stands for, or noise, and a separator of a spaced run noise or a word's end. Viterbi finds the reading that the language model likes
 best, and the restored text is scored by a logistic regression on its words and
 their beginnings, fitted on labelled documents read the same way."""
 
@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,7 @@ LOST = -9.0
 """A character that stands for a letter is noise after all."""
 _RUN = re.compile(r"(.)\1{2,}")
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W_](?:[ .\-_*]{1,2}[^\W_]){3,}(?![^\W\d_])")
+_NEXT = re.compile(r"([ .\-_*]{1,2})([^\W_])")
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -137,12 +139,18 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decoded(places: list[list[tuple[str, float]]], lm: LanguageModel) -> str:
-    """The best reading of a lattice as one word. Readings are chains of their parts, so a
-    lattice of any length takes time in proportion."""
+def decoded(places: list[list[tuple[str, float]]], lm: LanguageModel, ends: list[float | None] | None = None) -> str:
+    """The best reading of a lattice: one word, or words with blanks between where `ends` has the
+    log probability that a word ends before a place. Readings are chains of their parts, so
+    a lattice of any length takes time in proportion."""
     table = lm.table
     best: dict[tuple[int, int], tuple[float, int, tuple | None]] = {(0, 0): (0.0, 0, None)}
-    for options in places:
+    for at, options in enumerate(places):
+        if ends and (p := ends[at]) is not None:
+            for (a, b), (score, size, chain) in list(best.items()):
+                s = score + p + float(table[a, b, 0])
+                if b and ((old := best.get((b, 0))) is None or s > old[0]):
+                    best[b, 0] = (s, size + 1, (chain, " "))
         now: dict[tuple[int, int], tuple[float, int, tuple | None]] = {}
         for (a, b), (score, size, chain) in best.items():
             for letters, p in options:
@@ -170,6 +178,31 @@ def viterbi(token: str, lm: LanguageModel) -> str:
     return decoded(lattice(token), lm)
 
 
+ENDS = (-4.0, -2.0, 0.0, 2.0, 4.0)
+"""Log probabilities, against noise, that a separator in a spaced run ends a word: a run is read under each."""
+UNLIKE = 6.0
+"""More for a separator that is unlike the run's usual one."""
+
+
+def spaced(run: str, lm: LanguageModel) -> set[str]:
+    """Words of characters with separators between, each of which is noise or ends a word."""
+    chars, gaps = [run[0]], [""]
+    for m in _NEXT.finditer(run, 1):
+        gaps.append(m[1])
+        chars.append(m[2])
+    usual = Counter(gaps[1:]).most_common(1)[0][0]
+    places, seps = [], []
+    for _, part in groupby(range(len(chars)), key=lambda i: chars[i]):
+        own = list(part)
+        got = lattice("".join(chars[i] for i in own))
+        places += got
+        seps += [gaps[i] for i in own[: len(got)]]
+    out = {decoded(places, lm)}
+    for p in ENDS:
+        out.update(decoded(places, lm, [None if not g else p + UNLIKE * (g != usual) for g in seps]).split())
+    return out
+
+
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -222,8 +255,7 @@ class Reader:
                 got = known[raw] = self.token(raw)
             out.update(got)
         for m in _SPACED.finditer(text):
-            joined = re.sub(r"[ .\-_*]", "", m[0]).lower()
-            out.add(joined if joined.isalpha() and not _RUN.search(joined) else viterbi(joined, self.lm))
+            out |= spaced(m[0].lower(), self.lm)
         return out
 
 

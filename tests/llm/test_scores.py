@@ -139,6 +139,15 @@ def test_tokens_of_any_length_and_few_letters():
     assert len(reader.token("-".join(["w0r7h1355"] * 20_000))) > 0
 
 
+def test_spaced_runs_keep_word_ends():
+    reader = _reader()
+    assert "moron" in reader.words("you are a m o r o n today")
+    assert "worthless" in reader.words("such a w-o-r-t-h-l-e-s-s man")
+    assert "idiot" in reader.words("y o u a r e a n i d i o t ok")
+    assert {"stupid", "moron"} <= reader.words("a s.t.u.p.i.d m-o-r-o-n")
+    assert {"worthless", "idiot"} <= reader.words("y o u a r e s u c h a w 0 r 7 h l 3 5 5 m a n a n d a n 1 d 1 0 t n o w s o g o a w a y")
+
+
 def test_digest_columns(spark, sf_dir):
     r = queries.QUERIES["op6_secrets"](spark, sf_dir).filter("spans = ''").first()
     assert r.base_sha256 == hashlib.sha256(b"").hexdigest()
