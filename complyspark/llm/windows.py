@@ -1,4 +1,4 @@
-"""Windows of w consecutive symbols (words or bytes) that occur more than once.
+"""The index of windows of w consecutive symbols (words or bytes) that may occur more than once.
 
 A lossless sample keeps the work far below one row a position. In every window
 the k-gram with the least hash (leftmost of equals) is its anchor; equal windows
@@ -8,14 +8,11 @@ its run, and the symbols under a run are the run's context. Then:
 * an anchor whose k-gram is nowhere else has no repeated window (dropped);
 * runs with equal contexts repeat as a whole (one row per context, pre-aggregated
   in each task before any shuffle);
-* only where one k-gram has several contexts are their representatives looked
-  into: windows are taken in blocks of `step` by their offset to the anchor. Where
-  the part common to a block's windows (its core) is nowhere else, no window of
-  it repeats; blocks that are equal repeat as a whole; single windows are compared
-  only in the blocks that are neither.
+* only where one k-gram has several contexts must their representatives be looked into:
+  byte by byte sorted prefixes (suffix_dedup.py), or windows near the ends of
+  factors (substring_dedup.py).
 
-Names are 64-bit hashes; contexts and windows are compared only within one
-name, so equality stands on 128 bits."""
+Names are 64-bit hashes; contexts and windows are compared only within one name."""
 
 from __future__ import annotations
 
@@ -27,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, U64, Rolling, chunks, cut, discard, release, signed, utf8, word_bounds, word_hashes
+from .common import BYTE_CODES, U64, Rolling, chunks, cut, discard, mix, release, signed, utf8, word_bounds, word_hashes
 
 POS = (1 << 24) - 1
 SEGMENT = 1 << 20
@@ -36,19 +33,20 @@ SEGMENT = 1 << 20
 @dataclass(frozen=True)
 class Shape:
     """w: symbols of a window; k: symbols of an anchor; step: windows of a block;
-    words: symbols are words, else bytes."""
+    words: symbols are words, else bytes; salt: changes all names."""
 
     w: int
     k: int
     step: int
     words: bool
+    salt: int = 0
 
     def symbols(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol codes of concatenated texts and each text's first symbol (n + 1)."""
         if not self.words:
-            return BYTE_CODES[data], offs
+            return mix(BYTE_CODES ^ U64(self.salt))[data], offs
         starts, ends, first = word_bounds(data, offs)
-        return word_hashes(data, starts, ends), first
+        return mix(word_hashes(data, starts, ends) ^ U64(self.salt)), first
 
 
 def runs(sym: np.ndarray, first: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
@@ -135,53 +133,6 @@ def _locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield reduce(held)
 
 
-BLOCKS = "_id long, _k int, name long, core long, full long, s long, n int, wins array<long>"
-
-
-def _blocks(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The blocks of chosen runs (`at`: list of (name, s1, n, a) in each text), with
-    the hashes of their cores, of all that is under them, and of each window."""
-    w, step = shape.w, shape.step
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = utf8(b.column(2))
-            lists = b.column(3)
-            loffs = lists.offsets.to_numpy()
-            loffs = loffs - loffs[0]
-            name, s1, n, a = (lists.flatten().field(x).to_numpy(zero_copy_only=False) for x in range(4))
-            ids, ks = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for i in range(b.num_rows):
-                sym, _ = shape.symbols(data[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]]))
-                for lo in range(loffs[i], loffs[i + 1], 1024):
-                    z = min(loffs[i + 1], lo + 1024)
-                    k = np.repeat(np.arange(lo, z), n[lo:z])
-                    nth = np.arange(len(k)) - (np.cumsum(n[lo:z]) - n[lo:z])[k - lo]
-                    s = s1[k] + nth
-                    block = (a[k] - nth) // step
-                    head = np.ones(len(k), bool)
-                    head[1:] = (k[1:] != k[:-1]) | (block[1:] != block[:-1])
-                    h = np.flatnonzero(head)
-                    many = np.diff(np.append(h, len(k)))
-                    last = s1[k[h]] + a[k[h]] - step * block[h]
-                    m = len(h)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(m, ids[i])),
-                            pa.array(np.full(m, ks[i], np.int32)),
-                            pa.array(name[k[h]]),
-                            signed(range_hash(sym, last, last - step + 1 + w, SEGMENT) + block[h].astype(U64)),
-                            signed(range_hash(sym, s[h], s[h] + many - 1 + w, SEGMENT) + (a[k[h]] - nth[h]).astype(U64)),
-                            pa.array(s[h]),
-                            pa.array(many, pa.int32()),
-                            pa.ListArray.from_arrays(pa.array(np.append(h, len(k)), pa.int32()), signed(range_hash(sym, s, s + w, SEGMENT))),
-                        ],
-                        names=["_id", "_k", "name", "core", "full", "s", "n", "wins"],
-                    )
-
-    return f
-
-
 def range_hash(sym: np.ndarray, s: np.ndarray, e: np.ndarray, segment: int) -> np.ndarray:
     """Hashes of sym[s : e], whatever the length of sym: sums run over one segment at a time."""
     out = np.empty(len(s), U64)
@@ -194,13 +145,22 @@ def range_hash(sym: np.ndarray, s: np.ndarray, e: np.ndarray, segment: int) -> n
     return out
 
 
-def repeated(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
-    """`_id, _k, spans`: for every text with some, the repeated windows as
-    (s, n): n windows from symbol s on. keep_first: a window's first occurrence
-    (least (_id, _k, s)) is not among them.
+@dataclass
+class Index:
+    """hits: runs (RUNS) whose k-gram is elsewhere too. contexts: `name, ctx, m, _id, _k, s1, n, a`,
+    how often a context occurs and its first place. representatives: those of names with several contexts."""
+
+    hits: DataFrame
+    contexts: DataFrame
+    representatives: DataFrame
+
+    def drop(self) -> None:
+        discard(self.hits, self.contexts, self.representatives)
+
 
-    `docs`: `_id, _k, text`. Each text, name or context may hold any share of
-    the rows: counts are pre-aggregated, and what joins back is one row a run."""
+def index(docs: DataFrame, shape: Shape) -> Index:
+    """The index of all texts of `docs` (`_id, _k, text`). Each text, name or context may hold any
+    share of the rows: counts are pre-aggregated, and what joins back is one row a run."""
     spark = docs.sparkSession
     scan = cut(docs.mapInArrow(_scan(shape), RUNS))
     names = cut(scan.select("name").groupBy("name").count().filter("count > 1").select("name"))
@@ -215,41 +175,87 @@ def repeated(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
         .select("name", "ctx", "m", "f._id", "f._k", "f.s1", "n", "a")
     )
     several = contexts.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
-    reps = cut(contexts.join(several, "name", "left_semi"))
+    representatives = cut(contexts.join(several, "name", "left_semi").select(*contexts.columns))
     release(spark)
-    # representatives, where one name has several contexts
-    wanted = reps.groupBy("_id", "_k").agg(F.collect_list(F.struct("name", "s1", "n", "a")).alias("at"))
-    blocks = cut(docs.join(wanted, ["_id", "_k"]).select("_id", "_k", "text", "at").mapInArrow(_blocks(shape), BLOCKS))
-    discard(reps)
-    release(spark)
-    cores = cut(blocks.groupBy("name", "core").agg(F.count("*").alias("c"), (F.min("full") < F.max("full")).alias("several")).filter("c > 1").drop("c"))
-    release(spark)
-    live = cut(blocks.join(cores, ["name", "core"]).select(*blocks.columns, "several"))
-    discard(blocks, cores)
-    release(spark)
-    place = F.struct("_id", "_k", "s")
-    fulls = cut(live.groupBy("name", "core", "full").agg(F.count("*").alias("m"), F.min(place).alias("f")))
-    same = live.drop("wins").join(fulls.filter("m > 1"), ["name", "core", "full"])
-    if keep_first:
-        same = same.filter(place != F.col("f"))
-    apart = live.filter("several").join(fulls.select("name", "core", "full", "f"), ["name", "core", "full"]).filter(place == F.col("f"))
-    windows = cut(apart.select("_id", "_k", "name", "core", "s", F.posexplode("wins").alias("i", "win")).select("_id", "_k", "name", "core", (F.col("s") + F.col("i")).alias("s"), "win"))
-    release(spark)
-    more = windows.groupBy("name", "core", "win").agg(F.count("*").alias("c"), F.min(place).alias("f")).filter("c > 1")
-    back = windows.join(more, ["name", "core", "win"])
-    if keep_first:
-        back = back.filter(place != F.col("f"))
-    back = same.select("_id", "_k", "s", "n").unionByName(back.select("_id", "_k", "s", F.lit(1).alias("n")))
-    # whole runs whose context is elsewhere too
-    known = contexts.filter("m > 1").select("name", "ctx", F.struct("_id", "_k", "s1").alias("f"))
-    whole = hits.join(known, ["name", "ctx"])
-    if keep_first:
-        whole = whole.filter(F.struct("_id", "_k", "s1") != F.col("f"))
-    whole = whole.select("_id", "_k", F.col("s1").alias("s"), "n")
-    out = cut(whole.unionByName(back).groupBy("_id", "_k").agg(F.collect_list(F.struct("s", "n")).alias("spans")))
-    release(spark)
-    discard(hits, contexts, live, fulls, windows)
-    return out
+    return Index(hits, contexts, representatives)
+
+
+def with_representatives(docs: DataFrame, found: Index) -> DataFrame:
+    """`_id, _k, text, at`: the texts that hold representatives, and these as (name, ctx, s1, n, a)."""
+    at = found.representatives.groupBy("_id", "_k").agg(F.collect_list(F.struct("name", "ctx", "s1", "n", "a")).alias("at"))
+    return docs.join(at, ["_id", "_k"]).select("_id", "_k", "text", "at")
+
+
+BLOCKS = "_id long, _k int, name long, ctx long, b int, s long, n int, full long, wins array<long>"
+
+
+def blocks(b: pa.RecordBatch, shape: Shape) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[pa.Array]]]:
+    """For the texts of one batch of `with_representatives`: row, symbols, where each block's
+    common part starts, and the columns of BLOCKS. Windows of a representative are taken
+    in blocks of `step` by their offset to the anchor (b: offset // step); all windows
+    of a block hold the w - step + 1 symbols from its last window's start on."""
+    w, step = shape.w, shape.step
+    data, offs = utf8(b.column(2))
+    lists = b.column(3)
+    loffs = lists.offsets.to_numpy()
+    loffs = loffs - loffs[0]
+    name, ctx, s1, n, a = (lists.flatten().field(x).to_numpy(zero_copy_only=False) for x in range(5))
+    ids, ks = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+    for i in range(b.num_rows):
+        sym, _ = shape.symbols(data[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]]))
+        for lo in range(loffs[i], loffs[i + 1], 1024):
+            z = min(loffs[i + 1], lo + 1024)
+            k = np.repeat(np.arange(lo, z), n[lo:z])
+            nth = np.arange(len(k)) - (np.cumsum(n[lo:z]) - n[lo:z])[k - lo]
+            s = s1[k] + nth
+            block = (a[k] - nth) // step
+            head = np.ones(len(k), bool)
+            head[1:] = (k[1:] != k[:-1]) | (block[1:] != block[:-1])
+            h = np.flatnonzero(head)
+            many = np.diff(np.append(h, len(k)))
+            last = s1[k[h]] + a[k[h]] - step * block[h]
+            m = len(h)
+            yield (
+                i,
+                sym,
+                last,
+                [
+                    pa.array(np.full(m, ids[i])),
+                    pa.array(np.full(m, ks[i], np.int32)),
+                    pa.array(name[k[h]]),
+                    pa.array(ctx[k[h]]),
+                    pa.array(block[h], pa.int32()),
+                    pa.array(s[h]),
+                    pa.array(many, pa.int32()),
+                    signed(range_hash(sym, s[h], s[h] + many - 1 + w, SEGMENT) + (a[k[h]] - nth[h]).astype(U64)),
+                    pa.ListArray.from_arrays(pa.array(np.append(h, len(k)), pa.int32()), signed(range_hash(sym, s, s + w, SEGMENT))),
+                ],
+            )
+
+
+def place() -> F.Column:
+    return F.struct("_id", "_k", "s")
+
+
+def settled(live: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Windows of `live` (BLOCKS, a class of equal common parts in `key`) that occur more than once,
+    as `_id, _k, s, n, f`: n windows from s on, and the first place of what they are. Blocks
+    that are equal settle as a whole; windows are compared one by one in one representative of
+    each block, and only in classes of several blocks. And what to discard after."""
+    fulls = cut(live.groupBy(*key, "full").agg(F.count("*").alias("m"), F.min(place()).alias("f")))
+    whole = live.drop("wins").join(fulls.filter("m > 1"), [*key, "full"]).select("_id", "_k", "s", "n", "f")
+    several = fulls.groupBy(*key).agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    apart = live.join(several, key, "left_semi").join(fulls.select(*key, "full", "f"), [*key, "full"]).filter(place() == F.col("f"))
+    single = cut(apart.select("_id", "_k", *key, "s", F.posexplode("wins").alias("i", "win")).select("_id", "_k", *key, (F.col("s") + F.col("i")).alias("s"), "win"))
+    more = single.groupBy(*key, "win").agg(F.count("*").alias("c"), F.min(place()).alias("f")).filter("c > 1").drop("c")
+    one = single.join(more, [*key, "win"]).select("_id", "_k", "s", F.lit(1).alias("n"), "f")
+    return whole.unionByName(one), [fulls, single]
+
+
+def as_wholes(found: Index) -> DataFrame:
+    """Runs whose context is elsewhere too, as `_id, _k, s, n, f`."""
+    known = found.contexts.filter("m > 1").select("name", "ctx", F.struct("_id", "_k", F.col("s1").alias("s")).alias("f"))
+    return found.hits.join(known, ["name", "ctx"]).select("_id", "_k", F.col("s1").alias("s"), "n", "f")
 
 
 def covered(length: int, s: np.ndarray, n: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,11 +269,6 @@ def covered(length: int, s: np.ndarray, n: np.ndarray, w: int) -> tuple[np.ndarr
     return a[h], np.minimum(b[np.append(h[1:] - 1, len(a) - 1)], length)
 
 
-def with_spans(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
-    """`docs` (`_id, _k, text`) with `spans` (null: none)."""
-    return docs.join(repeated(docs, shape, keep_first), ["_id", "_k"], "left").select("_id", "_k", "text", "spans")
-
-
 def span_lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets (n + 1), starts and counts of a column of lists of (s, n)."""
     if isinstance(col, pa.ChunkedArray):

@@ -33,6 +33,69 @@ def test_words_removed(messy, messy_docs):
     assert sum(r[2] for r in got) > 400
 
 
+def test_factors_are_true_and_greedy(messy, messy_docs):
+    """Each factor equals an earlier place, word by word, and none could have gone on along its reference."""
+    text = {}
+    for i, t in order(messy):
+        text[i, sum(1 for a, _ in text if a == i)] = (t or "").split()
+    rows = substring_dedup.parsed(messy_docs).collect()
+    n = 0
+    for r in rows:
+        own = text[None if r._id == common.NULL_ID else r._id, r._k]
+        end = 0
+        for x in r.factors:
+            there = text[None if x.id == common.NULL_ID else x.id, x.k]
+            assert x.n >= 20 and own[x.s : x.s + x.n] == there[x.t : x.t + x.n] and (x.id, x.k, x.t) < (r._id, r._k, x.s)
+            if x.s >= end:  # a factor, not a match across the end of the one before
+                end = x.s + x.n
+                n += 1
+    assert n >= 5
+    assert substring_dedup.unlike(common.keyed(messy_docs, "doc_id", "text"), substring_dedup.parsed(messy_docs)) == 0
+    false = substring_dedup.parsed(messy_docs).selectExpr("_id", "_k", "transform(factors, x -> struct(x.s, x.n, x.id, x.k, x.t, x.digest + 1 AS digest)) AS factors")
+    assert substring_dedup.unlike(common.keyed(messy_docs, "doc_id", "text"), false) > 0
+
+
+def test_greedy_parse_covers_every_match():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        m = int(rng.integers(0, 9))
+        a = np.sort(rng.integers(0, 60, m))
+        b = a + rng.integers(1, 25, m)
+        windows_of = {w for x, y in zip(a, b, strict=True) for w in range(x, y)}
+        got = substring_dedup.factors(a.tolist(), b.tolist(), 5)
+        assert {w for _, s, n in got for w in range(s, s + n - 4)} == windows_of
+        assert all(a[c] <= s and s + n - 4 <= b[c] for c, s, n in got)
+        if got:  # the first factor is the longest of the matches there
+            assert got[0][2] - 4 == max(b[a <= got[0][1]]) - got[0][1]
+
+
+def test_chains_join_lookups_along_one_reference():
+    s, n, ref, t = (np.array(x) for x in ([0, 3, 5, 5, 9], [3, 2, 4, 1, 1], [0, 0, 0, 1, 0], [10, 13, 15, 2, 30]))
+    assert sorted(zip(*(x.tolist() for x in substring_dedup.chains(s, n, ref, t)), strict=True)) == [(0, 9, 0, 10), (5, 6, 1, -3), (9, 10, 0, 21)]
+
+
+def test_doubling_against_sorted_prefixes(spark):
+    """Rounds of sorted pairs keep the positions whose prefix occurs again, and no others."""
+    shape = windows.Shape(200, 64, 16, False)
+    assert suffix_dedup.offsets(shape) == [64, 48]
+    rng = np.random.default_rng(9)
+    rows = []
+    for run in range(60):
+        sym = rng.integers(0, 2, 14)
+        rows += [(7, run, -b, int(sym[b]), int(sym[b + 4])) for b in range(10)]
+    want = Counter()
+    at = {(r[1], r[2]): r for r in rows}
+    full = {(run, b): (b, at[run, b][3:], at[run, b - 3][3:]) for run, b in at if (run, b - 3) in at}
+    want.update(full.values())
+    grid = spark.createDataFrame(rows, "name long, ctx long, b int, r1 long, r2 long")
+    got = suffix_dedup.doubled(grid, shape).collect()
+    assert {(r.ctx, r.b) for r in got} == {k for k, v in full.items() if want[v] > 1}
+    rank = {}
+    for r in got:
+        assert rank.setdefault(r["rank"], full[r.ctx, r.b]) == full[r.ctx, r.b]
+    assert len(rank) == len(set(rank.values()))
+
+
 def test_bytes_removed(messy, messy_docs):
     n = 200
     count = Counter()
