@@ -91,13 +91,13 @@ def clean_value(v: Column, stops: str | None = None) -> Column:
     return F.when(F.rlike(s, F.lit(r"[\p{L}0-9]")) & ~is_template_hint(s), s)
 
 
-def condense_clause(v: Column, keywords: list[str], max_len: int) -> Column:
-    """A long clause by whole sentences, those with a keyword first of all; a single
-    long sentence is cut at a word."""
-    folded = [k.lower() for k in keywords if k]
+def condense_clause(v: Column, keywords: list[str] | Column, max_len: int | Column) -> Column:
+    """A long clause by whole sentences, those with a keyword (folded, lower case) first of all;
+    a single long sentence is cut at a word."""
+    folded = keywords if isinstance(keywords, Column) else F.array(*[F.lit(k.lower()) for k in keywords if k]).cast("array<string>")
     own = F.btrim(v)
     parts = F.filter(F.split(own, r"(?<=[.;!?])\s+"), lambda s: s != "")
-    hits = F.filter(parts, lambda s: F.lit(False) if not folded else _any([F.contains(F.lower(fold_diacritics(s)), F.lit(k)) for k in folded]))
+    hits = F.filter(parts, lambda s: F.exists(folded, lambda k: F.contains(F.lower(fold_diacritics(s)), k)))
     use = F.when(F.size(hits) > 0, hits).otherwise(parts)
     start = F.struct(F.lit("").alias("t"), F.lit(False).alias("full"))
 
@@ -107,7 +107,7 @@ def condense_clause(v: Column, keywords: list[str], max_len: int) -> Column:
         return F.struct(F.when(full, acc["t"]).otherwise(longer).alias("t"), full.alias("full"))
 
     text = F.aggregate(use, start, step, lambda a: a["t"])
-    cut = F.regexp_replace(F.substring(text, 1, max_len), r" [^ ]*$", "")
+    cut = F.regexp_replace(F.substring(text, F.lit(1), F.lit(max_len) if isinstance(max_len, int) else max_len), r" [^ ]*$", "")
     short = F.btrim(F.when(F.length(text) > max_len, cut).otherwise(text), F.lit(EDGE))
     return F.when(F.length(own) <= max_len, own).otherwise(short)
 

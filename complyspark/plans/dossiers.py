@@ -202,7 +202,7 @@ CATALOG = [E.Field("day", "Ngày ký", "date"), E.Field("wage", "Tiền lương"
 
 def label_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dossiers as forms, made from orders."""
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism)  # a small file is one split, and reading forms is the work
     text = F.concat(
         F.lit("HỢP ĐỒNG\n1. Ngày ký: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("\n2. Tien luong: "), F.floor("o_totalprice").cast("long"), F.lit(" USD/tháng\n- Số lượng: "), F.col("o_custkey") % 1000, F.lit(" người\n- Đa đim làm vic: Kho "), F.col("o_orderpriority"), F.lit("\n\nHết")
     )
@@ -328,6 +328,10 @@ SQL = {
  SELECT doc_id, line_no, score FROM s WHERE score >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, quote ORDER BY score DESC, line_no) = 1""",
     "lexicon_dominance": f"WITH {_WORDS}, c AS (SELECT fold, word, count(*) AS n FROM t GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY n DESC, word DESC) AS r, lead(n) OVER (PARTITION BY fold ORDER BY n DESC, word DESC) AS n2 FROM c) SELECT fold, word, n FROM k WHERE r = 1 AND n >= 3 * coalesce(n2, 0)",
     "bigram_lag": f"WITH {_WORDS}, l AS (SELECT lag(word) OVER (PARTITION BY doc_id, seg ORDER BY i) AS p, word FROM t) SELECT p || ' ' || word AS pair, count(*) AS n FROM l WHERE p IS NOT NULL GROUP BY 1 HAVING count(*) >= 20",
+    "label_extract": """WITH o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS m, CAST(o_custkey % 1000 AS VARCHAR) AS n, o_orderpriority AS p FROM orders)
+ SELECT k AS doc_id, unnest(['day', 'wage', 'people', 'place']) AS field_key, unnest([d, m || ' USD tháng', n, 'Kho ' || p]) AS value, unnest([0.6, 0.6, 0.6, 0.5]) AS confidence FROM o""",
+    "draft_rules": """WITH t AS (SELECT p_partkey AS doc_id, unnest([0, 1, 2, 3, 4]) AS ord, unnest(['Ngày ký hợp đồng', 'Tiền lương', 'Số lượng lao động', trim(split_part(p_name, ':', 1)), trim(split_part(upper(p_name), ':', 1))]) AS label, unnest(['date', 'money', 'number', 'text', 'text']) AS kind FROM part)
+ SELECT doc_id, min(ord) AS ord, arg_min(label, ord) AS label, arg_min(kind, ord) AS kind FROM t GROUP BY doc_id, lower(label)""",
     "latest_state_per_key": f"WITH {_STAGE} SELECT pid, arg_max(stage, struct_pack(t := ts, i := event_id)) AS stage, count(*) AS updates FROM e GROUP BY 1",
     "active_jobs": f"WITH {_STAGE}, s AS (SELECT pid, arg_max(stage, struct_pack(t := ts, i := event_id)) AS stage, max(ts) AS ts FROM e GROUP BY 1) SELECT count(*) FILTER (stage NOT IN ('done', 'error') AND epoch(date_trunc('second', (SELECT max(ts) FROM e))) - epoch(date_trunc('second', ts)) <= 3600) AS active, count(*) AS known FROM s",
     "event_tumbling": f"WITH {_STAGE} SELECT strftime(ts, '%Y-%m-%d') AS day, stage, count(*) AS n FROM e GROUP BY 1, 2",

@@ -34,6 +34,66 @@ def test_extract(spark):
     assert got[2, "d"] is None
 
 
+def extracted(spark, fields, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.field_key): r for r in extract.extract_fields(df, fields).collect()}
+
+
+def test_extract_places(spark):
+    """Numbers read the first place of their label only, dates and money all of them."""
+    f = extract.Field
+    fields = [f("d", "Ngày ký", "date"), f("m", "Phí dịch vụ", "money"), f("n", "Số lượng", "number")]
+    got = extracted(
+        spark, fields,
+        "Ngày ký: chưa rõ\nNgày ký: 05/06/2023\nPhí dịch vụ: thoả thuận\n- Phí dịch vụ: 1.500.000 VND/năm (trả sau)\nSố lượng: không rõ, sẽ được hai bên thoả thuận lại sau khi ký kết hợp đồng\nSố lượng: 7",
+        "Ngày ký:\n- 01/02/2022\nSố lượng: 1234567 hoặc 0012 cái",
+        "Phí dịch vụ: 999\nPhí dịch vụ: 0",
+    )
+    assert got[0, "d"].value == "2023-06-05" and got[0, "d"].confidence == 0.6
+    assert got[0, "m"].value == "1500000 VND năm"
+    assert got[0, "n"].value is None and got[0, "n"].confidence == 0
+    assert got[1, "d"].value is None and got[1, "n"].value == "12"
+    assert got[2, "m"].value == "0"
+
+
+def test_extract_text(spark):
+    f = extract.Field
+    fields = [f("t", "Bảo hiểm", shape=""), f("o", "Người đại diện", alternatives=("Đại diện",)), f("x", "Điện thoại", pattern="["), f("y", "Mã số", "number", pattern=r"MS-(\d+)"), f("same1", "Ghi chú"), f("same2", "Ghi chú")]
+    got = extracted(
+        spark, fields,
+        "1. Bảo hiểm: theo quy định của pháp luật\n2. Bảo hiểm: mức 8% lương tháng; Người đại diện: Trần B\nkế toán trưởng\n\nGhi chú: a",
+        "Bảo hiểm: tổng cộng 5 khoản\nNguoi dai dien: 5.000 VND\n\nMã MS-0042",
+        "Bảo hiểm: theo quy định của pháp luật",
+        "Bảo hiểm: không\nCăn cứ biên bản họp\nNgười đại diện pháp lý bên mua: Lê C.",
+    )
+    assert got[0, "t"].value == "mức 8% lương tháng" and got[0, "o"].value == "Trần B kế toán trưởng"
+    assert got[0, "same1"].value is None and got[0, "same2"].value is None
+    assert got[1, "t"].value is None and got[1, "o"].value is None
+    assert got[1, "y"].value == "0042" and got[1, "y"].confidence == 0.7 and got[1, "y"].quote == "MS-0042"
+    assert got[2, "t"].value == "theo quy định của pháp luật"
+    assert got[3, "t"].value == "không"
+    assert got[3, "o"].value in ("Lê C", "pháp lý bên mua: Lê C")
+
+
+def test_extract_plan_is_native(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    plan = extract.extract_fields(df, [extract.Field("a", "Ngày", "date")])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    assert extract.extract_fields(df, []).count() == 0
+
+
+def test_labels_as_patterns():
+    import re
+
+    rx = re.compile(extract.tolerant_label("Địa điểm làm việc (nếu có)"))
+    for ok in ("dia diem lam viec", "d1a diem lam vlec", "dia diem lam", "da dim lm vec", "dia, diem - lam"):
+        assert rx.match(ok), ok
+    for bad in ("dia lam viec", "mia diem lam"):
+        assert not rx.match(bad), bad
+    assert extract.own_labels([extract.Field("a", "X y"), extract.Field("b", "x Y", alternatives=("Z",))]) == {"a": [], "b": ["Z"]}
+    assert extract.tolerant_label("???") == ""
+
+
 def test_archives_and_markdown(spark):
     word = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Chương I</w:t></w:r></w:p><w:p><w:r><w:t>Điều 1. Phạm vi</w:t></w:r></w:p><w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr></w:pPr><w:r><w:t>mục</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
     docx = io.BytesIO()
