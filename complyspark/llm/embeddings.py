@@ -31,6 +31,8 @@ BITS, TABLES = 64, 4
 SAMPLE = 20_000
 """Vectors that the rotation is learned from, at most: those with the least hash of their id."""
 ROUNDS = 30
+LENGTHS = 64
+"""Vector lengths that get a rotation, the most frequent ones; vectors of others are compared in blocks, all of them."""
 PROBES = 512
 CHUNK_ROWS = 1024
 BUNDLE = 2048
@@ -113,30 +115,41 @@ def _matrix(col: pa.Array, d: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def _code_rows(codes: Codes, d: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+CODED = "node long, label string, d int, tbl int, code long, home boolean"
+
+
+def _code_rows(codes: dict[int, Codes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def rows(part: pa.RecordBatch, at: np.ndarray, tbl: int, code: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+        own = part.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(np.full(len(at), tbl, np.int32)), pa.array(code), pa.array(home)], names=[c.split()[0] for c in CODED.split(", ")])
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                node, label = part.column(0).to_numpy(), part.column(1).to_numpy()
-                found, wild = codes.probes(codes.turn(_matrix(part.column(2), d)))
-                for t, rows, code, home in found:
-                    tame = ~wild[rows]
-                    r = rows[tame]
-                    yield pa.RecordBatch.from_arrays([pa.array(node[r]), pa.array(label[r]), pa.array(np.full(len(r), t, np.int32)), pa.array(code[tame]), pa.array(home[tame])], names=["node", "label", "tbl", "code", "home"])
-                w = np.flatnonzero(wild)
-                yield pa.RecordBatch.from_arrays([pa.array(node[w]), pa.array(label[w]), pa.array(np.full(len(w), -1, np.int32)), pa.array(np.zeros(len(w), np.int64)), pa.array(np.zeros(len(w), bool))], names=["node", "label", "tbl", "code", "home"])
+                length = part.column(2).to_numpy()
+                for d in np.unique(length).tolist():
+                    at = np.flatnonzero(length == d)
+                    wild = np.ones(len(at), bool)
+                    if d in codes:
+                        found, wild = codes[d].probes(codes[d].turn(_matrix(part.column(3).take(pa.array(at)), d)))
+                        for t, r, code, home in found:
+                            tame = ~wild[r]
+                            yield rows(part, at[r[tame]], t, code[tame], home[tame])
+                    w = at[wild]
+                    yield rows(part, w, -1, np.zeros(len(w), np.int64), np.zeros(len(w), bool))
 
     return f
 
 
-def _block(codes: Codes, d: int) -> Callable[[pa.Table], pa.Table]:
+def _block(every: dict[int, Codes], cosine: float) -> Callable[[pa.Table], pa.Table]:
     """Links of one block of a large bucket, or of a bundle of small ones of one table, as
     (node, links) sums and (node, other) forest edges."""
 
     def f(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        tbl = int(t.column("tbl")[0].as_py())
+        tbl, d = int(t.column("tbl")[0].as_py()), int(t.column("d")[0].as_py())
+        codes = every.get(d)
         lo, hi = int(t.column("lo")[0].as_py()), int(t.column("hi")[0].as_py())
         code = t.column("code").to_numpy()
         order = np.argsort(code, kind="stable")
@@ -177,7 +190,7 @@ def _block(codes: Codes, d: int) -> Callable[[pa.Table], pa.Table]:
             first, second = (a + np.flatnonzero(chunk[a:z] == k) for k in (lo, hi))
             for s in range(0, len(first), 256):
                 rows = first[s : s + 256]
-                i, j = np.nonzero(unit[rows] @ unit[second].T >= codes.cosine)
+                i, j = np.nonzero(unit[rows] @ unit[second].T >= cosine)
                 i, j = rows[i], second[j]
                 keep = (node[i] != node[j]) & (home[i] | home[j] if tbl >= 0 else ~home[i] | ~home[j])
                 if lo == hi:
@@ -198,32 +211,33 @@ def _block(codes: Codes, d: int) -> Callable[[pa.Table], pa.Table]:
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bits: int = BITS, tables: int = TABLES) -> DataFrame:
     """`vec_id, n_links, component_id, kept` of every row of `vectors` (`vec_id`,
-    `embedding`, `label`).
+    `embedding`, `label` of any simple type).
 
-    Rows are compared when labels are equal and not null. Null vectors, zero ones
-    and those with a null or non-finite component link with nothing, nor do
-    vectors of another length than most. Equal vectors are one class, compared
-    once and linked with each other; repeated rows are vectors of their own."""
+    Rows are compared when labels are equal and not null, and vectors of one length.
+    Null and empty vectors, zero ones and those with a null or non-finite component link with nothing. Very
+    long vectors are read whole. Ties: equal vectors are one class, compared
+    once and linked with each other. Repeated rows are vectors of their own; a null id is named null and is
+    the smallest. Other columns are ignored, whatever they are called; an empty table gives no rows."""
     spark = vectors.sparkSession
-    rows = keyed(vectors, "vec_id", "label", "embedding").select("_id", "_k", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
+    rows = keyed(vectors, "vec_id", "label", "embedding").select("_id", "_k", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
     sound = F.expr("label is not null and size(vec) > 0 and forall(vec, c -> c is not null and not isnan(c) and abs(c) < double('Infinity')) and exists(vec, c -> c <> 0)")
-    rows = cut(rows.withColumn("ok", F.coalesce(sound, F.lit(False))))
-    length = rows.filter("ok").groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = lambda x: x.select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
-    if length is None:
-        return _named(alone(rows))
-    d = int(length["d"])
-    good = rows.withColumn("ok", F.col("ok") & (F.size("vec") == d))
-    classes = cut(good.filter("ok").groupBy("label", "vec").agg(F.min(F.struct("_id", "_k")).alias("f"), F.count("*").alias("copies"), F.min("_id").alias("low")).select(F.when(F.col("f._k") == 0, F.col("f._id")).otherwise(F.xxhash64("f._id", "f._k")).alias("node"), "label", "vec", "copies", "low"))
+    rows = cut(rows.withColumn("ok", F.coalesce(sound, F.lit(False))).withColumn("d", F.size("vec")))
+    alone = rows.filter("not ok").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
+    # a class has a number of its own, kept by the written table
+    classes = rows.filter("ok").groupBy("label", "d", "vec").agg(F.count("*").alias("copies"), F.min("_id").alias("low"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("node"), "label", "d", "vec", "copies", "low"))
     release(spark)
-    sample = classes.select("node", "vec").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vec").toArrow().column(0)
-    x = _matrix(sample, d)
-    codes = Codes(itq(x / np.linalg.norm(x, axis=1, keepdims=True), bits), cosine, tables)
-    key = ["label", "tbl", "code"]
-    coded = cut(classes.select("node", "label", "vec").mapInArrow(_code_rows(codes, d), "node long, label long, tbl int, code long, home boolean"))
+    lengths = classes.groupBy("d").count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect()
+    codes = {}
+    for r in lengths:
+        sample = classes.filter(F.col("d") == r["d"]).select("low", "vec").orderBy(F.xxhash64("low"), "low", "vec").limit(SAMPLE).select("vec").toArrow().column(0)
+        x = _matrix(sample, r["d"])
+        codes[r["d"]] = Codes(itq(x / np.linalg.norm(x, axis=1, keepdims=True), bits), cosine, tables)
+    key = ["label", "d", "tbl", "code"]
+    coded = cut(classes.select("node", "label", "d", "vec").mapInArrow(_code_rows(codes), CODED))
     # wild vectors: one bucket a label, with all of its vectors as homes
     wild = coded.filter("tbl < 0")
-    homes = classes.join(wild.select("label").distinct(), "label", "left_semi").select("node", "label", F.lit(-1).alias("tbl"), F.lit(0).cast("long").alias("code"), F.lit(True).alias("home"))
+    homes = classes.join(wild.select("label", "d").distinct(), ["label", "d"], "left_semi").select("node", "label", "d", F.lit(-1).alias("tbl"), F.lit(0).cast("long").alias("code"), F.lit(True).alias("home"))
     homes = homes.join(wild.select("node"), "node", "left_anti").select(coded.columns).unionByName(wild)
     every = coded.filter("tbl >= 0").unionByName(homes)
     bucket = every.groupBy(*key).agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 and (any or tbl < 0)").select(*key, F.ceil(F.col("n") / CHUNK_ROWS).alias("chunks"))
@@ -231,9 +245,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bits: int = BITS
     met = met.withColumn("o", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("lo", F.least("chunk", "o")).withColumn("hi", F.greatest("chunk", "o"))
     # small buckets share a task: a bundle is a hash of codes; the blocks of a large one stand alone
     bundles = max(1, -(-classes.count() // BUNDLE))
-    met = met.withColumn("bundle", F.when(F.col("chunks") > 1, F.col("code") + bundles).otherwise(F.pmod(F.xxhash64("code"), F.lit(bundles)))).drop("o", "chunks", "label")
-    blocks = met.join(classes.select("node", "label", "vec", "copies"), "node")
-    linked = cut(blocks.groupBy("label", "tbl", "bundle", "lo", "hi").applyInArrow(_block(codes, d), "node long, links long, other long"))
+    met = met.withColumn("bundle", F.when(F.col("chunks") > 1, F.col("code") + bundles).otherwise(F.pmod(F.xxhash64("code"), F.lit(bundles)))).drop("o", "chunks", "label", "d")
+    blocks = met.join(classes.select("node", "label", "d", "vec", "copies"), "node")
+    linked = cut(blocks.groupBy("label", "d", "tbl", "bundle", "lo", "hi").applyInArrow(_block(codes, cosine), "node long, links long, other long"))
     release(spark)
     tied = components(linked.select(F.col("node").alias("src"), F.col("other").alias("dst")))
     degree = linked.groupBy("node").agg(F.sum("links").alias("links"))
@@ -242,8 +256,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bits: int = BITS
     named = cut(named.join(least, "comp").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
     release(spark)
     discard(coded, linked, classes)
-    out = good.filter("ok").join(named, ["label", "vec"]).select("_id", "n_links", "component_id")
-    return _named(out.unionByName(alone(good.filter("not ok"))))
+    out = rows.filter("ok").join(named, ["label", "vec"]).select("_id", "n_links", "component_id")
+    return _named(out.unionByName(alone))
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -254,4 +268,5 @@ def _named(rows: DataFrame) -> DataFrame:
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`near_duplicates` of all of `embeddings`; odd input as there."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -45,6 +45,19 @@ def test_links(spark, monkeypatch, probes):
     assert sum(r[1] for r in got) > 50
 
 
+@pytest.mark.parametrize("lengths", [64, 1])
+def test_lengths_labels_and_ids(spark, monkeypatch, lengths):
+    """Vectors of any length link with their like, with or without a rotation of their own; labels may be texts, ids repeat or be null."""
+    monkeypatch.setattr(embeddings, "LENGTHS", lengths)
+    rows = [(i, [1.0, 0.1 * (i % 3), 0.5], "x") for i in range(9)] + [(20, [1.0, 2.0], "x"), (21, [2.0, 4.0], "x"), (22, [1.0, 2.0], "y"), (23, [1.0], "x"), (24, [3.0], "x"), (24, [1.0, 2.0], "x"), (None, [1.0, 2.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()), key=str)
+    low = -(2**63)
+    want = [tuple(None if k != 1 and x == low else x for k, x in enumerate(r)) for r in brute([(low if i is None else i, v, lab) for i, v, lab in rows], 0.98)]
+    assert got == sorted(want, key=str)
+    assert (20, 3, None) in got and (23, 1, 23) in got
+
+
 def test_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     one = embeddings.near_duplicates(spark.createDataFrame([(None, None, None)], "vec_id long, embedding array<float>, label int")).first()
