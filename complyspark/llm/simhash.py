@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, doc_id, keyed, keyed_rows, lean, release, utf8
+from .common import NULL_ID, components, cut, discard, doc_id, keyed, keyed_rows, lean, release, utf8
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 
@@ -72,10 +72,13 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """`_id, _k, fp, comp, component_id`: fingerprint of every whole text of `docs`
-    (`doc_id`, `text`), its linked group (least fingerprint) and that group's least id.
+    (`doc_id`, `text`), its linked group (least fingerprint) and that group's least id
+    (null is the smallest, as NULL_ID).
 
-    Null and wordless texts have fingerprint 0 and link like any other; repeated
-    rows are rows of their own with the same group; an empty table gives none."""
+    Null, empty and wordless texts have fingerprint 0 and link like any other. Very long texts are hashed in
+    parts, none is cut. Ties: texts with one fingerprint are one row until the end. Repeated
+    rows are rows of their own with the same group. Other columns are ignored, whatever they are called; an
+    empty table gives no rows."""
     spark = docs.sparkSession
     marks = cut(keyed(docs, "doc_id", "text").mapInArrow(lean(_scan(shingle)), "_id long, _k int, fp long"))
     distinct = cut(marks.groupBy("fp").agg(F.min("_id").alias("low")))
@@ -96,6 +99,12 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     return keyed_rows(docs, "text").select("_id", "_k", "_row").join(stay, ["_id", "_k"], "left_semi").select("_row.*")
 
 
+def digest(docs: DataFrame) -> DataFrame:
+    """`doc_id, fingerprint` (16 hexadecimal digits), `component_id` of every row."""
+    least = F.when(F.col("component_id") != F.lit(NULL_ID), F.col("component_id"))
+    return groups(docs).select(doc_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), least.alias("component_id"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(doc_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """`groups` of all of `documents`; a component whose least id is null has a null `component_id`."""
+    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -160,6 +160,29 @@ def test_simhash(messy, messy_docs):
     assert sorted((r._id, r.fp & (2**64 - 1)) for r in got) == sorted((common.NULL_ID if i is None else i, mark(t)) for i, t in messy)
 
 
+def test_simhash_components(messy, messy_docs, make_docs):
+    """The whole query against all pairs, null ids and texts included."""
+    near = [(100 + k, " ".join(["alpha beta gamma delta epsilon zeta eta theta"] * 30 + [f"tail{k}"])) for k in range(12)]
+    rows = [*messy, *near, (None, None), (None, near[0][1])]
+    docs = make_docs(rows)
+    got = simhash.digest(docs).collect()
+    marks = {(r.doc_id, r.fingerprint) for r in got}
+    codes = sorted({int(f, 16) for _, f in marks})
+    comp = {c: c for c in codes}
+    for _ in codes:
+        for a in codes:
+            for b in codes:
+                if (a ^ b).bit_count() <= 3:
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    least = {}
+    for i, f in marks:
+        c = comp[int(f, 16)]
+        least[c] = min(least.get(c, 2**63), common.NULL_ID if i is None else i)
+    want = sorted(str((r.doc_id, r.fingerprint, None if least[comp[int(r.fingerprint, 16)]] == common.NULL_ID else least[comp[int(r.fingerprint, 16)]])) for r in got)
+    assert sorted(str(tuple(r)) for r in got) == want and len(got) == len(rows)
+    assert any(r.component_id is None for r in got) and len({r.component_id for r in got}) > 3
+
+
 def test_links_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 60)]
