@@ -232,7 +232,7 @@ def slug(s: Column) -> Column:
 def title_of(name: Column, text: Column) -> Column:
     """The first heading of the first 40 lines, else the name."""
     heads = F.filter(F.slice(F.split(text, "\n"), 1, 40), lambda s: F.rlike(s, F.lit(r"^#+\s+\S")))
-    return F.coalesce(F.substring(F.regexp_replace(F.get(heads, 0), r"^#+\s+", ""), 1, 160), name)
+    return F.coalesce(F.substring(F.btrim(F.regexp_replace(F.get(heads, 0), r"^#+\s+", ""), F.lit(" \t\r")), 1, 160), name)
 
 
 def infer_doc_type(name: Column, rules: list[tuple[str, str]], default: str) -> Column:
@@ -278,3 +278,19 @@ def roman(n: Column) -> Column:
     digit = lambda d, one, five, ten: F.element_at(F.array(*[F.lit(x) for x in ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)]), (d + 1).cast("int"))
     part = lambda k: F.floor(n / k) % 10
     return F.concat(F.repeat(F.lit("M"), F.floor(n / 1000).cast("int")), digit(part(100), "C", "D", "M"), digit(part(10), "X", "L", "C"), digit(part(1), "I", "V", "X"))
+
+
+def value_text(value: Column, amount: Column, currency: Column, period: Column, raw: Column) -> Column:
+    """Canonical text of a value for comparison: of money the amount (whole ones without decimals) or else
+    the raw text, then currency and period; single blanks."""
+    whole = F.when(amount == F.floor(amount), F.floor(amount).cast("string")).otherwise(amount.cast("string"))
+    money = F.concat_ws(" ", F.coalesce(whole, raw), F.nullif(currency, F.lit("")), F.nullif(period, F.lit("")))
+    given = amount.isNotNull() | raw.isNotNull()
+    number = F.regexp_replace(F.coalesce(value, F.lit("")), r"^(-?\d+)\.0+$", "$1")
+    return F.btrim(F.regexp_replace(F.when(given, money).otherwise(number), r"\s+", " "))
+
+
+def unwrap_object(value: Column) -> Column:
+    """Text that a model wrapped into an object: its `raw`, null where there is none; other values stay."""
+    raw = F.get_json_object(value, "$.raw")
+    return F.when(F.rlike(value, F.lit(r"^\s*\{")), F.when(F.btrim(raw) != "", raw)).otherwise(value)

@@ -122,3 +122,19 @@ def csv_rows(runs: DataFrame) -> DataFrame:
     rows = runs.select("session_id", "set_name", "ts", F.explode_outer("documents").alias("d"))
     guard = lambda c: F.regexp_replace(c, r"^([=+\-@\t\r])", "'$1")
     return rows.select(guard(F.col("session_id").cast("string")).alias("session_id"), guard(F.coalesce("set_name", F.lit(""))).alias("set_name"), "ts", guard(F.coalesce("d.verdict", F.lit(""))).alias("verdict"))
+
+
+def run_metrics(counters: DataFrame) -> DataFrame:
+    """Figures of each run from its counters (`run_id, name, n`): cache hits, payload means, retries.
+    Shares and means of nothing are null."""
+    n = lambda name: F.coalesce(F.sum(F.when(F.col("name") == name, F.col("n"))), F.lit(0))
+    hit, miss = n("cache.embed.hit") + n("cache.query.hit"), n("cache.embed.miss") + n("cache.query.miss")
+    calls = F.nullif(n("payload.calls"), F.lit(0))
+    return counters.groupBy("run_id").agg(
+        hit.alias("hit"),
+        miss.alias("miss"),
+        F.round(F.try_divide(hit, F.nullif(hit + miss, F.lit(0))), 3).alias("hit_ratio"),
+        F.floor(n("payload.chars") / 3).alias("tokens_est"),
+        F.round(F.try_divide(n("payload.fields"), calls), 1).alias("fields_per_call"),
+        F.coalesce(F.sum(F.when(F.startswith("name", F.lit("llm.retry.")), F.col("n"))), F.lit(0)).alias("retry_total"),
+    )

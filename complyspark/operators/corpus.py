@@ -139,3 +139,46 @@ def plan_entries(files: DataFrame, registry: DataFrame, rules: list[tuple[str, s
 
 def file_hashes(files: DataFrame) -> DataFrame:
     return files.select("file", content_hash(F.col("text")).alias("sha256"))
+
+
+def chunk_metadata(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """`file` with what the registry says of it, '' where it says nothing (`registry`: file, doc_no, approved_by, sha256, reg_set)."""
+    own = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return files.join(registry, "file", "left").select("file", own("doc_no"), own("approved_by"), F.substring(F.coalesce("sha256", F.lit("")), 1, 16).alias("content_sha256"), own("reg_set"))
+
+
+def audit_order(audit: DataFrame) -> DataFrame:
+    """An audit with its place: the gravest status first, then by file."""
+    place = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status"))
+    return audit.withColumn("severity", place.cast("int")).orderBy("severity", "file")
+
+
+def active_set(sets: DataFrame, saved: str) -> DataFrame:
+    """`id` of the check set in use: the saved one if it is usable, else the user's latest, else the first by id
+    (`sets`: id, source, mtime, usable)."""
+    own = F.col("source") == "user"
+    pick = F.coalesce(F.max(F.when(F.col("id") == saved, F.col("id"))), F.max_by(F.when(own, F.col("id")), F.when(own, F.struct("mtime", "id"))), F.min("id"), F.lit(""))
+    return sets.filter("usable").agg(pick.alias("id"))
+
+
+def corpus_texts(chunks: DataFrame, settings: DataFrame) -> DataFrame:
+    """`text`: all texts that teach spelling, of the corpus and of check sets, each once."""
+    return chunks.select("text").unionByName(settings.select("text")).filter(F.btrim("text") != "").distinct()
+
+
+def seed(files: DataFrame, registry: DataFrame, require_approval: bool = False, only: list[str] | None = None, max_chars: int = 1200) -> tuple[DataFrame, DataFrame]:
+    """(chunks, skipped): chunks of the files (`file, text, sha256`) with ids and metadata, and files left out with
+    their status. `only` loads just these, to be upserted; without approval asked for, nothing is skipped."""
+    own = files if only is None else files.filter(F.col("file").isin(only))
+    status = own.select("file").join(registry_audit(registry, files), "file")
+    skipped = status.filter(F.col("status") != "ok") if require_approval else status.limit(0)
+    loaded = own.join(skipped.select("file"), "file", "left_anti")
+    meta = chunk_metadata(loaded.select("file"), registry)
+    chunks = chunk_paragraphs(loaded.select(F.col("file").alias("doc_id"), "text"), max_chars=max_chars).withColumnRenamed("doc_id", "file")
+    return with_chunk_ids(chunks, F.col("file")).join(meta, "file"), skipped
+
+
+def reset(chunks: DataFrame, path: str) -> None:
+    """A store that holds `chunks` and nothing else; plans that read the old one see the new one."""
+    chunks.write.mode("overwrite").parquet(path)
+    chunks.sparkSession.catalog.refreshByPath(path)

@@ -67,3 +67,16 @@ def sort_by_attention(rows: DataFrame, low: float = 0.5) -> DataFrame:
     """Empty values first, then weak ones, then the rest."""
     rank = F.when(~has_value(F.col("value")), 0).when(F.col("confidence") < low, 1).otherwise(2)
     return rows.withColumn("attention", rank).orderBy("attention", "ord")
+
+
+def golden_merge(fields: DataFrame) -> DataFrame:
+    """`dossier, field_key, value`: the first value by upload order that isn't empty in the sense of golden labels
+    (null, '', [], {}; blanks are a value); where all are empty, the last one."""
+    filled = F.col("value").isNotNull() & ~F.col("value").isin("", "[]", "{}")
+    first = F.min_by(F.when(filled, F.struct("value")), F.when(filled, F.col("ord")))
+    return fields.groupBy("dossier", "field_key").agg(F.coalesce(first, F.max_by(F.struct("value"), "ord")).alias("b")).select("dossier", "field_key", "b.value")
+
+
+def selected_union(documents: DataFrame) -> DataFrame:
+    """`dossier, keys`: all keys that any document of a dossier selects (`selected`: array), sorted."""
+    return documents.select("dossier", F.explode("selected").alias("k")).groupBy("dossier").agg(F.array_sort(F.collect_set("k")).alias("keys"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_anchor, is_foreign_script_line, junk_ratio, starts_with_anchor, strip_foreign_chars
+from ..functions.text import has_anchor, is_foreign_script_line, junk_ratio, starts_with_anchor, strip_foreign_chars, text_agreement
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -127,3 +127,29 @@ def regions(raw: Column) -> Column:
     good = F.map_filter(m, lambda _, r: F.size(r) == 4)
     fixed = F.transform_values(good, lambda _, r: F.array(unit(F.least(r[0], r[2])), unit(F.least(r[1], r[3])), unit(F.greatest(r[0], r[2])), unit(F.greatest(r[1], r[3]))))
     return F.map_filter(fixed, lambda _, r: (r[2] - r[0] >= 0.01) & (r[3] - r[1] >= 0.01))
+
+
+def letter_confidence(rows: DataFrame) -> DataFrame:
+    """Mean confidence of a document's lines that have a letter (null: none has)."""
+    return rows.groupBy("doc_id").agg(F.round(F.avg(F.when(F.rlike("text", F.lit(r"\p{L}")), F.col("conf"))), 4).alias("avg_confidence"))
+
+
+def verify_text_layer(pages: DataFrame, images: DataFrame, least: float = 0.5) -> DataFrame:
+    """`pages` (doc_id, page_index, text, chars, trusted) without trust where a document's densest trusted page
+    disagrees with what its image reads (`images`: doc_id, page_index, text). A page that has no
+    image text, or either side no words, proves nothing."""
+    densest = pages.filter("trusted").groupBy("doc_id").agg(F.max_by(F.struct("page_index", "text"), F.struct("chars", -F.col("page_index"))).alias("p"))
+    seen = densest.select("doc_id", "p.*").join(images.withColumnRenamed("text", "image_text"), ["doc_id", "page_index"])
+    bad = seen.filter(text_agreement(F.col("text"), F.col("image_text")) < least).select("doc_id", F.lit(True).alias("bad"))
+    return pages.join(bad, "doc_id", "left").withColumn("trusted", F.col("trusted") & F.col("bad").isNull()).drop("bad")
+
+
+def read_hybrid(pages: DataFrame, images: DataFrame, required: DataFrame | None = None) -> DataFrame:
+    """`doc_id, page_index, source, text` of every page: trusted pages from their text layer, others from their
+    image; pages that neither reads have no row. `required`: documents whose pages all come from images."""
+    own = pages
+    if required is not None:
+        own = own.join(required.select("doc_id").distinct().withColumn("forced", F.lit(True)), "doc_id", "left").withColumn("trusted", F.col("trusted") & F.col("forced").isNull()).drop("forced")
+    j = own.join(images.select("doc_id", "page_index", F.col("text").alias("image_text")), ["doc_id", "page_index"], "left")
+    source = F.when(F.col("trusted"), "text").when(F.col("image_text").isNotNull(), "image")
+    return j.withColumn("source", source).filter("source is not null").select("doc_id", "page_index", "source", F.when(F.col("source") == "text", F.col("text")).otherwise(F.col("image_text")).alias("text"))

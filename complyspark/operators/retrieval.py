@@ -137,3 +137,14 @@ def citation_quality(citations: DataFrame, sent: DataFrame) -> DataFrame:
 def query_text(catalog: DataFrame, kind: str) -> DataFrame:
     """One query a field: document kind, label, aspect."""
     return catalog.select("field_key", F.concat_ws(" ", F.lit(kind), F.nullif(F.btrim("label"), F.lit("")), F.nullif(F.btrim("aspect"), F.lit(""))).alias("text"))
+
+
+def ask_once(queries: DataFrame, answer, key: list[str]) -> DataFrame:
+    """`queries` with what `answer` (a function of distinct queries, keyed by `key`) finds: equal queries of
+    any number of requests are asked once, the distinct table takes the place of a memo."""
+    return queries.join(answer(queries.select(*key).distinct()), key)
+
+
+def ordered_distinct(queries: Column) -> Column:
+    """Queries in order, each once."""
+    return F.array_distinct(queries)

@@ -126,3 +126,34 @@ def report(checks: DataFrame) -> DataFrame:
         overall_verdict(F.col("verdict")).alias("overall"), F.count_if("made_by_model").alias("regulated"), F.count_if(F.col("verdict") == "FAIL").alias("violations"), F.count("*").alias("checks")
     )
     return r.withColumn("overall", F.when((F.col("regulated") == 0) & (F.col("overall") == "PASS"), "NEEDS_SUPPLEMENT").otherwise(F.col("overall")))
+
+
+def checkable(fields: DataFrame) -> DataFrame:
+    """How many of a dossier's fields can be checked (all but declarations), and how many of these have a value."""
+    own = fields.filter(F.col("check_type") != "declaration")
+    return own.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(has_value(F.col("value"))).alias("checked"))
+
+
+def attention_filter(rows: DataFrame, which: str, low: float = 0.5) -> DataFrame:
+    """Fields of a review: `empty`, `has`, `lowconf`, or all."""
+    has = has_value(F.col("value"))
+    cond = {"empty": ~has, "has": has, "lowconf": has & (F.col("confidence") < low)}
+    return rows.filter(cond[which]) if which in cond else rows
+
+
+def selected_but_empty(checks: DataFrame, fields: DataFrame) -> DataFrame:
+    """`checks` with a row NEEDS_SUPPLEMENT for every selected field without a value that has none yet."""
+    empty = fields.filter(F.col("selected") & ~has_value(F.col("value"))).select("doc_id", "field_key").distinct()
+    new = empty.join(checks.select("doc_id", "field_key"), ["doc_id", "field_key"], "left_anti").withColumn("verdict", F.lit("NEEDS_SUPPLEMENT"))
+    return checks.select("doc_id", "field_key", "verdict").unionByName(new)
+
+
+def overall(checks: DataFrame, fields: DataFrame) -> DataFrame:
+    """`doc_id, overall_verdict, asked`: the worst verdict of a dossier, where declarations don't count. A dossier
+    without a regulated field that has a value was never held against a regulation: it needs supplement and
+    carries the flag NO_REGULATED_FIELDS."""
+    asked = fields.groupBy("doc_id").agg((F.count_if((F.col("check_type") == "regulated") & has_value(F.col("value"))) > 0).alias("asked"))
+    worst = checks.groupBy("doc_id").agg(F.bool_or(F.col("verdict") == "FAIL").alias("fail"), F.bool_or(F.col("verdict") == "NEEDS_SUPPLEMENT").alias("needs"))
+    j = asked.join(worst, "doc_id", "left")
+    verdict = F.when(F.coalesce("fail", F.lit(False)), "FAIL").when(F.coalesce("needs", F.lit(False)) | ~F.col("asked"), "NEEDS_SUPPLEMENT").otherwise("PASS")
+    return j.select("doc_id", verdict.alias("overall_verdict"), "asked", F.when(~F.col("asked"), "NO_REGULATED_FIELDS").alias("flag"))

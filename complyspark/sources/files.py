@@ -6,9 +6,11 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,50 +116,124 @@ def expand_archives(files: DataFrame, most_files: int = 50, most_bytes: int = 20
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def roman(n: int) -> str:
+    out = ""
+    for ten, (one, five, more) in zip((1000, 100, 10, 1), ("M  ", "CDM", "XLC", "IVX"), strict=True):
+        d, n = divmod(n, ten) if ten == 1000 else (n // ten % 10, n)
+        out += one * d if ten == 1000 or d < 4 else one + five if d == 4 else five + one * (d - 5) if d < 9 else one + more
+    return out
+
+
+COUNTED = {
+    "decimal": str,
+    "decimalZero": lambda n: f"{n:02d}",
+    "lowerLetter": lambda n: chr(97 + (n - 1) % 26),
+    "upperLetter": lambda n: chr(65 + (n - 1) % 26),
+    "lowerRoman": lambda n: roman(n).lower(),
+    "upperRoman": roman,
+}
+
+
+@dataclass(frozen=True)
+class ListLevel:
+    """How a level of a list counts: numbering format, text with %1 to %9 for the levels' numbers, first number."""
+
+    kind: str = "decimal"
+    text: str = ""
+    start: int = 1
+
+
+def _val(node: ElementTree.Element | None, name: str = "val") -> str:
+    return node.get(f"{_W}{name}", "") if node is not None else ""
+
+
+def list_levels(xml: bytes | None) -> dict[str, dict[int, ListLevel]]:
+    """Levels of each list (`numId`) of a document's numbering.xml; overridden starts count."""
+    if not xml:
+        return {}
+    root = ElementTree.fromstring(xml)
+
+    def levels(of: ElementTree.Element) -> dict[int, ListLevel]:
+        return {int(_val(x, "ilvl") or 0): ListLevel(_val(x.find(f"{_W}numFmt")) or "decimal", _val(x.find(f"{_W}lvlText")), int(_val(x.find(f"{_W}start")) or 1)) for x in of.iter(f"{_W}lvl")}
+
+    patterns = {_val(x, "abstractNumId"): levels(x) for x in root.iter(f"{_W}abstractNum")}
+    out = {}
+    for num in root.iter(f"{_W}num"):
+        own = dict(patterns.get(_val(num.find(f"{_W}abstractNumId")), {}))
+        for o in num.iter(f"{_W}lvlOverride"):
+            at, start = int(_val(o, "ilvl") or 0), _val(o.find(f"{_W}startOverride"))
+            if start and at in own:
+                own[at] = replace(own[at], start=int(start))
+        out[_val(num, "numId")] = own
+    return out
+
+
+@dataclass
 class ListNumbers:
-    """Labels of multi-level lists; a level that advances resets those below it."""
+    """Labels of a document's lists, item by item; an item ends the counts of deeper levels.
+    Lists that numbering.xml doesn't have, bullets and unnumbered levels are dashes."""
 
-    def __init__(self) -> None:
-        self.count: dict[str, list[int]] = {}
+    lists: dict[str, dict[int, ListLevel]] = field(default_factory=dict)
+    seen: dict[str, dict[int, int]] = field(default_factory=dict)
 
     def label(self, list_id: str, level: int) -> str:
-        c = self.count.setdefault(list_id, [0] * 9)
-        c[level] += 1
-        c[level + 1 :] = [0] * (8 - level)
-        return ".".join(str(max(1, x)) for x in c[: level + 1]) + "."
+        levels = self.lists.get(list_id)
+        if not levels or list_id == "0" or level not in levels or levels[level].kind in ("bullet", "none"):
+            return "-"
+        start = lambda k: levels[k].start if k in levels else 1
+        upper = {k: n for k, n in self.seen.get(list_id, {}).items() if k < level}
+        here = self.seen.get(list_id, {}).get(level)
+        counts = self.seen[list_id] = {**{k: start(k) for k in range(level)}, **upper, level: start(level) if here is None else here + 1}
+
+        def number(m: re.Match[str]) -> str:
+            k = int(m[1]) - 1
+            return COUNTED.get(levels[k].kind if k in levels else "decimal", str)(counts.get(k, 1))
+
+        return re.sub(r"%([1-9])", number, levels[level].text or f"%{level + 1}.").strip() or "-"
+
+
+HEADINGS = ((2, r"(?i)(chương|chapter|phần|part)\s+[ivx\d]+"), (3, r"(?i)(mục|section)\s+[ivx\d]+"), (4, r"(?i)(điều|article)\s+\d+"))
 
 
 def docx_to_markdown(content: bytes, title: str = "") -> str:
-    """Paragraphs, headings, numbered lists and tables of an office document."""
+    """Paragraphs, headings, numbered lists and tables of an office document. A bar within a cell is escaped, its lines are joined."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    numbers, out = ListNumbers(), [f"# {title}"] if title else []
+        numbering = z.read("word/numbering.xml") if "word/numbering.xml" in z.namelist() else None
+    numbers, out = ListNumbers(list_levels(numbering)), [f"# {title}"] if title else []
+
+    def said(run: ElementTree.Element) -> str:
+        marks = {f"{_W}br": "\n", f"{_W}tab": " "}
+        return "".join(x.text or "" if x.tag == f"{_W}t" else marks.get(x.tag, "") for x in run)
 
     def text_of(p: ElementTree.Element) -> str:
         parts = []
         for r in p.iter(f"{_W}r"):
-            t = "".join(x.text or "" for x in r.iter(f"{_W}t"))
-            parts.append(f"**{t}**" if t.strip() and r.find(f"{_W}rPr/{_W}b") is not None else t)
+            bold = r.find(f"{_W}rPr/{_W}b")
+            t = said(r)
+            parts.append(f"**{t}**" if t.strip() and bold is not None and _val(bold).lower() not in ("0", "false", "off") else t)
         return "".join(parts).replace("****", "").strip()
 
+    def cell(c: ElementTree.Element) -> str:
+        return " ".join(t for t in map(text_of, c.iter(f"{_W}p")) if t).replace("|", "\\|").replace("\n", " ")
+
+    def table(node: ElementTree.Element) -> list[str]:
+        rows = [r for r in ([cell(c) for c in row.findall(f"{_W}tc")] for row in node.findall(f"{_W}tr")) if r]
+        width = max(map(len, rows), default=0)
+        lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+        return [*lines[:1], *(["|" + "---|" * width] if lines else []), *lines[1:]]
+
     for node in body if body is not None else []:
         if node.tag == f"{_W}tbl":
-            rows = [[" ".join(text_of(p) for p in cell.iter(f"{_W}p")).strip() for cell in row.iter(f"{_W}tc")] for row in node.iter(f"{_W}tr")]
-            width = max(map(len, rows), default=0)
-            for i, r in enumerate(rows):
-                out.append("| " + " | ".join(r + [""] * (width - len(r))) + " |")
-                if not i:
-                    out.append("|" + "---|" * width)
+            out += table(node)
         elif node.tag == f"{_W}p" and (t := text_of(node)):
             plain = t.replace("**", "")
-            level = 2 if re.match(r"(?i)(chương|chapter|phần|part)\s+[ivx\d]+", plain) else 3 if re.match(r"(?i)(mục|section)\s+[ivx\d]+", plain) else 4 if re.match(r"(?i)(điều|article)\s+\d+", plain) else 0
-            style = node.find(f"{_W}pPr/{_W}pStyle")
-            if not level and style is not None and (g := re.search(r"(?i)heading\s*(\d)", style.get(f"{_W}val", ""))):
+            level = next((n for n, rx in HEADINGS if re.match(rx, plain)), 0)
+            if not level and (g := re.search(r"(?i)heading\s*(\d)", _val(node.find(f"{_W}pPr/{_W}pStyle")))):
                 level = min(6, int(g[1]))
             num = node.find(f"{_W}pPr/{_W}numPr")
             if num is not None and not level:
-                at, of = num.find(f"{_W}ilvl"), num.find(f"{_W}numId")
-                t = numbers.label(of.get(f"{_W}val", "") if of is not None else "", min(8, int(at.get(f"{_W}val", "0")) if at is not None else 0)) + " " + t
+                t = numbers.label(_val(num.find(f"{_W}numId")), min(8, int(_val(num.find(f"{_W}ilvl")) or 0))) + " " + t
             out.append("#" * level + " " + plain if level else t)
     return "\n\n".join(out)
 
@@ -196,7 +272,7 @@ def html_text(html: Column) -> Column:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def valid_session(session_id: Column) -> Column:
@@ -208,5 +284,49 @@ def json_strings(rows: DataFrame) -> DataFrame:
     """Strings in any depth of JSON texts (`id`, `json`) that carry diacritics."""
     from ..operators.lexicon import has_diacritics
 
-    found = F.regexp_extract_all("json", F.lit(r'"((?:[^"\\]|\\.)*)"(?!\s*:)'), 1)
-    return rows.select("id", F.explode(found).alias("value")).filter(has_diacritics(F.col("value")))
+    # keys are matched too, with their colon, so that every quote is read in its place
+    every = F.regexp_extract_all("json", F.lit(r'"(?:[^"\\]|\\.)*"\s*:?'), 0)
+    values = F.transform(F.filter(every, lambda x: ~F.endswith(x, F.lit(":"))), lambda x: F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>")[0])
+    return rows.select("id", F.explode(values).alias("value")).filter(has_diacritics(F.col("value")))
+
+
+def in_upload_order(files: DataFrame) -> DataFrame:
+    """Files of a dossier (`dossier, ord, name, content`) as documents doc1, doc2, ... with their size in bytes."""
+    n = F.row_number().over(Window.partitionBy("dossier").orderBy("ord", "name"))
+    return files.withColumn("doc_id", F.concat(F.lit("doc"), n)).withColumn("size_bytes", F.length("content"))
+
+
+def check_set_json(rows: DataFrame) -> DataFrame:
+    """`set_id, json`: the rows of a form (`set_id, field_key, label, alts, value_type, check_type, required`) as a check
+    set. Rows without a label go; alternatives are split at commas, semicolons and lines; required keys are always checked."""
+    alts = F.filter(F.transform(F.split("alts", "[;,\n]"), lambda x: F.btrim(x)), lambda x: x != "")
+    own = rows.filter(F.btrim("label") != "").select("set_id", "field_key", "required", F.struct(F.btrim("label").alias("label"), F.when(F.size(alts) > 0, alts).alias("label_alts"), "value_type", "check_type").alias("f"))
+    entries = F.array_sort(F.collect_list(F.struct("field_key", "f")))
+    always = F.array_sort(F.collect_list(F.when(F.col("required"), F.col("field_key"))))
+    body = F.struct(F.map_from_entries(entries).alias("fields_catalog"), F.struct(always.alias("always_check")).alias("field_check_mode"))
+    return own.groupBy("set_id").agg(F.to_json(body).alias("json"))
+
+
+REGISTRY = "version int, entries array<struct<file: string, title: string, doc_no: string, doc_type: string, effective_from: string, sha256: string, approved_by: string, reg_set: string>>"
+
+
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a registry file, with their place; a missing or broken one has none."""
+    try:
+        raw = spark.read.schema(REGISTRY).json(path, multiLine=True)
+    except AnalysisException:
+        raw = spark.createDataFrame([], REGISTRY)
+    return raw.select(F.posexplode("entries").alias("ord", "e")).select("ord", "e.*")
+
+
+def save_registry(entries: DataFrame, path: str) -> None:
+    """A registry (a bounded list of documents) as one JSON file under `path`, replaced as a whole."""
+    fields = [c for c in entries.columns if c != "ord"]
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("e")))), lambda x: x["e"])
+    entries.agg(F.lit(1).alias("version"), rows.alias("entries")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def page_checkpoint(lines: DataFrame, path: str) -> DataFrame:
+    """Lines of read pages, written by document, so that a restart reads only what is missing; and read again."""
+    lines.write.mode("append").partitionBy("doc_id").parquet(path)
+    return lines.sparkSession.read.parquet(path)

@@ -109,7 +109,82 @@ def test_archives_and_markdown(spark):
     assert {(r.name, r.error) for r in opened.collect()} == {("law.docx", None), ("note.txt", None), ("pic.png", "unsupported"), ("bad.zip", "broken archive"), ("b.md", None)}
     md = {r.name: r.markdown for r in files.to_markdown(opened).collect()}
     assert md["note.txt"] == "# note\n\nxin chào"
-    assert md["law.docx"].split("\n\n") == ["# law", "## Chương I", "#### Điều 1. Phạm vi", "1. mục", "| a | b |", "|---|---|", "| c |  |"]
+    assert md["law.docx"].split("\n\n") == ["# law", "## Chương I", "#### Điều 1. Phạm vi", "- mục", "| a | b |", "|---|---|", "| c |  |"]
+
+
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def docx(body: str, numbering: str = "") -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
+        if numbering:
+            z.writestr("word/numbering.xml", f"<w:numbering {W}>{numbering}</w:numbering>")
+    return out.getvalue()
+
+
+def item(text: str, num: str, level: int = 0) -> str:
+    return f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{num}"/></w:numPr></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
+
+
+def test_list_numbers():
+    def lvl(i, kind, text, start=1):
+        return f'<w:lvl w:ilvl="{i}"><w:start w:val="{start}"/><w:numFmt w:val="{kind}"/><w:lvlText w:val="{text}"/></w:lvl>'
+
+    numbering = f'<w:abstractNum w:abstractNumId="7">{lvl(0, "upperRoman", "%1.")}{lvl(1, "lowerLetter", "%2)", 3)}{lvl(2, "decimal", "%1.%2.%3")}</w:abstractNum><w:abstractNum w:abstractNumId="8">{lvl(0, "bullet", "·")}</w:abstractNum>'
+    numbering += '<w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="8"/></w:num><w:num w:numId="3"><w:abstractNumId w:val="7"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="4"/></w:lvlOverride></w:num>'
+    body = item("a", "1") + item("b", "1", 1) + item("c", "1", 1) + item("d", "1", 2) + item("e", "1") + item("f", "1", 1) + item("g", "2") + item("h", "3") + item("i", "99") + item("j", "1", 2)
+    assert files.docx_to_markdown(docx(body, numbering)).split("\n\n") == ["I. a", "c) b", "d) c", "I.d.1 d", "II. e", "c) f", "- g", "IV. h", "- i", "II.c.1 j"]
+    assert [files.roman(n) for n in (1, 4, 9, 40, 99, 1994, 3999)] == ["I", "IV", "IX", "XL", "XCIX", "MCMXCIV", "MMMCMXCIX"]
+
+
+def test_cells_and_runs():
+    run = lambda t, b="": f"<w:r><w:rPr>{b}</w:rPr><w:t>{t}</w:t></w:r>"
+    cell = lambda *ps: "<w:tc>" + "".join(f"<w:p>{p}</w:p>" for p in ps) + "</w:tc>"
+    body = f'<w:tbl><w:tr>{cell(run("a|b"))}{cell(run("x"), run("y"))}</w:tr><w:tr>{cell("<w:r><w:t>1</w:t><w:br/><w:t>2</w:t></w:r>")}</w:tr></w:tbl><w:p>{run("plain ")}{run("bold", "<w:b/>")}{run(" on", "<w:b/>")}{run(" not", chr(60) + "w:b w:val=" + chr(34) + "0" + chr(34) + "/>")}</w:p>'
+    assert files.docx_to_markdown(docx(body)).split("\n\n") == ["| a\\|b | x y |", "|---|---|", "| 1 2 |  |", "plain **bold on** not"]
+
+
+def test_registry_and_checkpoint(spark, tmp_path):
+    where = str(tmp_path / "reg")
+    assert files.load_registry(spark, where).count() == 0
+    rows = [(1, "b.md", "B", "2", "law", "2001-01-01", None, "who", "s"), (0, "a.md", None, None, None, None, "ff", None, None)]
+    names = "ord int, file string, title string, doc_no string, doc_type string, effective_from string, sha256 string, approved_by string, reg_set string"
+    files.save_registry(spark.createDataFrame(rows, names), where)
+    assert [(r.ord, r.file, r.sha256) for r in files.load_registry(spark, where).orderBy("ord").collect()] == [(0, "a.md", "ff"), (1, "b.md", None)]
+    bad = tmp_path / "bad.json"
+    bad.write_text("{")
+    assert files.load_registry(spark, str(bad)).count() == 0
+    lines = spark.createDataFrame([("d", 0, "x"), ("e", 0, "y")], "doc_id string, page_index int, text string")
+    files.page_checkpoint(lines.limit(1), str(tmp_path / "pages"))
+    assert files.page_checkpoint(lines.filter("doc_id = 'e'"), str(tmp_path / "pages")).count() == 2
+
+
+def test_store_reset(spark, tmp_path):
+    store = str(tmp_path / "store")
+    a = spark.createDataFrame([("c1", "x"), ("c2", "y")], "chunk_id string, text string")
+    corpus.reset(a, store)
+    seen = spark.read.parquet(store)
+    assert seen.count() == 2
+    corpus.reset(a.limit(1), store)
+    assert spark.read.parquet(store).count() == 1
+
+
+def test_read_pages(spark):
+    class Reader:
+        def read(self, content):
+            if content == b"broken":
+                raise ValueError
+            return [[("a", 1.0), ("b", 0.5)], [("c", 0.9)]]
+
+    got = models.read_pages(spark.createDataFrame([("p", b"ok"), ("q", b"broken")], "path string, content binary"), Reader).collect()
+    assert [(r.path, r.page_index, r.line_no, r.text) for r in got] == [("p", 0, 0, "a"), ("p", 0, 1, "b"), ("p", 1, 0, "c")]
+
+
+def test_csv(spark, tmp_path):
+    files.write_csv(spark.createDataFrame([(1, 'a "b", c')], "n int, t string"), str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').first()["t"] == 'a "b", c'
 
 
 def test_check_sets(spark, tmp_path):
