@@ -34,29 +34,43 @@ def in_force(day: Column) -> Column:
     return day.isNull() | ((F.col("effective_from") <= day) & (F.coalesce(F.col("effective_to"), F.lit("9999-12-31").cast("date")) >= day))
 
 
-def valid_on(days: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks in force on each day (`day`, null: all of them). A stab join with the year
-    as its equi-join key: an interval is a row a year, open ends up to the last day asked for."""
-    known = days.filter("day is not null").withColumn("_y", F.year("day"))
+def valid_on(days: DataFrame, chunks: DataFrame, *on: str) -> DataFrame:
+    """Chunks in force on each day (`day` and other columns; null: all of them) among those with equal `on`.
+    A stab join with the year as equi-join key: an interval is a row a year, open ends up to the last day asked for."""
+    asked = days.select("day", *[c for c in days.columns if c != "day"])
+    known = asked.filter("day is not null").withColumn("_y", F.year("day"))
     last = known.agg(F.coalesce(F.max("_y"), F.lit(0)).alias("_last"))
     start, end = F.year("effective_from"), F.least(F.year(F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))), F.col("_last"))
-    by_year = chunks.crossJoin(F.broadcast(last)).withColumn("_y", F.explode(F.when(end >= start, F.sequence(start, end)).otherwise(F.array().cast("array<int>"))))
-    dated = by_year.join(known, "_y").filter(in_force(F.col("day"))).select("day", *chunks.columns)
-    undated = chunks.crossJoin(F.broadcast(days.filter("day is null").select("day").distinct()))
-    return dated.unionByName(undated.select("day", *chunks.columns))
+    by_year = chunks.crossJoin(F.broadcast(last)).withColumn("_y", F.explode(F.when(end >= start, F.sequence(start, end)).otherwise(F.array().cast("array<int>"))))  # one row
+    names = [*asked.columns, *[c for c in chunks.columns if c not in on]]
+    dated = by_year.join(known, ["_y", *on]).filter(in_force(F.col("day"))).select(names)
+    open_ = asked.filter("day is null")
+    if on:
+        undated = chunks.join(open_, list(on))
+    else:  # all chunks, once for all that ask without a day
+        undated = chunks.crossJoin(F.broadcast(open_.distinct().limit(1)))
+    return dated.unionByName(undated.select(names))
 
 
-def relaxed(hits: DataFrame, query: str = "query_id") -> DataFrame:
-    """Of each query the rows in force; all of its rows where none is (scope holds)."""
-    any_in = F.max(F.col("in_force")).over(Window.partitionBy(query))
-    return hits.withColumn("any_in", any_in).filter(F.col("in_force") | ~F.col("any_in")).drop("any_in")
+def relaxed_on(queries: DataFrame, chunks: DataFrame, *on: str) -> DataFrame:
+    """Rows of `valid_on` with `in_force` true; for queries (`query_id`) that have none all chunks of their scope (`on`), with false."""
+    valid = valid_on(queries, chunks, *on).withColumn("in_force", F.lit(True))
+    rest = queries.join(valid.select("query_id").distinct(), "query_id", "left_anti")
+    return valid.unionByName(rest.join(chunks, list(on)).withColumn("in_force", F.lit(False)))
+
+
+SPLIT = 16
+"""Parts of a scope's chunks: a scope that holds most of them is as many tasks."""
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, on: str, k: int) -> DataFrame:
     """The k nearest chunks of each query among those with the same `on`, ties by id.
 
-    `queries`: query_id, vec, `on`; `chunks`: chunk_id, embedding, `on`."""
-    pairs = chunks.join(queries, on).select("query_id", "chunk_id", F.round(squared_distance(F.col("vec"), F.col("embedding")), 6).alias("distance"))
+    `queries`: query_id, vec, `on`; `chunks`: chunk_id, embedding, `on`. Chunks of a scope are dealt to SPLIT parts, every
+    query meets each part, keeps its k best there, and these are merged."""
+    parts = chunks.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(SPLIT)).cast("int"))
+    asked = queries.withColumn("part", F.explode(F.array([F.lit(i) for i in range(SPLIT)])))
+    pairs = parts.join(asked, [on, "part"]).select("query_id", "chunk_id", F.round(squared_distance(F.col("vec"), F.col("embedding")), 6).alias("distance"))
     # rank <= k under a row_number: Spark keeps at most k rows a query and task before the shuffle
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -84,11 +98,9 @@ def guaranteed(hits: DataFrame, g: int, cap: int) -> DataFrame:
         F.min_by("chunk_id", F.struct("distance", "field_ord", "i", "chunk_id")).alias("chunk_id"),
         F.collect_list(F.struct("field_key", "i")).alias("found"),
     )
-    total = by.agg(F.count_if("must").alias("m"))
-    order = Window.orderBy(F.col("must").desc(), "first_extra", "key")
-    placed = by.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(total))
-    kept = placed.filter(F.col("must") | (F.col("place") <= F.greatest(F.lit(cap), F.col("m"))))
-    return kept.select("key", "chunk_id", "distance", "must", "found")
+    room = max(0, cap - by.filter("must").count())  # one number of a request; the rest is a top-k that each task cuts first
+    extra = by.filter(~F.col("must")).orderBy("first_extra", "key").limit(room)
+    return by.filter("must").unionByName(extra).select("key", "chunk_id", "distance", "must", "found")
 
 
 def field_ranks(chosen: DataFrame) -> DataFrame:
@@ -109,10 +121,16 @@ def coverage(keys: DataFrame, ranks: DataFrame, g: int) -> DataFrame:
 
 def best_chunk(queries: DataFrame, chunks: DataFrame, least: int = 2) -> DataFrame:
     """For each query the chunk with most common tokens (at least `least`), the first of equals.
-    Tokens are the join key and pairs are counted, never formed without one in common."""
+
+    Tokens are the join key; one that most chunks have meets as many rows as its share of them. Two chunks that
+    hold the same of the queries' tokens score alike, so such a set of tokens is one row, named by its
+    least chunk: common tokens alone make few sets, and copies one."""
     q = queries.select("query_id", F.explode(tokens(F.col("text"), 4)).alias("token"))
-    c = chunks.select("chunk_id", F.explode(tokens(F.col("text"), 4)).alias("token"))
-    n = q.join(c, "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score")).filter(F.col("score") >= least)
+    asked = q.select("token").distinct()
+    c = chunks.select("chunk_id", F.explode(tokens(F.col("text"), 4)).alias("token")).join(asked, "token", "left_semi")
+    sets = c.groupBy("chunk_id").agg(F.array_sort(F.collect_set("token")).alias("tokens")).filter(F.size("tokens") >= least)
+    named = sets.groupBy("tokens").agg(F.min("chunk_id").alias("chunk_id"))
+    n = q.join(named.select("chunk_id", F.explode("tokens").alias("token")), "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score")).filter(F.col("score") >= least)
     return n.groupBy("query_id").agg(F.max_by("chunk_id", F.struct(F.col("score"), -F.col("chunk_id"))).alias("chunk_id"), F.max("score").alias("score"))
 
 

@@ -170,7 +170,7 @@ SQL = {
     "registry_status_counts": f"SELECT s.status, count(a.file) AS n, s.status IN ('missing_file', 'hash_mismatch') AS blocking FROM (SELECT unnest(['missing_file', 'hash_mismatch', 'unapproved', 'unregistered', 'ok']) AS status) s LEFT JOIN ({_AUDIT}) a ON a.status = s.status GROUP BY 1",
     "registry_sync_anti": f"WITH {_REG} SELECT r.file, coalesce(r.sha256, f.sha256) AS sha256, approved_by FROM reg r LEFT JOIN fil f ON r.file = f.file UNION ALL SELECT file, sha256, NULL FROM fil WHERE file NOT IN (SELECT file FROM reg)",
     "registry_approvals": f"WITH {_REG} SELECT r.file, CASE WHEN h THEN f.sha256 ELSE r.sha256 END AS sha256, CASE WHEN h THEN 'board' ELSE approved_by END AS approved_by FROM (SELECT r.*, r.ord < 60 AND r.ord % 5 = 0 AND r.file IN (SELECT file FROM fil) AS h FROM reg r) r LEFT JOIN fil f ON r.file = f.file",
-    "corpus_fingerprint": f"WITH {_REG}, h AS (SELECT sha256(file || '|' || sha256) AS h FROM fil), g AS (SELECT h[1:2] AS g, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(g || h, '' ORDER BY g) || '#prompt-1#model-1')[1:16] AS fingerprint FROM g",
+    "corpus_fingerprint": f"WITH {_REG}, h AS (SELECT sha256(file || '|' || sha256) AS h FROM fil), s AS (SELECT count(*) AS n, " + ", ".join(f"CAST(coalesce(sum(CAST('0x' || h[{15 * k + 1}:{15 * k + 15}] AS HUGEINT)), 0) % 1152921504606846976 AS VARCHAR) AS s{k}" for k in range(4)) + " FROM h) SELECT sha256(n || '#' || s0 || '#' || s1 || '#' || s2 || '#' || s3 || '#prompt-1#model-1')[1:16] AS fingerprint FROM s",
     "reg_sets_group": f"WITH {_REG} SELECT reg_set, count(*) AS files, sha1(string_agg(title, '|' ORDER BY ord)) AS titles FROM reg WHERE file IN (SELECT file FROM fil) GROUP BY 1",
     "reg_set_additions": f"""WITH {_REG}, n AS (SELECT 'Brand#' || CAST(s_suppkey % 25 + 1 AS VARCHAR) AS reg_set, 'doc_' || CAST(s_suppkey % 40 AS VARCHAR) AS stem, sha256('n' || CAST(s_suppkey % 70 AS VARCHAR)) AS sha256, s_suppkey AS ord FROM supplier),
  d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY reg_set, sha256 ORDER BY ord) = 1), e AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM reg WHERE reg.reg_set = d.reg_set AND reg.sha256 = d.sha256)),

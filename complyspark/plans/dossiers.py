@@ -167,8 +167,10 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import pages as P
 
+    """The line of each document that its middle line, as a quote, points to."""
     d = table(spark, sf_dir, "documents")
-    q = d.filter("lang = 'en'").select("doc_id", F.substring_index(F.substring("text", 200, 60), "\n", 1).alias("quote"))
+    l = F.split("text", "\n")
+    q = d.select("doc_id", F.get(l, F.floor(F.size(l) / 2).cast("int")).alias("quote"))
     return G.best_line(P.lines(d), q).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("score").cast("long").alias("score"))
 
 
@@ -176,7 +178,7 @@ def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _accented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.words(table(spark, sf_dir, "documents").filter("lang <> 'en'"))
+    return L.words(table(spark, sf_dir, "documents"))
 
 
 def lexicon_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +186,7 @@ def lexicon_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.bigrams(_accented(spark, sf_dir)).groupBy(F.concat_ws(" ", "prev", "word").alias("pair")).agg(F.count("*").alias("n")).filter("n >= 20")
+    return L.bigrams(_accented(spark, sf_dir)).groupBy(F.concat_ws(" ", "prev", "word").alias("pair")).agg(F.count("*").alias("n"))
 
 
 def restore_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +258,7 @@ _CHECKS = f"""WITH {_F}, c AS (SELECT doc_id, field_key, pk, ord >= 3 AS made, C
 _D = f"WITH {_F}, d AS (SELECT o_custkey AS dossier, field_key, value, doc_id AS ord, pk, flag, has FROM f JOIN orders ON o_orderkey = doc_id)"
 _V = "CASE flag WHEN 'A' THEN 'PASS' WHEN 'N' THEN 'FAIL' ELSE 'NEEDS_SUPPLEMENT' END"
 _STAGE = "e AS (SELECT user_id AS pid, CASE WHEN event_type = 'purchase' THEN 'done' ELSE event_type END AS stage, ts, event_id FROM events)"
-_WORDS = r"""w AS (SELECT doc_id, i, raw, lower(strip_accents(raw)) AS fold FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS raw FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9\p{L}]+'), lambda x: length(x) >= 2 AND NOT regexp_full_match(x, '\d+')) AS l FROM documents WHERE lang <> 'en'))),
+_WORDS = r"""w AS (SELECT doc_id, i, raw, lower(strip_accents(raw)) AS fold FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS raw FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9\p{L}]+'), lambda x: length(x) >= 2 AND NOT regexp_full_match(x, '\d+')) AS l FROM documents))),
  b AS (SELECT *, NOT regexp_full_match(fold, '\p{L}+') OR (upper(raw) = raw AND length(raw) <= 4) AS brk FROM w), s AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS seg FROM b), t AS (SELECT doc_id, i, lower(raw) AS word, fold, seg FROM s WHERE NOT brk)"""
 _FOLDED = "strip_accents(replace(replace({0}, 'đ', 'd'), 'Đ', 'D'))"
 QUERIES = {
@@ -323,11 +325,11 @@ SQL = {
  f AS (SELECT d, string_agg('"f' || CAST(n AS VARCHAR) || '"', ',' ORDER BY n) AS f FROM (SELECT DISTINCT l_orderkey AS d, l_linenumber AS n FROM lineitem) GROUP BY 1)
  SELECT f.d AS doc_id, sha1('{' || coalesce('"regulations":[' || r || '],', '') || '"fields":[' || f || ']}') AS sha1 FROM f LEFT JOIN g ON f.d = g.d""",
     "cache_keys": "SELECT o_custkey AS dossier, sha256(string_agg(h, '|' ORDER BY h) || '|set-1') AS cache_key FROM (SELECT o_custkey, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders) GROUP BY 1",
-    "evidence_lines": rf"""WITH lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, lower({_FOLDED.format('unnest(l)')}) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), q AS (SELECT doc_id, quote, lower({_FOLDED.format('quote')}) AS lq FROM (SELECT doc_id, split_part(text[200:259], chr(10), 1) AS quote FROM documents WHERE lang = 'en')),
+    "evidence_lines": rf"""WITH lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, lower({_FOLDED.format('unnest(l)')}) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), q AS (SELECT doc_id, quote, lower({_FOLDED.format('quote')}) AS lq FROM (SELECT doc_id, l[len(l) // 2 + 1] AS quote FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
  w AS (SELECT *, list_filter(regexp_split_to_array(lq, '[^a-z0-9]+'), lambda x: length(x) >= 2) AS ws FROM q), s AS (SELECT doc_id, quote, line_no, CASE WHEN contains(t, lq) THEN len(ws) + 1 ELSE len([x for x in ws if contains(t, x)]) END AS score FROM lines JOIN w USING (doc_id))
  SELECT doc_id, line_no, score FROM s WHERE score >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, quote ORDER BY score DESC, line_no) = 1""",
     "lexicon_dominance": f"WITH {_WORDS}, c AS (SELECT fold, word, count(*) AS n FROM t GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY n DESC, word DESC) AS r, lead(n) OVER (PARTITION BY fold ORDER BY n DESC, word DESC) AS n2 FROM c) SELECT fold, word, n FROM k WHERE r = 1 AND n >= 3 * coalesce(n2, 0)",
-    "bigram_lag": f"WITH {_WORDS}, l AS (SELECT lag(word) OVER (PARTITION BY doc_id, seg ORDER BY i) AS p, word FROM t) SELECT p || ' ' || word AS pair, count(*) AS n FROM l WHERE p IS NOT NULL GROUP BY 1 HAVING count(*) >= 20",
+    "bigram_lag": f"WITH {_WORDS}, l AS (SELECT lag(word) OVER (PARTITION BY doc_id, seg ORDER BY i) AS p, word FROM t) SELECT p || ' ' || word AS pair, count(*) AS n FROM l WHERE p IS NOT NULL GROUP BY 1",
     "label_extract": """WITH o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS m, CAST(o_custkey % 1000 AS VARCHAR) AS n, o_orderpriority AS p FROM orders)
  SELECT k AS doc_id, unnest(['day', 'wage', 'people', 'place']) AS field_key, unnest([d, m || ' USD tháng', n, 'Kho ' || p]) AS value, unnest([0.6, 0.6, 0.6, 0.5]) AS confidence FROM o""",
     "draft_rules": """WITH t AS (SELECT p_partkey AS doc_id, unnest([0, 1, 2, 3, 4]) AS ord, unnest(['Ngày ký hợp đồng', 'Tiền lương', 'Số lượng lao động', trim(split_part(p_name, ':', 1)), trim(split_part(upper(p_name), ':', 1))]) AS label, unnest(['date', 'money', 'number', 'text', 'text']) AS kind FROM part)

@@ -59,16 +59,24 @@ def passages(fields: DataFrame, chunks: DataFrame, check: CheckSet) -> DataFrame
     vec = models.embed(labels.withColumnRenamed("field_key", "chunk_id"), check.embedder).withColumnsRenamed({"chunk_id": "field_key", "embedding": "vec"})
     store = models.embed(chunks, check.embedder).join(chunks, "chunk_id")
     # a distance belongs to a field and a chunk, whatever the day: one row of the catalog meets one chunk once
-    near = store.join(F.broadcast(vec), F.lit(True)).select("field_key", "chunk_id", F.round(retrieval.squared_distance(F.col("vec"), F.col("embedding")), 6).alias("distance"))
+    near = _distances(vec, store)
     days = signing_days(fields, check).select("day").distinct()
     valid = retrieval.valid_on(days, chunks.select("chunk_id", "effective_from", "effective_to")).select("chunk_id", F.coalesce("day", F.lit(NO_DAY).cast("date")).alias("day"))
     w = Window.partitionBy("field_key", "day").orderBy("distance", "chunk_id")
     return valid.join(near, "chunk_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= check.top).select("field_key", "day", "chunk_id", "rank")
 
 
+def _distances(fields: DataFrame, store: DataFrame) -> DataFrame:
+    """`field_key, chunk_id, distance` of all fields of a check set and all passages. A check set has a bounded number of
+    fields (60 at most are drafted): their vectors are one array column, which each passage's row is held against."""
+    asked = fields.agg(F.collect_list(F.struct("field_key", "vec")).alias("asked")).withColumn("scope", F.lit(0))
+    each = F.transform("asked", lambda a: F.struct(a["field_key"].alias("field_key"), F.round(retrieval.squared_distance(a["vec"], F.col("embedding")), 6).alias("distance")))
+    return store.withColumn("scope", F.lit(0)).join(F.broadcast(asked), "scope").select("chunk_id", F.explode(each).alias("d")).select("d.field_key", "chunk_id", "d.distance")
+
+
 def check_dossiers(docs: DataFrame, chunks: DataFrame, check: CheckSet) -> tuple[DataFrame, DataFrame]:
-    """(checks, report) of all documents."""
-    fields = read_fields(docs, check)
+    """(checks, report) of all documents. Fields are read once and kept (in memory, else on disk), as every later step asks for them."""
+    fields = read_fields(docs, check).persist()
     day = signing_days(fields, check).select("doc_id", F.coalesce("day", F.lit(NO_DAY).cast("date")).alias("day"))
     found = passages(fields, chunks, check)
     sent = fields.join(day, "doc_id").join(found, ["field_key", "day"]).select("doc_id", "field_key", "chunk_id")

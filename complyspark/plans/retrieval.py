@@ -66,14 +66,13 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_force_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scope is the equi-join key, the day is checked on it."""
-    j = _passages(spark, sf_dir).join(_requests(spark, sf_dir), "jurisdiction").filter(R.in_force(F.col("day")))
+    """Scope and year are the equi-join key, the day is checked on it."""
+    j = R.valid_on(_requests(spark, sf_dir), _passages(spark, sf_dir), "jurisdiction")
     return j.groupBy("query_id").agg(F.count("*").alias("passages"), F.max("chunk_id").alias("last"))
 
 
 def relaxed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = _passages(spark, sf_dir).join(_requests(spark, sf_dir), "jurisdiction").withColumn("in_force", R.in_force(F.col("day")))
-    return R.relaxed(j).groupBy("query_id").agg(F.count("*").alias("passages"), F.bool_and("in_force").alias("strict"))
+    return R.relaxed_on(_requests(spark, sf_dir), _passages(spark, sf_dir), "jurisdiction").groupBy("query_id").agg(F.count("*").alias("passages"), F.bool_and("in_force").alias("strict"))
 
 
 def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", X.take_short_quote(F.col("text")).alias("quote"), X.slug(F.concat_ws(" ", "source", "lang", F.substring("text", 1, 40))).alias("slug"), X.mask(F.concat("source", F.col("doc_id").cast("string"))).alias("masked"))
+    return _docs(spark, sf_dir).select("doc_id", X.take_short_quote(F.col("text")).alias("quote"), X.slug(F.concat_ws(" ", "source", "lang", "text")).alias("slug"), X.mask(F.concat("source", F.col("doc_id").cast("string"))).alias("masked"))
 
 
 def junk_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def skeleton_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     raw = (
-        F.when(k % 6 == 0, F.concat(F.lit(" ,; "), F.substring("text", 1, 30), F.lit(" – ")))
+        F.when(k % 6 == 0, F.concat(F.lit(" ,; "), "text", F.lit(" – ")))
         .when(k % 6 == 1, F.lit("Điền theo thực tế"))
         .when(k % 6 == 2, F.lit(" -:. "))
         .when(k % 6 == 3, F.concat(F.lit("nội   dung chính của bên B "), k.cast("string"), F.lit(" theo phụ lục 05 của hợp đồng")))
@@ -176,14 +176,14 @@ QUERIES = {
 SQL = {
     "text_normalize": r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace('  ' || chr(9) || text || chr(13) || chr(10) || chr(10) || chr(10) || ' ' || chr(9) || ' tail' || chr(9) || chr(9) || ' ', '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS sha FROM documents""",
     "fold_text": f"SELECT doc_id, sha256({_A.format('text')}) AS folded, sha256(lower(regexp_replace({_A.format('text')}, '[^0-9A-Za-z]', '', 'g'))) AS key, true AS aligned FROM documents",
-    "short_quote": rf"""SELECT doc_id, array_to_string(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')[1:25], ' ') AS quote, trim(regexp_replace(lower({_A.format("source || ' ' || lang || ' ' || text[1:40]")}), '[^a-z0-9]+', '-', 'g'), '-') AS slug, '••••' || right(source || CAST(doc_id AS VARCHAR), 4) AS masked FROM documents""",
+    "short_quote": rf"""SELECT doc_id, array_to_string(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')[1:25], ' ') AS quote, trim(regexp_replace(lower({_A.format("source || ' ' || lang || ' ' || text")}), '[^a-z0-9]+', '-', 'g'), '-') AS slug, '••••' || right(source || CAST(doc_id AS VARCHAR), 4) AS masked FROM documents""",
     "junk_ratio": r"""SELECT doc_id, CASE WHEN len(w) >= 20 THEN round(len(list_filter(w, lambda x: regexp_matches(trim(x, '.,;:()[]{}"''-–—/*|'), '\p{L}[^\p{L}\p{N}]\p{L}|\p{Ll}\p{Lu}'))) / len(w), 3) END AS junk
  FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) >= 2 AND length(regexp_replace(x, '[^A-Za-z]', '', 'g')) >= 2) AS w FROM documents)""",
     "token_f1": f"""SELECT doc_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) END AS f1 FROM (SELECT doc_id,
  list_filter(list_distinct(regexp_split_to_array(lower({_A.format("d.text")}), '[^a-z0-9]+')), lambda t: length(t) >= 3) AS a, list_filter(list_distinct(regexp_split_to_array(lower({_A.format("b.text")}), '[^a-z0-9]+')), lambda t: length(t) >= 3) AS b
  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)""",
     "skeleton_words": "SELECT p_partkey, translate(w, 'aeiouy', '') AS skeleton, true AS inside, upper(p_name) AS upper, upper(p_name[1]) || p_name[2:] AS first FROM (SELECT *, split_part(p_name, ' ', 1) AS w FROM part)",
-    "clean_values": r"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN nullif(regexp_replace(trim(' ,; ' || text[1:30] || ' – ', E',;:.–—•·- \t"''“”‘’'), '\s+', ' ', 'g'), '') WHEN 3 THEN 'nội dung chính của bên B ' || CAST(doc_id AS VARCHAR) WHEN 4 THEN 'theo phụ lục 05' WHEN 5 THEN '2024-05-15' END AS value,
+    "clean_values": r"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN nullif(regexp_replace(trim(' ,; ' || text || ' – ', E',;:.–—•·- \t"''“”‘’'), '\s+', ' ', 'g'), '') WHEN 3 THEN 'nội dung chính của bên B ' || CAST(doc_id AS VARCHAR) WHEN 4 THEN 'theo phụ lục 05' WHEN 5 THEN '2024-05-15' END AS value,
  doc_id % 6 = 1 AS hint, doc_id % 2 = 0 AS boilerplate FROM documents""",
     "doc_types": """SELECT p_partkey, CASE WHEN p_name LIKE '%widget%' THEN 'decree' WHEN p_name LIKE '%ring%' THEN 'circular' WHEN p_name LIKE '%bolt%' THEN 'law' ELSE 'other' END AS doc_type, p_type AS title,
  repeat('M', CAST(floor(n / 1000) AS INT)) || ['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'][CAST(floor(n / 100) % 10 AS INT) + 1] || ['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][CAST(floor(n / 10) % 10 AS INT) + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][CAST(n % 10 AS INT) + 1] AS roman
