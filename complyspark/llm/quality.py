@@ -91,7 +91,7 @@ class Model:
 
 def lift(x: np.ndarray, mean: np.ndarray, std: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     z = np.clip((x - mean) / std, -6, 6)
-    return np.hstack([np.sqrt(2 / len(b)) * np.cos(z @ w + b), z / 10, np.ones((len(x), 1))])
+    return np.hstack([np.sqrt(2 / len(b)) * np.cos(z @ w + b), np.ones((len(x), 1))])
 
 
 def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,10 @@ def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = FOLDS, held: int = HELD, features: int = FEATURES, seed: int = 7) -> Model:
     """Fitted on a bounded sample of labelled rows outside the held-out fold (see
     labelled.py). Three quarters of it give the normal equations, the rest the calibration.
-    Without any labelled row every score is one half."""
+
+    Null and empty texts have the statistics of the empty text; very long texts are read whole. Null
+    labels and labels of a null id are left out; of several labels of a document the greatest holds; rows of `docs` that
+    repeat an id are read once each. Without any labelled row (an empty table too) every score is one half. Other columns are ignored."""
     lean_batches(docs.sparkSession)
     rows = cut(labelled(docs, sample(labels, label, mod, held)).select("doc_id", "text", "y").mapInArrow(_stats_rows, "doc_id long, x array<double>, y int"))
     part = rows.withColumn("cal", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4)) == 0)
@@ -127,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = F
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "v"])
 
     got = part.filter("not cal").select("x", "y").mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    d = features + size + 1
+    d = features + 1
     coef = np.zeros(d)
     if got.num_rows:
         flat = np.zeros(d * (d + 1))
@@ -143,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = F
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """`doc_id, score` of every whole text of `docs`; null texts count as empty,
-    repeated rows give a row each."""
+    """`doc_id, score` of every whole text of `docs`. Null texts count as empty; very long ones are read whole; ties get
+    equal scores; repeated rows and null ids give a row each; other columns are ignored; an empty table gives no rows."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -157,6 +160,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all of `documents`, learnt from `labels`; odd input as in `fit` and `scored`. A null id is in the
+    held-out fold, as the checksum of no text is 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return out.select("doc_id", (fold(FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

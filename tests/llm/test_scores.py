@@ -151,3 +151,96 @@ def test_spaced_runs_keep_word_ends():
 def test_digest_columns(spark, sf_dir):
     r = queries.QUERIES["op6_secrets"](spark, sf_dir).filter("spans = ''").first()
     assert r.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_normal_equations_against_dense_solve(spark, make_docs):
+    """Partition-summed normal equations give what one dense solve over all rows gives."""
+    from pyspark.sql import functions as F
+
+    from complyspark.llm.labelled import labelled, sample
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join("w" * int(k) for k in rng.integers(1, 9, rng.integers(1, 60))) + "!" * int(rng.integers(0, 9)) for _ in range(300)]
+    docs = make_docs(list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, int(t.count("!") > 4)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, features=40)
+    rows = labelled(docs, sample(labels, "quality", quality.FOLDS, quality.HELD)).withColumn("cal", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).collect()
+    x = np.array([quality.statistics(r.text) for r in rows])
+    y = np.array([r.y for r in rows], float)
+    cal = np.array([r.cal for r in rows])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.std, np.maximum(x.std(0), 1e-6))
+    z = quality.lift(x[~cal], model.mean, model.std, model.w, model.b)
+    assert z.shape[1] == 41
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * np.eye(41), z.T @ y[~cal])
+    assert np.allclose(model.coef, want, rtol=1e-6, atol=1e-8)
+    knots = isotonic(quality.lift(x[cal], model.mean, model.std, model.w, model.b) @ want, y[cal])
+    assert np.allclose(model.knots[0], knots[0], atol=1e-6) and np.allclose(model.knots[1], knots[1])
+    got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    assert np.allclose([got[i] for i in range(300)], model.score(np.array([quality.statistics(t) for t in texts])))
+
+
+def test_kernel_approximation():
+    """Products of Fourier features approach the Gaussian kernel."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((12, 20))
+    w, b = rng.standard_normal((20, 60_000)) / 4, rng.uniform(0, 2 * np.pi, 60_000)
+    z = quality.lift(x, np.zeros(20), np.ones(20), w, b)[:, :-1]
+    want = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * 16))
+    assert np.abs(z @ z.T - want).max() < 0.03
+
+
+def test_viterbi_against_all_readings():
+    """The decoder's reading is the best of all readings of a lattice."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    lm = toxicity.LanguageModel.of(rng.integers(0, 50, toxicity.SIZE**3).astype(float))
+
+    def cost(letters, p):
+        a = b = 0
+        for ch in letters:
+            z = toxicity.CODE.get(ch, 1)
+            p += float(lm.table[a, b, z])
+            a, b = b, z
+        return p, (a, b)
+
+    for token in ("1d10t", "$h1", "5tuuupid", "a-b", "4$$h0l3", "@$$", "w0r7h", "000", "x*y", "!"):
+        places = toxicity.lattice(token)
+        best = {}
+        for path in product(*places):
+            letters = "".join(x for x, _ in path)
+            s, state = cost(letters, sum(p for _, p in path))
+            key = (state, len(letters))
+            if key not in best or s > best[key][0]:
+                best[key] = (s, letters)
+        # of each last pair of letters the likeliest reading, then the best mean
+        by_state = {}
+        for (state, n), (s, letters) in best.items():
+            if state not in by_state or s > by_state[state][0]:
+                by_state[state] = (s, n, letters)
+        want = max((s + float(lm.table[a, b, 0])) / (n + 1) for (a, b), (s, n, _) in by_state.items())
+        got = toxicity.decoded(places, lm)
+        s, (a, b) = cost(got, 0.0)
+        ways = [sum(p for _, p in path) for path in product(*places) if "".join(x for x, _ in path) == got]
+        assert abs((s + max(ways) + float(lm.table[a, b, 0])) / (len(got) + 1) - want) < 1e-4, token
+
+
+def test_spaced_words_of_a_sentence():
+    lm = toxicity.LanguageModel.of(np.zeros(toxicity.SIZE**3))
+    assert "moron" in " ".join(sorted(toxicity.Reader(lm).words("you are a m o r o n today")))
+
+
+def test_scores_of_odd_tables(spark, make_docs):
+    """Empty tables, no labels, null and repeated ids, texts without words."""
+    odd = make_docs([(None, None), (1, None), (1, ""), (2, " \t"), (2, "x" * 5000), (2, "x" * 5000)])
+    none = odd.limit(0)
+    labels = spark.createDataFrame([(1, None, 1), (None, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    for docs in (odd, none):
+        for own in (labels, labels.limit(0)):
+            q = quality.scored(docs, quality.fit(docs, own)).collect()
+            t = toxicity.scored(docs, toxicity.fit(docs, own)).collect()
+            assert len(q) == len(t) == docs.count()
+            assert all(0 <= r.score <= 1 for r in [*q, *t])
+    model = toxicity.fit(odd, labels)
+    assert toxicity.without_toxic(odd, model).columns == odd.columns
+    assert secrets.scan(none).count() == 0
