@@ -106,8 +106,8 @@ class MinHash:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bins: int = BINS, bits: int = BITS) -> DataFrame:
     """`doc_id, fingerprint` (hex) of every whole text of `docs` (`doc_id`, `text`).
 
-    Null texts are empty, whose fingerprint is the empty string; equal texts
-    have equal fingerprints; repeated rows give a row each."""
+    Null texts are empty, whose fingerprint is the empty string; very long texts are read whole; equal texts
+    have equal fingerprints; repeated rows and null ids give a row each; other columns are ignored; an empty table gives no rows."""
     hasher = MinHash(shingle, bins, bits)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,11 @@ def with_next(docs: DataFrame, hasher: MinHash) -> DataFrame:
 
     Ids are dealt to slices by bounds found beforehand; each slice also gets the
     greatest row of the slice below, so a text is shuffled once, and is read in
-    order from a sorted slice with one row held back. A single row is its own next."""
+    order from a sorted slice with one row held back.
+
+    Null texts are empty, and so are fingerprints of texts without words; very long texts are read whole. A single row is
+    its own next. Ties and repeated rows: equal ids follow in descending order of their texts; a null id
+    is the smallest. Other columns are ignored, whatever they are called; an empty table gives no rows."""
     rows = keyed(docs, "doc_id", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds, tops = _slices(rows.select("_id", "_k"), 4 * n)
@@ -205,6 +209,7 @@ def with_next(docs: DataFrame, hasher: MinHash) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`with_next` over all of `documents`; odd input as there."""
     return with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"), MinHash())
 
 

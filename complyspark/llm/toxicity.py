@@ -342,7 +342,11 @@ def regression(rows: list[list[int]], y: np.ndarray, size: int, steps: int = 800
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = FOLDS, held: int = HELD) -> Model:
     """The language model of all texts, and the classifier of a bounded sample of
-    labelled rows outside the held-out fold (see labelled.py)."""
+    labelled rows outside the held-out fold (see labelled.py).
+
+    Null and empty texts have no words and teach the model nothing; very long texts are read whole. Null labels and labels of a
+    null id are left out; of several labels of a document the greatest holds. Features tie by name. An empty
+    table, or no labels, gives a model without features, whose scores are all equal. Other columns are ignored."""
     lean_batches(docs.sparkSession)
     lm = language_model(docs)
     rows = cut(labelled(docs, sample(labels, label, mod, held)).select("text", "y"))
@@ -366,8 +370,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = FOL
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """`doc_id, score` of every whole text of `docs`; null texts count as
-    empty, repeated rows give a row each."""
+    """`doc_id, score` of every whole text of `docs`. Null and empty texts get the score of no words; very long ones are
+    read whole; equal texts get equal scores; repeated rows and null ids give a row each; other columns are
+    ignored; an empty table gives no rows."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # a table over a fixed alphabet and TOP weights
 
@@ -382,7 +387,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, all columns as they are, whose text scores below `threshold`."""
+    """The rows of `docs`, all columns as they are and whatever they are called, whose text scores below
+    `threshold`: a row that ties with it goes. Null and empty texts stay where no words score below it, very long
+    ones are read whole, repeated rows are decided alike, an empty table stays empty."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -397,6 +404,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all of `documents`, learnt from `labels`; odd input as in `fit` and `scored`. A null id is outside the
+    held-out fold, as the checksum of no text is 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return out.select("doc_id", (fold(FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
