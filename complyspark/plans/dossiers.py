@@ -190,10 +190,10 @@ def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restore_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """French texts whose marks were lost, restored by the lexicon of French texts."""
+    """Texts whose marks were lost, restored by the lexicon of all texts."""
     from ..functions.text import fold_diacritics
 
-    d = table(spark, sf_dir, "documents").filter("lang = 'fr'")
+    d = table(spark, sf_dir, "documents")
     lex = L.build(d)
     lost = d.select("doc_id", fold_diacritics(F.col("text")).alias("text"))
     return L.restore(lost, lex)

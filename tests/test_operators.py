@@ -11,14 +11,48 @@ from complyspark.sources import files, models
 from complyspark.streaming import progress
 
 
+def restored(spark, lex, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_row", F.lit("x"))
+    out = lexicon.restore(df, lex)
+    assert out.columns == df.columns
+    return [r.text for r in out.orderBy("doc_id").collect()]
+
+
 def test_restore(spark):
     text = "sử dụng lao động sử dụng lao động kỹ năng người lao động người kỹ năng sử dụng hợp đồng hợp đồng"
     docs = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")
     lex = lexicon.build(docs)
-    assert lex.restore("HOP dong") == "HỢP đồng"
-    assert lex.restore("S dng; ngui") == "Sử dụng; người"
-    assert lex.restore("Hà Nội 2024, hợp đồng.") == "Hà Nội 2024, hợp đồng."
-    assert lexicon.restore(docs.withColumn("text", F.lit("hop dong")), lex).first()["text"] == "hợp đồng"
+    got = restored(spark, lex, "HOP dong", "S dng; ngui", "Hà Nội 2024, hợp đồng.", "hop", None, "")
+    assert got == ["HỢP đồng", "Sử dụng; người", "Hà Nội 2024, hợp đồng.", "hop", None, ""]
+    assert restored(spark, lexicon.build(docs.limit(0)), "hop dong") == ["hop dong"]
+
+
+def test_restore_against_whole_tables(spark):
+    """What texts ask for is all that a lexicon of the whole corpus would have given them."""
+    import random
+
+    rnd = random.Random(5)
+    syllables = ["thuế", "thuê", "đất", "nhà", "lương", "phụ", "cấp", "trợ", "điều", "khoản", "hợp", "đồng", "người", "động", "quyền", "nghĩa", "tuyển", "dụng", "chuyển", "nhượng"]
+    corpus_texts = [" ".join(rnd.choice(syllables[:10] if k % 2 else syllables) for _ in range(60)) for k in range(40)]
+    lex = lexicon.build(spark.createDataFrame(list(enumerate(corpus_texts)), "doc_id long, text string"))
+    whole = lexicon.Lexicon({r.fold: r.word for r in lex.folds.collect()}, {r.skel: r.word for r in lex.skeletons.collect()}, {r.skel2: r.pair for r in lex.word_pairs.collect()}, {}, {r.word for r in lex.known.collect()}, {r.folds for r in lex.seen.collect()})
+    keys = list(whole.by_fold)
+
+    class Alike(dict):
+        def get(self, f, default=None):
+            near = [k for k in keys if k[0] == f[0] and 1 <= len(k) - len(f) <= 2 and lexicon._within(f, k)] if len(f) >= 4 and f not in whole.by_fold else []
+            best = lexicon.likeliest(f, near)
+            return whole.by_fold[best] if best else default
+
+    whole.alike = Alike()
+    damaged = []
+    for t in corpus_texts[:25]:
+        own = [lexicon._plain(w) if rnd.random() < 0.6 else w for w in t.split()[:25]]
+        own = [w[:k] + w[k + 1 :] if len(w) > 3 and rnd.random() < 0.3 and (k := rnd.randrange(1, len(w))) else w for w in own]
+        damaged.append(" ".join(own))
+    want = [whole.restore(t) for t in damaged]
+    assert want != damaged
+    assert restored(spark, lex, *damaged) == want
 
 
 def test_extract(spark):
