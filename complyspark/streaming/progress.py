@@ -68,19 +68,30 @@ def follow_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
-def upsert_latest(events: DataFrame, table: str, checkpoint: str):
-    """Stream sink: the last state of each key as a Parquet table, merged batch by batch."""
+def upsert_latest(events: DataFrame, path: str, checkpoint: str):
+    """Stream sink: the last state of each key, as one small table a batch under `path`.
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+    A batch writes only its own keys, once, in a folder named by the query and the batch: a batch that runs
+    again replaces its own folder, and a query with a new checkpoint never meets another one's. `latest_table` reads it."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         new = batch.groupBy("pid").agg(F.max(F.struct("ts", "stage")).alias("s")).select("pid", "s.ts", "s.stage")
-        if batch_id and spark.catalog.tableExists(table):
-            old = spark.table(table)
-            new = old.unionByName(new).groupBy("pid").agg(F.max(F.struct("ts", "stage")).alias("s")).select("pid", "s.ts", "s.stage")
-        new.write.mode("overwrite").saveAsTable(f"{table}_next")
-        spark.table(f"{table}_next").write.mode("overwrite").saveAsTable(table)
+        new.write.mode("overwrite").parquet(f"{path}/query={query}/batch={batch_id}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+
 
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
+def latest_table(spark: SparkSession, path: str, ttl_s: int | None = None) -> DataFrame:
+    """The last state of each key over all batches of `upsert_latest`; with `ttl_s`, without ended keys and those
+    that have been silent so much longer than the latest one."""
+    rows = spark.read.schema("pid long, ts timestamp, stage string, query string, batch long").option("basePath", path).parquet(path)
+    now = rows.groupBy("pid").agg(F.max(F.struct("ts", "stage")).alias("s")).select("pid", "s.ts", "s.stage")
+    if ttl_s is None:
+        return now
+    last = now.agg(F.max("ts").alias("last"))
+    fresh = F.unix_timestamp("last") - F.unix_timestamp("ts") <= ttl_s
+    return now.crossJoin(F.broadcast(last)).filter(fresh & ~F.col("stage").isin(*TERMINAL)).drop("last")  # one row
 
 
 def assemble_replies(chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import io
 import json
 import zipfile
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -255,6 +256,26 @@ def test_progress_stream(spark, tmp_path):
     assert got == [(1, "read"), (1, "judge"), (1, "done"), (2, "read")]
 
 
+def test_latest_states_of_a_stream(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+
+    def put(name, rows):
+        (src / name).write_text("\n".join(json.dumps({"pid": p, "stage": s, "ts": f"2024-01-01T00:{m:02d}:00"}) for p, s, m in rows))
+
+    def run(checkpoint):
+        stream = progress.follow_log(spark, str(src), "pid long, stage string, ts timestamp")
+        progress.upsert_latest(stream, out, str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination(120)
+        return {r.pid: r.stage for r in progress.latest_table(spark, out).collect()}
+
+    put("a.json", [(1, "read", 1), (1, "judge", 3), (2, "read", 2), (3, "done", 9)])
+    assert run("ck") == {1: "judge", 2: "read", 3: "done"}
+    put("b.json", [(1, "read", 2), (2, "judge", 10)])
+    assert run("ck") == {1: "judge", 2: "judge", 3: "done"}
+    assert run("other") == {1: "judge", 2: "judge", 3: "done"}  # a new checkpoint reads all again and changes nothing
+    assert {r.pid for r in progress.latest_table(spark, out, ttl_s=300).collect()} == {2}
+
+
 def test_pages(spark):
     t = spark.createDataFrame([(1, 0, "", True), (1, 1, "HOP DONG", True), (1, 2, "x", False), (1, 3, "Chữ ký", True), (1, 4, "after", True)], "doc_id long, page_index int, text string, trusted boolean")
     assert [r.page_index for r in pages.page_window(t, ["hopdong"], ["chuky"]).orderBy("page_index").collect()] == [0, 1, 2, 3]
@@ -274,8 +295,10 @@ def test_chunks_keep_long_paragraphs(spark):
 
 
 def test_relaxed_keeps_scope(spark):
-    h = spark.createDataFrame([(1, "a", True), (1, "b", False), (2, "c", False)], "query_id int, chunk_id string, in_force boolean")
-    assert {r.chunk_id for r in retrieval.relaxed(h).collect()} == {"a", "c"}
+    q = spark.createDataFrame([(1, "s", date(2020, 1, 1)), (2, "s", date(1990, 1, 1)), (3, "s", None), (4, "t", date(2020, 1, 1))], "query_id int, scope string, day date")
+    c = spark.createDataFrame([("a", "s", date(2019, 1, 1), None), ("b", "s", date(2021, 1, 1), None), ("c", "u", date(2019, 1, 1), None)], "chunk_id string, scope string, effective_from date, effective_to date")
+    got = {(r.query_id, r.chunk_id, r.in_force) for r in retrieval.relaxed_on(q, c, "scope").collect()}
+    assert got == {(1, "a", True), (2, "a", False), (2, "b", False), (3, "a", True), (3, "b", True)}
 
 
 def test_valid_on(spark):

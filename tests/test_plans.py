@@ -6,7 +6,9 @@ import pytest
 
 from complyspark.plans import registry
 
-PYTHON_QUERIES = {"restore_spelling", "label_extract", "grounded_merge", "dossier_flow", "dossier_checks"}
+PYTHON_QUERIES = {"restore_spelling", "grounded_merge", "respell_guard", "dossier_flow", "dossier_checks"}
+# Queries that hold all rows against one row: a maximum, a count, a day asked for.
+ONE_ROW = {"active_jobs", "in_force_interval_join", "relaxed_fallback", "prune_orphans"}
 
 
 def plan(df):
@@ -18,6 +20,7 @@ def test_no_python(spark, sf_dir, name):
     text = plan(registry.QUERIES[name](spark, sf_dir))
     assert not re.search("Python|Pandas|InArrow", text)
     assert "CartesianProduct" not in text
+    assert name in ONE_ROW or "BroadcastNestedLoopJoin" not in text
 
 
 def test_pruned_and_pushed(spark, sf_dir):
@@ -26,3 +29,14 @@ def test_pruned_and_pushed(spark, sf_dir):
     assert "o_totalprice" not in text
     assert "html" not in plan(registry.QUERIES["chunk_sources"](spark, sf_dir))
     assert "text" not in re.findall(r"ReadSchema: struct<([^>]*)>", plan(registry.QUERIES["chunk_sources"](spark, sf_dir)))[0]
+
+
+def test_flow_joins_on_keys(spark, sf_dir):
+    """Passages meet the fields of a check set on a key; only valid_on holds them against one row."""
+    from complyspark.plans import flow
+
+    docs, chunks = flow._forms(spark, sf_dir)
+    fields = flow.read_fields(docs, flow.CHECK).persist()
+    text = plan(flow.passages(fields, chunks, flow.CHECK))
+    assert "CartesianProduct" not in text and text.count("BroadcastNestedLoopJoin") <= 4
+    assert "LocalLimit 1" in text or "GlobalLimit 1" in text or "CollectLimit 1" in text or "Limit 1" in text
