@@ -123,11 +123,20 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bins: int = BINS, bits
 # -- each document against its edited text and the next document -------------------------------
 
 
-def _slices(rows: DataFrame, wanted: int) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """Bounds of about `wanted` slices of ascending ids, and each non-empty slice's
+SLICE_BYTES = 32 << 20
+"""Text of a slice, about: a slice is a task."""
+SLICES = 20_000
+"""Slices at most, as their bounds are found in one aggregate; beyond 640 GB of text slices grow, and a task's sort spills."""
+
+
+def _slices(rows: DataFrame) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Bounds of slices of ascending ids, each of about SLICE_BYTES of text, and each non-empty slice's
     (number, greatest _id, greatest _k): a few numbers a slice reach the driver."""
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    wanted = min(SLICES, max(1, -(-size // SLICE_BYTES)))
+    rows = rows.select("_id", "_k")
     marks = [i / wanted for i in range(1, wanted)]
-    found = rows.agg(F.percentile_approx("_id", marks, 20 * wanted).alias("q")).first()["q"] or []
+    found = (rows.agg(F.percentile_approx("_id", marks, 20 * wanted).alias("q")).first()["q"] or []) if marks else []
     bounds = sorted(set(found))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +161,7 @@ def with_next(docs: DataFrame, hasher: MinHash) -> DataFrame:
     its own next. Ties and repeated rows: equal ids follow in descending order of their texts; a null id
     is the smallest. Other columns are ignored, whatever they are called; an empty table gives no rows."""
     rows = keyed(docs, "doc_id", "text")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds, tops = _slices(rows.select("_id", "_k"), 4 * n)
+    bounds, tops = _slices(rows)
     numbers = [t[0] for t in tops]
     # the top row of a slice goes to the slice above too; the top of all to the lowest
     above = {(i, k): numbers[(j + 1) % len(numbers)] for j, (_, i, k) in enumerate(tops)}
@@ -203,7 +211,7 @@ def with_next(docs: DataFrame, hasher: MinHash) -> DataFrame:
 
     dealt = rows.mapInArrow(deal, "slice long, guest boolean, _id long, _k int, text string")
     order = [F.col("slice"), F.col("guest"), F.col("_id").desc(), F.col("_k").desc()]
-    kept = dealt.repartition(n, "slice").sortWithinPartitions(*order)
+    kept = dealt.repartitionById(len(bounds) + 1, F.col("slice").cast("int")).sortWithinPartitions(*order)
     out = kept.mapInArrow(compare, "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.select(doc_id(), *[c for c in out.columns if c != "_id"])
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from complyspark.llm import common, fingerprints, simhash, substring_dedup, suffix_dedup, windows
@@ -229,7 +230,9 @@ def test_one_of_each(messy_docs, messy):
     assert 1 in ids and 2 not in ids and 3 not in ids and 4 in ids and 5 not in ids
 
 
-def test_fingerprints(messy, messy_docs):
+@pytest.mark.parametrize("size", [1 << 25, 3000])
+def test_fingerprints(monkeypatch, messy, messy_docs, size):
+    monkeypatch.setattr(fingerprints, "SLICE_BYTES", size)
     hasher = fingerprints.MinHash()
     rows = order(messy)[::-1]
     want = []
