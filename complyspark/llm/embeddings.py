@@ -267,6 +267,12 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.select(vec_id("_id").alias("vec_id"), "n_links", vec_id("component_id").alias("component_id"), (F.col("_id") == F.col("component_id")).alias("kept"))
 
 
+#: The same by comparing all pairs of a label.
+SQL = """WITH RECURSIVE e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+ r AS (SELECT vec_id AS v, vec_id AS o FROM e UNION SELECT r.v, l.b FROM r JOIN l ON r.o = l.a), c AS (SELECT v, min(o) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+ SELECT v AS vec_id, coalesce(n, 0) AS n_links, component_id, v = component_id AS kept FROM c LEFT JOIN n ON v = a"""
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`near_duplicates` of all of `embeddings`; odd input as there."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

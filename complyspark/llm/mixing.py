@@ -99,8 +99,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX
     """`_id, _k, source, size, source_size, target, copies`: how often each row of
     `docs` (`doc_id`, `source`, `text`) is taken.
 
-    Null sources are one source; null texts have size 0 and are never taken beyond
-    the whole part; repeated rows are rows of their own; an empty table gives none.
+    Null sources are one source; null and empty texts have size 0 and are never taken beyond
+    the whole part; very long texts count whole. Ties in size are ordered by a hash of ids. Repeated rows and null ids are rows
+    of their own; other columns are ignored, whatever they are called; an empty table gives no rows.
     The draws hash ids and a seed, so reruns agree."""
     spark = docs.sparkSession
     sized = cut(sizes(docs))
@@ -129,12 +130,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES, seed: int = 9) -> DataFrame:
-    """The rows of `docs`, all columns as they are, each as often as the mix takes it."""
+    """The rows of `docs`, all columns as they are and whatever they are called, each as often as the mix takes it; odd
+    input as in `mix`."""
     take = mix(docs, weights, most, seed).filter("copies > 0").select("_id", "_k", "copies")
     rows = keyed_rows(docs, "source", "text").select("_id", "_k", "_row").join(take, ["_id", "_k"])
     return rows.select("_row", F.explode(F.expr("sequence(1, copies)"))).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`mix` of all of `documents`; odd input as there."""
     got = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select(doc_id(), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

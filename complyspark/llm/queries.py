@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import SQL as EMBEDDINGS_SQL
 from .embeddings import op4_embeddings
 from .fingerprints import op1_fingerprints
 from .mixing import op9_mixing
@@ -14,7 +15,9 @@ from .quality import op7_quality
 from .secrets import SQL as SECRETS_SQL
 from .secrets import op6_secrets
 from .simhash import op8_simhash
+from .substring_dedup import SQL as SUBSTRING_SQL
 from .substring_dedup import op2_substring_dedup
+from .suffix_dedup import SQL as SUFFIX_SQL
 from .suffix_dedup import op3_suffix_dedup
 from .toxicity import op10_toxicity
 
@@ -30,4 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
-SQL: dict[str, str] = {"op6_secrets": SECRETS_SQL}
+SQL: dict[str, str] = {"op2_substring_dedup": SUBSTRING_SQL, "op3_suffix_dedup": SUFFIX_SQL, "op4_embeddings": EMBEDDINGS_SQL, "op6_secrets": SECRETS_SQL}

@@ -101,8 +101,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`_id, _k, spans` of every row of `docs` (`doc_id`, `text`): spans are
     (start, rule, end), by start, then rule.
 
-    Null texts count as empty and have no span; repeated rows are rows of their
-    own; other columns are ignored; an empty table gives none."""
+    Null and empty texts have no span; very long ones are scanned whole. Spans that tie are ordered by rule. Repeated
+    rows and null ids are rows of their own; other columns are ignored, whatever they are called; an empty table gives no rows."""
     return _scan(keyed(docs, "doc_id", "text"), rules).select("_id", "_k", "spans")
 
 
@@ -113,8 +113,8 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """The rows of `docs`, every span in `text` (overlapping ones as one) replaced by
-    `mark`; `n_chars`, where there is such a column, follows. Other columns stay,
-    and so do texts without a span, null ones too."""
+    `mark`; `n_chars`, where there is such a column, follows. Other columns stay, whatever they are called,
+    and so do texts without a span, null and empty ones too; repeated rows are masked alike; an empty table stays empty."""
     others = [c for c in docs.columns if c != "text"]
     rows = keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row")), "doc_id", "text", "_row")
     folded = F.expr(
@@ -137,6 +137,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SEC
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`scan` of all of `documents`; odd input as there."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["rule"] < len(BASE))
     count = [F.expr(f"cast(size(filter(spans, s -> s.rule = {n})) as bigint)").alias(f"n_{r.kind}") for n, r in enumerate(BASE)]

@@ -158,5 +158,18 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = A
     return out.select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
+#: The same by comparing every string of 200 bytes with all others; texts as hexadecimal digits.
+SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ win AS (SELECT doc_id, i, md5(h[2 * i + 1:2 * i + 400]) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
+ dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1),
+ mark AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM dup),
+ run AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM mark) GROUP BY doc_id, g),
+ gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM run),
+ cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(d.h[2 * before + 1:2 * a], '' ORDER BY a) AS t FROM gap JOIN d USING (doc_id) GROUP BY 1)
+ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE coalesce(t, '') || h[2 * last + 1:] END)) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`remove_repeated_bytes` of all of `documents`; odd input as there."""
     return remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")

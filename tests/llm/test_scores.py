@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from oracle import connect, of_spark, of_sql
 
 from complyspark.llm import quality, queries, secrets, toxicity
@@ -66,8 +67,9 @@ def test_redacted(make_docs):
     assert out[9].n_chars == len(out[9].text)
 
 
-def test_secrets_sql(spark, sf_dir):
-    assert of_spark(queries.QUERIES["op6_secrets"](spark, sf_dir)) == of_sql(connect(sf_dir), queries.SQL["op6_secrets"])
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_twins(spark, sf_dir, name):
+    assert of_spark(queries.QUERIES[name](spark, sf_dir)) == of_sql(connect(sf_dir), queries.SQL[name])
 
 
 def _labels(spark, rows):
