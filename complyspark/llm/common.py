@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,10 +29,13 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests), one of our own."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session (tests, bench) has one of its
+    own; a cluster, whose executors don't share a local folder, is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = "file:///tmp/checkpoints"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.sparkContext.setCheckpointDir(where)
     return where
 
@@ -246,6 +251,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in part], pa.int64()), pa.array(part, pa.int64())], names=["src", "dst"])
 
 
+SALTS = 8
+"""Parts that the neighbours of a node are dealt to."""
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """`node`, `component` (smallest node reachable) for every node on an edge
     (`src`, `dst`: non-null longs, any direction).
@@ -253,21 +262,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each partition first reduces its edges to a spanning forest, then large-star
     and small-star steps alternate over written tables until nothing changes.
     Minima are partial aggregates, so a node with a third of all edges is
-    pre-aggregated; no list of edges or nodes reaches the driver."""
+    pre-aggregated, and they join back by node and one of SALTS parts of its
+    neighbours; no list of edges or nodes reaches the driver."""
     schema = "src long, dst long"
     spark = edges.sparkSession
     now = cut(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).filter("src <> dst").mapInArrow(_forest, schema))
     for _ in range(rounds):
         both = now.select("src", "dst").unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")).withColumnRenamed("src", "u")
-        large = both.join(low, both.src == low.u).filter("dst > src").select(F.col("m").alias("src"), "dst")
+        # only larger neighbours move on, so the part of a node that they belong to is known before the join
+        parts = low.withColumn("salt", F.explode(F.array([F.lit(k) for k in range(SALTS)])))
+        salted = both.filter("dst > src").withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
+        large = salted.join(parts, (salted.src == parts.u) & (salted.salt == parts.salt)).select(F.col("m").alias("src"), "dst")
         mid = large.distinct()
         # small star: every node's lower neighbours are tied to the least of them
         low2 = mid.groupBy("dst").agg(F.min("src").alias("m")).withColumnRenamed("dst", "u")
         small = mid.join(low2, mid.dst == low2.u).select("m", "src", "dst")
         small = small.select(F.col("m").alias("src"), F.explode(F.array("src", "dst")).alias("dst")).filter("src <> dst").distinct()
         after = cut(small)
-        inner = after.select(F.col("src").alias("dst"))
+        inner = after.select(F.col("src").alias("dst")).distinct()
         unsettled = after.groupBy("dst").count().filter("count > 1").select("dst").unionByName(after.join(inner, "dst", "left_semi").select("dst"))
         settled = unsettled.isEmpty()
         discard(now)
