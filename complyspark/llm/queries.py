@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_alignment
 from .embeddings import SQL as EMBEDDINGS_SQL
 from .embeddings import op4_embeddings
 from .fingerprints import op1_fingerprints
+from .merkle import SQL as MERKLE_SQL
+from .merkle import op13_merkle
 from .mixing import op9_mixing
 from .packing import op5_packing
 from .quality import op7_quality
 from .secrets import SQL as SECRETS_SQL
 from .secrets import op6_secrets
+from .sharding import op11_sharding
 from .simhash import op8_simhash
 from .substring_dedup import SQL as SUBSTRING_SQL
 from .substring_dedup import op2_substring_dedup
@@ -32,5 +36,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_sharding": op11_sharding,
+    "op12_alignment": op12_alignment,
+    "op13_merkle": op13_merkle,
 }
-SQL: dict[str, str] = {"op2_substring_dedup": SUBSTRING_SQL, "op3_suffix_dedup": SUFFIX_SQL, "op4_embeddings": EMBEDDINGS_SQL, "op6_secrets": SECRETS_SQL}
+SQL: dict[str, str] = {"op2_substring_dedup": SUBSTRING_SQL, "op3_suffix_dedup": SUFFIX_SQL, "op4_embeddings": EMBEDDINGS_SQL, "op6_secrets": SECRETS_SQL, "op13_merkle": MERKLE_SQL}
