@@ -39,7 +39,7 @@ LONG_WORD = 256
 SHIFT = 32
 CHUNK_BYTES = 1 << 20
 
-_GAPS = re.compile(r"\s\s|\s$")
+_GAPS = re.compile(r"^\s|\s\s|\s$")
 _CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 
 

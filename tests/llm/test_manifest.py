@@ -164,10 +164,14 @@ def brute_alignment(texts):
                 links.append((a[i], b[k]))
                 k += 1
         shared = sorted(set(ends[0]) & set(ends[1]))
-        groups, last = [], 0
-        for g in shared:
-            groups.append("|".join(",".join(str(i) for i, e in zip(ids, en, strict=True) if last < e <= g) for ids, en in ((a, ends[0]), (b, ends[1]))))
-            last = g
+        own = [defaultdict(list), defaultdict(list)]
+        for side, ids, en in zip(own, (a, b), ends, strict=True):
+            g = 0
+            for i, e in zip(ids, en, strict=True):
+                while shared[g] < e:
+                    g += 1
+                side[g].append(str(i))
+        groups = [",".join(own[0][g]) + "|" + ",".join(own[1][g]) for g in range(len(shared))]
         out.append((len(a), len(b), len(shared), links, ";".join(groups)))
     return out
 
