@@ -40,6 +40,7 @@ SHIFT = 32
 CHUNK_BYTES = 1 << 20
 
 _GAPS = re.compile(r"^\s|\s\s|\s$")
+_SPACE = re.compile(r"\s")
 _CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 
 
@@ -75,6 +76,10 @@ class ByteLevel:
         """Ids of a space and each word."""
         return [e.ids for e in self.tok.encode_batch([" " + w for w in words], add_special_tokens=False)]
 
+    def line(self, words: list[str]) -> list[int]:
+        """Ids of words without white space, a space before each."""
+        return self.tok.encode(" " + " ".join(words), add_special_tokens=False).ids
+
 
 class Pieces:
     """A sentencepiece model; it adds the space itself."""
@@ -89,6 +94,9 @@ class Pieces:
     def encode(self, words: list[str]) -> list[list[int]]:
         return self.tok.encode(words, num_threads=1)
 
+    def line(self, words: list[str]) -> list[int]:
+        return self.tok.encode(" ".join(words))
+
 
 class Side:
     """Token ids of words met so far, one after the other, and where each word's begin."""
@@ -101,13 +109,28 @@ class Side:
     def clear(self) -> None:
         self.ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def add(self, words: list[str]) -> np.ndarray:
-        """Appends the tokens of new words; whether each one's bytes are a space and the word."""
-        each = self.tokens.encode(words)
-        self.ids = np.concatenate([self.ids, np.array([i for e in each for i in e], np.int32)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(e) for e in each])])
-        of = self.tokens.bytes
-        return np.array([b"".join([of[i] for i in e]) == b" " + w.encode() for e, w in zip(each, words, strict=True)], bool)
+    def _line(self, words: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of all words as of one line, and how many each has; None where a token goes across words or their bytes differ."""
+        ids = self.tokens.line(words)
+        if b"".join(map(self.tokens.bytes.__getitem__, ids)) != b" " + b" ".join(raw):
+            return None
+        ids = np.array(ids, np.int32)
+        ends, words_end = np.cumsum(self.width[ids]), np.cumsum([len(r) + 1 for r in raw])
+        at = np.searchsorted(ends, words_end)
+        return (ids, np.diff(at + 1, prepend=0)) if (ends[at] == words_end).all() else None
+
+    def add(self, words: list[str], plain: bool) -> np.ndarray:
+        """Appends the tokens of new words; whether each one's bytes are a space and the word. `plain`: none has white space."""
+        raw = [w.encode() for w in words]
+        found = self._line(words, raw) if plain else None
+        exact = np.ones(len(words), bool)
+        if found is None:
+            each, of = self.tokens.encode(words), self.tokens.bytes
+            exact[:] = [b"".join([of[i] for i in e]) == b" " + r for e, r in zip(each, raw, strict=True)]
+            found = np.array([i for e in each for i in e], np.int32), np.array([len(e) for e in each], np.int64)
+        self.ids = np.concatenate([self.ids, found[0]])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(found[1])])
+        return exact
 
     def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all entries in a row, and how many each has."""
@@ -129,9 +152,10 @@ class Words:
         for s in self.sides:
             s.clear()
 
-    def _learn(self, words: list[str]) -> None:
-        a, b = (s.add(words) for s in self.sides)
-        self.exact = np.concatenate([self.exact, a & b])
+    def _learn(self, words: list[str], plain: bool) -> None:
+        for k in range(0, len(words), 4096):
+            a, b = (s.add(words[k : k + 4096], plain) for s in self.sides)
+            self.exact = np.concatenate([self.exact, a & b])
 
     def find(self, words: list[str]) -> np.ndarray:
         """Entries of words, which are learnt where they are new."""
@@ -141,19 +165,32 @@ class Words:
         found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         missing = np.flatnonzero(found < 0).tolist()
         if missing:
-            new, base = list(dict.fromkeys(words[i] for i in missing)), len(self.exact)
-            for k in range(0, len(new), 4096):
-                self._learn(new[k : k + 4096])
+            new = dict.fromkeys(words[i] for i in missing)
+            plain = [w for w in new if w and not _SPACE.search(w)]
+            odd = [w for w in new if not w or _SPACE.search(w)]
+            new, base = plain + odd, len(self.exact)
+            self._learn(plain, True)
+            self._learn(odd, False)
             own = {w: base + k for k, w in enumerate(new)}
             found[missing] = [own[words[i]] for i in missing]
             self.entry.update((w, e) for w, e in own.items() if len(w) <= LONG_WORD)
         return found
 
 
+def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`np.union1d` of two ascending arrays without repeats, by a merge, and which of its elements are in both."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # two ascending runs: one merge
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    at = np.flatnonzero(new)
+    return both[at], np.diff(np.append(at, len(both))) == 2
+
+
 def intervals(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owners (token of A, token of B) of each elementary interval, and the ends that both share."""
-    ends = np.union1d(a_ends, b_ends)
-    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
+    ends, twice = union(a_ends, b_ends)
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), ends[twice]
 
 
 def products(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
