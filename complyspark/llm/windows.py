@@ -33,7 +33,7 @@ SEGMENT = 1 << 20
 @dataclass(frozen=True)
 class Shape:
     """w: symbols of a window; k: symbols of an anchor; step: windows of a block;
-    words: symbols are words, else bytes; salt: changes all names."""
+    words: symbols are words, else bytes; salt: changes all names, and those of words from their bytes on."""
 
     w: int
     k: int
@@ -46,7 +46,7 @@ class Shape:
         if not self.words:
             return mix(BYTE_CODES ^ U64(self.salt))[data], offs
         starts, ends, first = word_bounds(data, offs)
-        return mix(word_hashes(data, starts, ends) ^ U64(self.salt)), first
+        return word_hashes(data, starts, ends, self.salt), first
 
 
 def runs(sym: np.ndarray, first: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
