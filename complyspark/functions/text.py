@@ -262,10 +262,22 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.replace(text, F.lit("\r\n"), F.lit("\n")), 256)
 
 
+# How parts, chapters, sections and articles begin, with and without marks, and the level of each.
+HEADINGS = (
+    (2, r"(phần|phan|part)\s+((thứ|thu)\s+)?[0-9a-zà-ỹđ]+"),
+    (2, r"(chương|chuong|chapter)\s+[ivxlc0-9]+(?![0-9a-zà-ỹđ])"),
+    (3, r"(mục|muc|section)\s+[0-9]+(?![0-9a-zà-ỹđ])"),
+    (3, r"(điều|dieu|article)\s+[0-9]+[a-zđ]?\s*[.:]"),
+)
+
+
 def heading_level(line: Column) -> Column:
-    """1 to 4 for part, chapter, section and article headings, else null (folded)."""
-    f = F.lower(F.btrim(fold_diacritics(line)))
-    return F.when(F.rlike(f, F.lit(r"^(phan|part)\s+[ivx\d]+")), 1).when(F.rlike(f, F.lit(r"^(chuong|chapter)\s+[ivx\d]+")), 2).when(F.rlike(f, F.lit(r"^(muc|section)\s+[ivx\d]+")), 3).when(F.rlike(f, F.lit(r"^(dieu|article)\s+\d+")), 4)
+    """2 for parts and chapters, 3 for sections and articles (these before a stop or colon only), else null."""
+    low = F.lower(F.btrim(line, F.lit(" \t\r")))
+    out = F.lit(None).cast("int")
+    for level, pattern in reversed(HEADINGS):
+        out = F.when(F.rlike(low, F.lit(f"^{pattern}")), level).otherwise(out)
+    return out
 
 
 def golden_normalize(v: Column) -> Column:

@@ -13,25 +13,24 @@ STATUSES = ("missing_file", "hash_mismatch", "unapproved", "unregistered", "ok")
 def chunk_paragraphs(docs: DataFrame, separator: str = "\n\n", max_chars: int = 1200) -> DataFrame:
     """`doc_id, chunk_index, text`: paragraphs packed greedily up to `max_chars`; a longer one stays whole.
 
-    The fold carries lengths and chunk numbers, not strings, so a long document costs
-    one pass; texts are joined once at the end."""
+    Where chunks start depends on all paragraphs before, so it is a fold over lengths that keeps a number a chunk; a
+    chunk is then one slice of the paragraphs."""
     paras = F.filter(F.transform(F.split("text", separator), lambda p: F.btrim(p, F.lit(" \t\r\n"))), lambda p: p != "")
-    state = F.struct(F.lit(-1).alias("c"), F.lit(0).alias("n"))
-    numbered = F.aggregate(
-        F.transform(paras, lambda p: F.length(p)),
-        F.struct(state.alias("s"), F.array().cast("array<int>").alias("out")),
-        lambda acc, n: _place(acc, n, max_chars, len(separator)),
-        lambda acc: acc["out"],
-    )
-    packed = docs.select("doc_id", numbered.alias("c"), paras.alias("p"))
-    one = F.transform(F.sequence(F.lit(0), F.array_max("c")), lambda k: F.struct(k.alias("chunk_index"), F.array_join(F.slice(F.col("p"), F.array_position("c", k).cast("int"), F.size(F.filter("c", lambda x: x == k))), separator).alias("text")))
-    return packed.filter(F.size("c") > 0).select("doc_id", F.explode(one).alias("z")).select("doc_id", "z.*")
+    state = F.struct(F.lit(-1).alias("c"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"))
 
+    def place(acc: Column, n: Column) -> Column:
+        fits = (acc["c"] >= 0) & (acc["n"] + n + len(separator) <= max_chars)
+        return F.struct(
+            F.when(fits, acc["c"]).otherwise(acc["c"] + 1).alias("c"),
+            F.when(fits, acc["n"] + n + len(separator)).otherwise(n).alias("n"),
+            F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["i"]))).alias("starts"),
+            (acc["i"] + 1).alias("i"),
+        )
 
-def _place(acc: Column, n: Column, most: int, gap: int) -> Column:
-    fits = (acc["s"]["c"] >= 0) & (acc["s"]["n"] + n + gap <= most)
-    c = F.when(fits, acc["s"]["c"]).otherwise(acc["s"]["c"] + 1)
-    return F.struct(F.struct(c.alias("c"), F.when(fits, acc["s"]["n"] + n + gap).otherwise(n).alias("n")).alias("s"), F.concat(acc["out"], F.array(c)).alias("out"))
+    starts = F.aggregate(F.transform(paras, lambda p: F.length(p)), state, place, lambda acc: F.concat(acc["starts"], F.array(acc["i"])))
+    packed = docs.select("doc_id", starts.alias("s"), paras.alias("p")).filter(F.size("p") > 0)
+    texts = F.transform(F.slice("s", 1, F.size("s") - 1), lambda a, k: F.array_join(F.slice("p", a + 1, F.get("s", k + 1) - a), separator))
+    return packed.select("doc_id", F.posexplode(texts).alias("chunk_index", "text"))
 
 
 def with_chunk_ids(chunks: DataFrame, source: Column) -> DataFrame:
@@ -108,13 +107,27 @@ def regulation_sets(registry: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def add_to_set(registry: DataFrame, new: DataFrame) -> DataFrame:
-    """New documents whose content the set doesn't hold yet, each content once, names made free."""
+    """New documents whose content the set doesn't hold yet, each content once, under free names in the order of `ord`: a stem that is
+    taken gets the first number from 2 on that makes it free, and names given before count as taken.
+
+    Names can only meet where stems differ in such numbers at their end, so each family of these is named by one fold over
+    its uploads (as many as there are files of one name)."""
     w = Window.partitionBy("reg_set", "sha256").orderBy("ord")
     fresh = new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").join(registry.select("reg_set", "sha256"), ["reg_set", "sha256"], "left_anti")
-    taken = registry.groupBy(F.col("file").alias("stem")).agg(F.lit(True).alias("taken"))
-    s = Window.partitionBy("stem").orderBy("ord")
-    j = fresh.join(taken, "stem", "left").withColumn("n", F.row_number().over(s) + F.when(F.col("taken"), 1).otherwise(0))
-    return j.withColumn("file", F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), "n"))).drop("n", "taken")
+    family = lambda c: F.regexp_replace(c, r"(_\d+)+$", "")
+    asked = fresh.groupBy(family("stem").alias("_f")).agg(F.array_sort(F.collect_list(F.struct("ord", "stem"))).alias("_asked"))
+    taken = registry.groupBy(family("file").alias("_f")).agg(F.collect_set("file").alias("_taken"))
+    j = asked.join(taken, "_f", "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<string>")))
+    item = "array<struct<ord:bigint,file:string>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        tried = F.concat(F.array(x["stem"]), F.transform(F.sequence(F.lit(2), F.size(acc["taken"]) + 2), lambda n: F.concat(x["stem"], F.lit("_"), n)))
+        free = F.filter(tried, lambda c: ~F.array_contains(acc["taken"], c))[0]
+        return F.struct(F.concat(acc["taken"], F.array(free)).alias("taken"), F.concat(acc["named"], F.array(F.struct(x["ord"].cast("bigint").alias("ord"), free.alias("file")))).alias("named"))
+
+    named = F.aggregate("_asked", F.struct(F.col("_taken").alias("taken"), F.array().cast(item).alias("named")), step, lambda acc: acc["named"])
+    names = j.select(F.explode(named).alias("x")).select("x.ord", "x.file")
+    return fresh.join(names, "ord").select(*[c for c in fresh.columns if c != "file"], "file")
 
 
 def delete_set(registry: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -146,9 +159,11 @@ def file_hashes(files: DataFrame) -> DataFrame:
 
 
 def chunk_metadata(files: DataFrame, registry: DataFrame) -> DataFrame:
-    """`file` with what the registry says of it, '' where it says nothing (`registry`: file, doc_no, approved_by, sha256, reg_set)."""
-    own = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return files.join(registry, "file", "left").select("file", own("doc_no"), own("approved_by"), F.substring(F.coalesce("sha256", F.lit("")), 1, 16).alias("content_sha256"), own("reg_set"))
+    """`file` with what the registry says of it, '' where it says nothing or has no such column."""
+    known = set(registry.columns)
+    own = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in known else F.lit("")).alias(c)
+    names = ("doc_no", "official_source", "corpus_version", "approved_by", "approved_at", "reg_set")
+    return files.join(registry, "file", "left").select("file", *[own(c) for c in names[:-1]], F.substring(F.coalesce("sha256", F.lit("")), 1, 16).alias("content_sha256"), own("reg_set"))
 
 
 def audit_order(audit: DataFrame) -> DataFrame:

@@ -59,6 +59,65 @@ def relaxed_on(queries: DataFrame, chunks: DataFrame, *on: str) -> DataFrame:
     return valid.unionByName(rest.join(chunks, list(on)).withColumn("in_force", F.lit(False)))
 
 
+LEVELS = 23
+"""Spans of days double from one day up: 2 ** 22 days reach from year 1 to year 9999."""
+FIRST_DAY = "0001-01-01"
+ANY_DAY = -1
+"""The level of passages asked for without a day."""
+
+
+def _day_number(day: Column) -> Column:
+    return F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+
+
+def spans_of(start: Column, end: Column) -> Column:
+    """An interval of days, both ends in it, as at most two spans a level (`level, span`) that lie side by side: span s
+    of level l are the days from s * 2 ** l on, 2 ** l of them."""
+    a, b = _day_number(start), _day_number(end) + 1
+    parts = []
+    for level in range(LEVELS):
+        width = 1 << level
+        left, right = F.ceil(a / width).cast("long"), F.floor(b / width).cast("long")
+        one = F.lit(level).alias("level")
+        parts += [F.when((left < right) & (left % 2 == 1), F.struct(one, left.alias("span"))), F.when((left < right) & (right % 2 == 1), F.struct(one, (right - 1).alias("span")))]
+    return F.filter(F.array(*parts), lambda x: x.isNotNull())
+
+
+def spans_at(day: Column) -> Column:
+    """The spans that a day lies in, one a level; without a day the one that holds all passages."""
+    n = _day_number(day)
+    of = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda l: F.struct(l.alias("level"), F.floor(n / F.pow(F.lit(2.0), l)).cast("long").alias("span")))
+    return F.when(day.isNull(), F.array(F.struct(F.lit(ANY_DAY).alias("level"), F.lit(0).cast("long").alias("span")))).otherwise(of)
+
+
+def valid_top_k(days: DataFrame, passages: DataFrame, k: int, on: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """`on, by, day, chunk_id, distance, rank, in_force`: of each day and each `by` (a field, say) the `k` nearest passages in force.
+
+    `days`: distinct (`on`, `day`), null: all passages; `passages`: `on`, `by`, chunk_id, distance, effective_from, effective_to (null: open).
+    A day of a scope on which none is in force has the nearest of all, with in_force false.
+
+    Each passage stands in the few spans of days that make up its validity, and each span keeps its own k nearest: a
+    day's k nearest are among those of the spans it lies in, one a level. So what meets before the
+    choice grows with the passages and with the days, never with their product."""
+    last = F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))
+    anyway = F.array(F.struct(F.lit(ANY_DAY).alias("level"), F.lit(0).cast("long").alias("span")))
+    spread = passages.select(*on, *by, "chunk_id", "distance", F.explode(F.concat(anyway, spans_of(F.col("effective_from"), last))).alias("s")).select(*on, *by, "chunk_id", "distance", "s.*")
+    near = Window.partitionBy(*on, *by, "level", "span").orderBy("distance", "chunk_id")
+    kept = spread.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k).drop("_r")
+    key = [*on, "level", "span"]
+    asked = days.select(*on, "day").distinct()
+    strict = asked.select(*on, "day", F.explode(spans_at(F.col("day"))).alias("s")).select(*on, "day", "s.*").join(kept, key)
+    strict = strict.withColumn("_day", F.coalesce("day", F.lit(FIRST_DAY).cast("date"))).withColumn("_known", F.col("day").isNotNull())
+    best = Window.partitionBy(*on, *by, "_known", "_day").orderBy("distance", "chunk_id")
+    strict = strict.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("in_force", F.lit(True))
+    columns = [*on, *by, "day", "chunk_id", "distance", "rank", "in_force"]
+    met = strict.filter("_known").select(*on, "day").distinct()
+    without = asked.filter("day is not null").join(met, [*on, "day"], "left_anti").withColumn("level", F.lit(ANY_DAY)).withColumn("span", F.lit(0).cast("long"))
+    free = Window.partitionBy(*on, *by, "day").orderBy("distance", "chunk_id")
+    relaxed = without.join(kept, key).withColumn("rank", F.row_number().over(free)).withColumn("in_force", F.lit(False))
+    return strict.select(columns).unionByName(relaxed.select(columns))
+
+
 SPLIT = 16
 """Parts of a scope's chunks: a scope that holds most of them is as many tasks."""
 
@@ -84,28 +143,35 @@ def rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.withColumn("i", F.row_number().over(o) - 1).drop("n")
 
 
-def guaranteed(hits: DataFrame, g: int, cap: int) -> DataFrame:
-    """The passages of a request: every field's first `g` (never cut), then others by
-    distance up to `cap` texts. One row a text: least distance, its chunk, and the
+def guaranteed(hits: DataFrame, g: int, cap: int, *by: str) -> DataFrame:
+    """The passages of each request (`by`; none: one request): every field's first `g` (never cut), then others by
+    distance up to `cap` texts of the request. One row a text: least distance, its chunk, and the
     rank in each field that found it.
 
-    `hits`: field_ord, field_key, i (0-based rank), chunk_id, text, distance."""
+    `hits`: `by`, field_ord, field_key, i (0-based rank), chunk_id, text, distance. All requests are one plan: of the texts that
+    are not guaranteed at most `cap` a request pass a group limit in each task, and the room that a request's
+    guaranteed ones leave is looked up by its key."""
     h = hits.withColumn("key", F.coalesce(F.nullif(F.btrim("text"), F.lit("")), F.col("chunk_id").cast("string")))
-    by = h.groupBy("key").agg(
+    one = h.groupBy(*by, "key").agg(
         F.bool_or(F.col("i") < g).alias("must"),
         F.min(F.when(F.col("i") >= g, F.struct("distance", "field_ord", "i"))).alias("first_extra"),
         F.min("distance").alias("distance"),
         F.min_by("chunk_id", F.struct("distance", "field_ord", "i", "chunk_id")).alias("chunk_id"),
         F.collect_list(F.struct("field_key", "i")).alias("found"),
     )
-    room = max(0, cap - by.filter("must").count())  # one number of a request; the rest is a top-k that each task cuts first
-    extra = by.filter(~F.col("must")).orderBy("first_extra", "key").limit(room)
-    return by.filter("must").unionByName(extra).select("key", "chunk_id", "distance", "must", "found")
-
-
-def field_ranks(chosen: DataFrame) -> DataFrame:
-    """`field_key, key, rank`: the best rank of each chosen passage in each field."""
-    return chosen.select("key", F.explode("found").alias("f")).groupBy("f.field_key", "key").agg(F.min("f.i").alias("rank"))
+    must = one.filter("must")
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("first_extra", "key")
+    extra = one.filter(~F.col("must")).withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= cap)
+    taken = must.groupBy(*by).agg(F.count("*").alias("_taken"))
+    room = extra.join(taken, list(by), "left") if by else extra.crossJoin(F.broadcast(taken))  # without requests: one row
+    extra = room.filter(F.col("_place") + F.coalesce("_taken", F.lit(0)) <= cap)
+    columns = [*by, "key", "chunk_id", "distance", "must", "found"]
+    return must.select(columns).unionByName(extra.select(columns))
+
+
+def field_ranks(chosen: DataFrame, *by: str) -> DataFrame:
+    """`by, field_key, key, rank`: the best rank of each chosen passage in each field of its request."""
+    return chosen.select(*by, "key", F.explode("found").alias("f")).groupBy(*by, "f.field_key", "key").agg(F.min("f.i").alias("rank"))
 
 
 def coverage(keys: DataFrame, ranks: DataFrame, g: int) -> DataFrame:

@@ -62,9 +62,10 @@ def regulation_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def add_regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New uploads: contents that the set holds already, repeats, and names that are taken."""
+    """New uploads: contents that the set holds already, repeats, names that are taken, and names that numbered ones would get."""
     k = F.col("s_suppkey")
-    new = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand#"), k % 25 + 1).alias("reg_set"), F.concat(F.lit("doc_"), k % 40).alias("stem"), F.sha2(F.concat(F.lit("n"), k % 70), 256).alias("sha256"), k.alias("ord"))
+    stem = F.concat(F.lit("doc_"), k % 40, F.when(k % 3 == 0, F.concat(F.lit("_"), k % 4)).otherwise(""), F.when(k % 5 == 0, "_2").otherwise(""))
+    new = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand#"), k % 25 + 1).alias("reg_set"), stem.alias("stem"), F.sha2(F.concat(F.lit("n"), k % 70), 256).alias("sha256"), k.alias("ord"))
     return C.add_to_set(registry(spark, sf_dir), new).select("reg_set", "file", "ord")
 
 
@@ -172,9 +173,13 @@ SQL = {
     "registry_approvals": f"WITH {_REG} SELECT r.file, CASE WHEN h THEN f.sha256 ELSE r.sha256 END AS sha256, CASE WHEN h THEN 'board' ELSE approved_by END AS approved_by FROM (SELECT r.*, r.ord < 60 AND r.ord % 5 = 0 AND r.file IN (SELECT file FROM fil) AS h FROM reg r) r LEFT JOIN fil f ON r.file = f.file",
     "corpus_fingerprint": f"WITH {_REG}, h AS (SELECT sha256(file || '|' || sha256) AS h FROM fil), s AS (SELECT count(*) AS n, " + ", ".join(f"CAST(coalesce(sum(CAST('0x' || h[{15 * k + 1}:{15 * k + 15}] AS HUGEINT)), 0) % 1152921504606846976 AS VARCHAR) AS s{k}" for k in range(4)) + " FROM h) SELECT sha256(n || '#' || s0 || '#' || s1 || '#' || s2 || '#' || s3 || '#prompt-1#model-1')[1:16] AS fingerprint FROM s",
     "reg_sets_group": f"WITH {_REG} SELECT reg_set, count(*) AS files, sha1(string_agg(title, '|' ORDER BY ord)) AS titles FROM reg WHERE file IN (SELECT file FROM fil) GROUP BY 1",
-    "reg_set_additions": f"""WITH {_REG}, n AS (SELECT 'Brand#' || CAST(s_suppkey % 25 + 1 AS VARCHAR) AS reg_set, 'doc_' || CAST(s_suppkey % 40 AS VARCHAR) AS stem, sha256('n' || CAST(s_suppkey % 70 AS VARCHAR)) AS sha256, s_suppkey AS ord FROM supplier),
+    "reg_set_additions": f"""WITH RECURSIVE {_REG}, n AS (SELECT 'Brand#' || CAST(s_suppkey % 25 + 1 AS VARCHAR) AS reg_set,
+  'doc_' || CAST(s_suppkey % 40 AS VARCHAR) || CASE WHEN s_suppkey % 3 = 0 THEN '_' || CAST(s_suppkey % 4 AS VARCHAR) ELSE '' END || CASE WHEN s_suppkey % 5 = 0 THEN '_2' ELSE '' END AS stem, sha256('n' || CAST(s_suppkey % 70 AS VARCHAR)) AS sha256, s_suppkey AS ord FROM supplier),
  d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY reg_set, sha256 ORDER BY ord) = 1), e AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM reg WHERE reg.reg_set = d.reg_set AND reg.sha256 = d.sha256)),
- k AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY ord) + CASE WHEN stem IN (SELECT file FROM reg) THEN 1 ELSE 0 END AS n FROM e) SELECT reg_set, CASE WHEN n = 1 THEN stem ELSE stem || '_' || CAST(n AS VARCHAR) END AS file, ord FROM k""",
+ o AS (SELECT *, row_number() OVER (ORDER BY ord) AS i FROM e),
+ walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS reg_set, CAST(NULL AS BIGINT) AS ord, (SELECT list(file) FROM reg) AS taken
+  UNION ALL SELECT i, f, reg_set, ord, list_append(taken, f) FROM (SELECT o.i, o.reg_set, o.ord, w.taken, list_filter(list_concat([o.stem], list_transform(range(2, 200), lambda n: o.stem || '_' || CAST(n AS VARCHAR))), lambda c: NOT list_contains(w.taken, c))[1] AS f FROM walk w JOIN o ON o.i = w.i + 1))
+ SELECT reg_set, file, ord FROM walk WHERE i > 0""",
     "reg_set_deletion": "WITH r AS (SELECT 'doc_' || CAST(p_partkey % 1500 AS VARCHAR) AS file, p_brand FROM part WHERE p_size <> 4) SELECT DISTINCT file FROM r WHERE p_brand = 'Brand#3' AND file NOT IN (SELECT file FROM r WHERE p_brand <> 'Brand#3')",
     "upsert_chunks": "SELECT p_partkey AS chunk_id, CASE WHEN p_size >= 20 THEN upper(p_name) ELSE p_name END AS text FROM part",
     "prune_orphans": "SELECT o_orderkey, o_custkey AS segment_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)",
@@ -189,7 +194,7 @@ SQL = {
  e AS (SELECT *, min(CASE WHEN s LIKE 'der%' OR s LIKE 'the%' OR s LIKE 'la%' THEN line_no END) OVER (PARTITION BY doc_id) AS z FROM c) SELECT doc_id, count(*) AS lines, min(line_no) AS first, max(line_no) AS last FROM e WHERE z IS NULL OR z = 0 OR line_no < z GROUP BY 1""",
     "page_quality": r"""SELECT doc_id, length(text) AS chars, junk, length(text) >= 200 AND (junk IS NULL OR junk <= 0.06) AS trusted FROM (SELECT doc_id, text, CASE WHEN len(w) >= 20 THEN round(len(list_filter(w, lambda x: regexp_matches(trim(x, '.,;:()[]{}"''-–—/*|'), '\p{L}[^\p{L}\p{N}]\p{L}|\p{Ll}\p{Lu}'))) / len(w), 3) END AS junk
  FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) >= 2 AND length(regexp_replace(x, '[^A-Za-z]', '', 'g')) >= 2) AS w FROM documents))""",
-    "para_fold_islands": rf"""WITH {_LINES}, k AS (SELECT *, trim(text) = '' AS e, regexp_matches(lower(trim({_FOLD.format("text")})), '^((phan|part|chuong|chapter|muc|section)\s+[ivx\d]+|(dieu|article)\s+\d+)') OR regexp_matches(text, '^\s*([-+*•]|\d{{1,2}}[.)])\s') AS b FROM lines),
+    "para_fold_islands": rf"""WITH {_LINES}, k AS (SELECT *, trim(text) = '' AS e, regexp_matches(lower(trim(text)), '^((phần|phan|part)\s+((thứ|thu)\s+)?[0-9a-zà-ỹđ]+|(chương|chuong|chapter)\s+[ivxlc0-9]+([^0-9a-zà-ỹđ]|$)|(mục|muc|section)\s+[0-9]+([^0-9a-zà-ỹđ]|$)|(điều|dieu|article)\s+[0-9]+[a-zđ]?\s*[.:])') OR regexp_matches(text, '^\s*([-+*•]|\d{{1,2}}[.)])\s') AS b FROM lines),
  p AS (SELECT *, sum(CASE WHEN e OR b THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS para FROM k), g AS (SELECT doc_id, para, string_agg(trim(text), ' ' ORDER BY line_no) AS t FROM p WHERE NOT e AND NOT regexp_matches(text, '^\s*-?\s*\d{{1,3}}\s*-?\s*$') GROUP BY 1, 2)
  SELECT doc_id, count(*) AS paragraphs, CAST(sum(length(t)) AS BIGINT) AS chars FROM g GROUP BY 1""",
     "read_stats": "SELECT l_orderkey AS doc_id, count(*) AS num_lines, round(avg(CASE WHEN c < 1 THEN c END), 4) AS avg_confidence, round(min(CASE WHEN c < 1 THEN c END), 4) AS min_confidence, count(*) FILTER (c < 0.6) AS low_lines FROM (SELECT l_orderkey, 1 - l_discount * 8 AS c FROM lineitem) GROUP BY 1",

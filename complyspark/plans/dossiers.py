@@ -106,9 +106,9 @@ def unique_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accuracy_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fields(spark, sf_dir)
-    hyp = F.when(F.col("pk") % 6 == 0, F.concat("value", F.lit(" x"))).otherwise(F.col("value"))
+    hyp = F.when(F.col("pk") % 6 == 0, F.concat("value", F.lit(" x"))).when(F.col("pk") % 6 == 1, F.concat(F.lit("y  "), "value", F.lit(" "), "value")).otherwise(F.col("value"))
     p = f.select(F.btrim("value").alias("ref"), F.btrim(hyp).alias("hyp"), F.when(F.col("ord") == 2, "number").when(F.col("ord") == 3, "date").otherwise("text").alias("value_type"), (F.col("ord") == 4).alias("in_table"), (F.col("pk") % 12 == 0).alias("edited"))
-    return Q.run_accuracy(p).drop("wer")
+    return Q.run_accuracy(p)
 
 
 def golden_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,9 +307,10 @@ SQL = {
     "selected_unseen": _D + " SELECT DISTINCT dossier, field_key FROM d WHERE pk % 2 = 0 EXCEPT SELECT dossier, field_key FROM d WHERE pk % 3 = 0",
     "manual_patch": f"WITH {_F}, e AS (SELECT *, pk % 3 = 0 AND value <> 'v0' AS ch, CASE WHEN pk % 7 = 0 THEN 'old' END AS mc FROM f) SELECT doc_id AS dossier, field_key, CASE WHEN ch THEN 'v0' ELSE value END AS value, CASE WHEN ch THEN coalesce(mc, value) ELSE mc END AS machine, ch AS edited FROM e",
     "unique_labels": "WITH l AS (SELECT DISTINCT p_partkey AS field_key, unnest([p_name || ' ' || CAST(p_size * 7 % 400 AS VARCHAR), p_brand || ' ' || p_type || ' ' || CAST(p_size AS VARCHAR)]) AS label FROM part) SELECT field_key, label FROM l WHERE lower(label) IN (SELECT lower(label) FROM l GROUP BY 1 HAVING count(DISTINCT field_key) = 1)",
-    "accuracy_buckets": f"""WITH {_F}, p AS (SELECT trim(value) AS r, trim(CASE WHEN pk % 6 = 0 THEN value || ' x' ELSE value END) AS h, ord, pk % 12 = 0 AS edited FROM f), q AS (SELECT *, r = h AS ok FROM p WHERE r <> '' OR h <> '')
- SELECT cer, field_accuracy, number_accuracy, date_accuracy, table_accuracy, fields, fields_edited, greatest(0.0, 1 - cer) AS ocr_accuracy FROM (SELECT round(sum(levenshtein(h, r)) / nullif(sum(length(r)), 0), 4) AS cer, round(count(*) FILTER (ok) / count(*), 4) AS field_accuracy, round(count(*) FILTER (ok AND ord = 2) / count(*) FILTER (ord = 2), 4) AS number_accuracy,
- round(count(*) FILTER (ok AND ord = 3) / count(*) FILTER (ord = 3), 4) AS date_accuracy, round(count(*) FILTER (ok AND ord = 4) / count(*) FILTER (ord = 4), 4) AS table_accuracy, count(*) AS fields, count(*) FILTER (edited AND NOT ok) AS fields_edited FROM q)""",
+    "accuracy_buckets": f"""WITH {_F}, p AS (SELECT trim(value) AS r, trim(CASE WHEN pk % 6 = 0 THEN value || ' x' WHEN pk % 6 = 1 THEN 'y  ' || value || ' ' || value ELSE value END) AS h, ord, pk % 12 = 0 AS edited FROM f), q AS (SELECT *, r = h AS ok, list_filter(string_split_regex(r, '\\s+'), lambda x: x <> '') AS rw, list_filter(string_split_regex(h, '\\s+'), lambda x: x <> '') AS hw FROM p WHERE r <> '' OR h <> ''),
+ v AS (SELECT *, list_distinct(list_concat(rw, hw)) AS al FROM q)
+ SELECT cer, wer, field_accuracy, number_accuracy, date_accuracy, table_accuracy, fields, fields_edited, greatest(0.0, 1 - cer) AS ocr_accuracy FROM (SELECT round(sum(levenshtein(h, r)) / nullif(sum(length(r)), 0), 4) AS cer, round(sum(levenshtein(array_to_string(list_transform(hw, lambda x: chr(CAST(32 + list_position(al, x) AS INTEGER))), ''), array_to_string(list_transform(rw, lambda x: chr(CAST(32 + list_position(al, x) AS INTEGER))), ''))) / nullif(sum(len(rw)), 0), 4) AS wer, round(count(*) FILTER (ok) / count(*), 4) AS field_accuracy, round(count(*) FILTER (ok AND ord = 2) / count(*) FILTER (ord = 2), 4) AS number_accuracy,
+ round(count(*) FILTER (ok AND ord = 3) / count(*) FILTER (ord = 3), 4) AS date_accuracy, round(count(*) FILTER (ok AND ord = 4) / count(*) FILTER (ord = 4), 4) AS table_accuracy, count(*) AS fields, count(*) FILTER (edited AND NOT ok) AS fields_edited FROM v)""",
     "golden_micro_avg": f"""WITH {_F}, m AS (SELECT doc_id, trim(lower(coalesce(CASE WHEN pk % 9 <> 0 THEN value END, ''))) AS e, trim(lower(CASE WHEN pk % 10 = 0 THEN 'zzz' ELSE value END)) AS a FROM f),
  k AS (SELECT doc_id, count(*) AS labels, count(*) FILTER (CASE WHEN e = '' AND a = '' THEN true WHEN e = '' OR a = '' THEN false ELSE contains(e, a) OR contains(a, e) END AND NOT (regexp_full_match(e, '\\d+') AND regexp_full_match(a, '\\d+') AND e <> a)) AS correct FROM m GROUP BY 1)
  SELECT count(*) FILTER (o_orderstatus = 'P') AS unverified, count(*) FILTER (o_orderstatus <> 'P' AND labels IS NOT NULL) AS measured, round(sum(correct) FILTER (o_orderstatus <> 'P') / sum(labels) FILTER (o_orderstatus <> 'P'), 4) AS accuracy FROM orders LEFT JOIN k ON doc_id = o_orderkey""",

@@ -1,26 +1,23 @@
-"""The whole way of a dossier: text, fields, missing values from a model, passages in
-force, judgements, verdicts, report. Each step is one of the operators; this module
-only joins them, on (doc_id, field_key)."""
+"""The whole way of a dossier: text, fields, passages in force, judgements, verdicts, report. Reading is
+`operators.extract`, judging `operators.judging`; this module gives them their tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import normalize_signed_date
 from ..functions.text import normalize_text
-from ..operators import extract, grounding, retrieval, verdicts
-from ..sources import models
+from ..operators import extract, judging, retrieval
+from ..sources import calls, models
+from ..sources.cuts import written
 from .audit import table
 from .dossiers import CATALOG
 
 
-NO_DAY = "0001-01-01"
-
-
 @dataclass(frozen=True)
 class CheckSet:
     """fields: what to read; required, declared: keys; date_field: the signing date's key."""
@@ -30,7 +27,7 @@ class CheckSet:
     declared: tuple[str, ...] = ()
     date_field: str = ""
     kind: str = "contract"
-    top: int = 3
+    rules: judging.Rules = field(default_factory=judging.Rules)
     model: Callable[[], models.Model] = field(default=models.EchoModel)
     embedder: Callable[[], models.Embedder] = field(default=models.HashEmbedder)
 
@@ -52,18 +49,15 @@ def signing_days(fields: DataFrame, check: CheckSet) -> DataFrame:
     return own.select("doc_id", F.try_to_date(normalize_signed_date(F.coalesce("value", F.lit(""))), "yyyy-MM-dd").alias("day"))
 
 
-def passages(fields: DataFrame, chunks: DataFrame, check: CheckSet) -> DataFrame:
-    """The nearest passages in force of every field and day. Queries differ by field and
-    day only, so equal ones are asked once. `chunks`: chunk_id (text), text, effective_from, effective_to."""
+def nearness(fields: DataFrame, chunks: DataFrame, check: CheckSet) -> DataFrame:
+    """`field_key, chunk_id, text_key, distance, effective_from, effective_to` of every field of the set and every passage in scope: a distance
+    belongs to a field and a passage, whatever the dossier and its day. `chunks`: chunk_id (text), text, effective_from, effective_to and what the scope asks for."""
     labels = fields.select("field_key", "label").distinct().select("field_key", F.concat_ws(" ", F.lit(check.kind), "label").alias("text"))
     vec = models.embed(labels.withColumnRenamed("field_key", "chunk_id"), check.embedder).withColumnsRenamed({"chunk_id": "field_key", "embedding": "vec"})
-    store = models.embed(chunks, check.embedder).join(chunks, "chunk_id")
-    # a distance belongs to a field and a chunk, whatever the day: one row of the catalog meets one chunk once
-    near = _distances(vec, store)
-    days = signing_days(fields, check).select("day").distinct()
-    valid = retrieval.valid_on(days, chunks.select("chunk_id", "effective_from", "effective_to")).select("chunk_id", F.coalesce("day", F.lit(NO_DAY).cast("date")).alias("day"))
-    w = Window.partitionBy("field_key", "day").orderBy("distance", "chunk_id")
-    return valid.join(near, "chunk_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= check.top).select("field_key", "day", "chunk_id", "rank")
+    scoped = judging.in_scope(chunks, check.rules)
+    near = _distances(vec, models.embed(scoped, check.embedder))
+    own = F.sha2(F.coalesce(F.nullif(F.btrim("text"), F.lit("")), F.col("chunk_id")), 256)
+    return near.join(scoped.select("chunk_id", own.alias("text_key"), "effective_from", "effective_to"), "chunk_id")
 
 
 def _distances(fields: DataFrame, store: DataFrame) -> DataFrame:
@@ -75,19 +69,17 @@ def _distances(fields: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def check_dossiers(docs: DataFrame, chunks: DataFrame, check: CheckSet) -> tuple[DataFrame, DataFrame]:
-    """(checks, report) of all documents. Fields are read once and kept (in memory, else on disk), as every later step asks for them."""
-    fields = read_fields(docs, check).persist()
-    day = signing_days(fields, check).select("doc_id", F.coalesce("day", F.lit(NO_DAY).cast("date")).alias("day"))
-    found = passages(fields, chunks, check)
-    sent = fields.join(day, "doc_id").join(found, ["field_key", "day"]).select("doc_id", "field_key", "chunk_id")
-    texts = sent.join(chunks.select("chunk_id", "text"), "chunk_id").select("doc_id", "chunk_id", "text")
-    asked = grounding.requests(verdicts.checked_fields(fields).select("doc_id", "field_key"), texts)
-    cited = sent.groupBy("doc_id", "field_key").agg(F.count("*").alias("citations"))
-    judged = models.judge(asked, check.model).join(cited, ["doc_id", "field_key"], "left")
-    checks = verdicts.reconcile(fields, judged)
-    flags = fields.filter((F.col("field_key") == check.date_field) & F.col("value").isNull())
-    checks = verdicts.no_citation(verdicts.mandatory_missing(verdicts.quality_gate(checks, flags), fields, False))
-    return checks, verdicts.report(checks)
+    """(checks, report) of all documents. Fields, their distances to the passages and what is sent are written once, as later steps read
+    them several times; `report.fields` is the table of fields."""
+    fields = written(read_fields(docs, check))
+
+    def ask(requests: DataFrame) -> DataFrame:
+        return calls.judgements(calls.replies(requests, lambda: [calls.Sized("stand-in", check.model())]))
+
+    blocked = fields.filter((F.col("field_key") == check.date_field) & F.col("value").isNull())
+    checks, report, _ = judging.judge(fields, signing_days(fields, check), written(nearness(fields, chunks, check)), chunks, check.rules, ask, blocked)
+    report.fields = fields
+    return checks, report
 
 
 def _forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -97,11 +89,13 @@ def _forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     text = F.concat(F.lit("HỢP ĐỒNG\n1. Ngày ký: "), F.when(k % 30 == 0, "chưa rõ").otherwise(F.date_format("o_orderdate", "01/MM/yyyy")), F.lit("\n2. Tien luong: "), F.floor("o_totalprice").cast("long"), F.lit(" USD/tháng\n- Số lượng: "), k % 1000, F.lit(" người\n- Địa điểm làm việc: Kho "), F.col("o_orderpriority"), F.lit("\n\nHết"))
     p = table(spark, sf_dir, "part")
     start = F.date_add(F.lit("1992-01-01").cast("date"), (F.col("p_partkey") % 2000).cast("int"))
-    chunks = p.select(F.concat(F.lit("c"), "p_partkey").alias("chunk_id"), F.concat_ws(" ", F.lit("Tiền lương"), "p_name", "p_type").alias("text"), start.alias("effective_from"), F.when(F.col("p_partkey") % 3 == 0, F.date_add(start, 900)).alias("effective_to"))
-    return o.select(k.alias("doc_id"), text.alias("text")), chunks
+    chunks = p.select("p_size", F.concat(F.lit("c"), "p_partkey").alias("chunk_id"), F.concat_ws(" ", F.lit("Tiền lương"), "p_name", "p_type").alias("text"), start.alias("effective_from"), F.when(F.col("p_partkey") % 3 == 0, F.date_add(start, 900)).alias("effective_to"))
+    scope = [F.when(F.col("p_size") % 4 == 0, "JP").otherwise("VN").alias("jurisdiction"), F.when(F.col("p_size") % 5 == 0, "memo").otherwise("law").alias("doc_type"), (F.col("p_size") % 3).cast("string").alias("reg_set")]
+    return o.select(k.alias("doc_id"), text.alias("text")), chunks.select("*", *scope)
 
 
-CHECK = CheckSet(CATALOG, required=("day", "wage", "people"), declared=("place",), date_field="day")
+RULES = judging.Rules("VN", ("law", "circular"), ("0", "1"), per_field=4, guarantee=1, cap=3, groups=(("wage", "place"), ("people", "day")))
+CHECK = CheckSet(CATALOG, required=("day", "wage", "people"), declared=("place",), date_field="day", rules=RULES)
 
 
 def dossier_flow(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,10 +214,11 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.filter("p_partkey % 4 <> 3").select(
         F.concat(F.lit("f"), k, F.lit(".md")).alias("file"), F.when(k % 3 == 0, F.col("p_brand")).otherwise("").alias("title"), F.when(k % 5 == 0, "law").alias("doc_type"), F.when(k % 2 == 0, "2010-05-06").alias("effective_from"),
         F.when(k % 7 == 0, "0").otherwise(F.sha2(text, 256)).alias("sha256"), F.when(k % 3 == 1, "who").alias("approved_by"), F.col("p_brand").alias("doc_no"), F.concat(F.lit("s"), k % 3).alias("reg_set"),
+        F.when(k % 4 == 1, F.concat(F.lit("gazette "), "p_size")).alias("official_source"), F.when(k % 3 == 1, F.concat(F.lit("2020-01-0"), k % 9 + 1)).alias("approved_at"), F.lit("v1").alias("corpus_version"),
     )
 
 
-_REG = r"""t AS (SELECT p_partkey AS k, 'f' || p_partkey || '.md' AS file, p_name, p_type, p_brand, sha256('# ' || p_name || chr(10) || chr(10) || p_type) AS h FROM part), f AS (SELECT * FROM t WHERE k % 6 <> 5),
+_REG = r"""t AS (SELECT p_partkey AS k, 'f' || p_partkey || '.md' AS file, p_name, p_type, p_brand, p_size, sha256('# ' || p_name || chr(10) || chr(10) || p_type) AS h FROM part), f AS (SELECT * FROM t WHERE k % 6 <> 5),
  r AS (SELECT *, CASE WHEN k % 7 = 0 THEN '0' ELSE h END AS sha256, CASE WHEN k % 3 = 1 THEN 'who' ELSE '' END AS approved_by, 's' || (k % 3) AS reg_set FROM t WHERE k % 4 <> 3)"""
 
 
@@ -439,7 +440,7 @@ SQL = {
     "json_strings": "SELECT p_partkey AS id, 'điều ' || p_partkey AS value FROM part",
     "file_hashes": f"WITH {_REG} SELECT file, h AS sha256 FROM f",
     "planned_entries": f"WITH {_REG} SELECT f.file, CASE WHEN r.k IS NOT NULL AND f.k % 3 = 0 THEN f.p_brand ELSE f.p_name END AS title, CASE WHEN r.k IS NOT NULL AND f.k % 5 = 0 THEN 'law' WHEN contains(f.file, 'f1') THEN 'decree' ELSE 'other' END AS doc_type, CASE WHEN r.k IS NOT NULL AND f.k % 2 = 0 THEN '2010-05-06' ELSE '2000-01-01' END AS effective_from FROM f LEFT JOIN r USING (k)",
-    "chunk_metadata": f"WITH {_REG} SELECT f.file, coalesce(r.p_brand, '') AS doc_no, coalesce(approved_by, '') AS approved_by, coalesce(sha256[1:16], '') AS content_sha256, coalesce(reg_set, '') AS reg_set FROM f LEFT JOIN r USING (k)",
+    "chunk_metadata": f"WITH {_REG} SELECT f.file, coalesce(r.p_brand, '') AS doc_no, CASE WHEN r.k % 4 = 1 THEN 'gazette ' || r.p_size ELSE '' END AS official_source, CASE WHEN r.k IS NULL THEN '' ELSE 'v1' END AS corpus_version, coalesce(approved_by, '') AS approved_by, CASE WHEN r.k % 3 = 1 THEN '2020-01-0' || (r.k % 9 + 1) ELSE '' END AS approved_at, coalesce(sha256[1:16], '') AS content_sha256, coalesce(reg_set, '') AS reg_set FROM f LEFT JOIN r USING (k)",
     "corpus_seed": rf"""WITH {_REG}, s AS (SELECT f.*, reg_set, CASE WHEN r.k IS NULL THEN 'unregistered' WHEN sha256 <> f.h THEN 'hash_mismatch' WHEN approved_by = '' THEN 'unapproved' ELSE 'ok' END AS status FROM f LEFT JOIN r USING (k)), c AS (SELECT *, '# ' || p_name || chr(13) || chr(10) || chr(13) || chr(10) || p_type AS t FROM s)
  SELECT file, CASE WHEN status = 'ok' THEN file || '::0::' || sha1(t)[1:12] ELSE status END AS what, CASE WHEN status = 'ok' THEN reg_set END AS reg_set FROM c""",
     "audit_places": f"WITH {_REG}, s AS (SELECT coalesce(f.file, r.file) AS file, CASE WHEN r.k IS NULL THEN 'unregistered' WHEN f.k IS NULL THEN 'missing_file' WHEN sha256 <> f.h THEN 'hash_mismatch' WHEN approved_by = '' THEN 'unapproved' ELSE 'ok' END AS status FROM f FULL JOIN r USING (k)) SELECT file, status, CAST(list_position(['missing_file', 'hash_mismatch', 'unapproved', 'unregistered', 'ok'], status) AS INTEGER) AS severity FROM s",

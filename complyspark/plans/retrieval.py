@@ -3,10 +3,14 @@ validity interval), `nation` (requests with a signing day), `benchmark` against
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators import vector_index
+from ..sources.cuts import shared_folder
 from .audit import table
 
 
@@ -22,6 +26,16 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir, 5).select("query_id", "chunk_id", "distance", F.col("rank").cast("long").alias("rank"))
 
 
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same nearest vectors by way of an inverted file that is built first: probed lists bound the distance, only lists within it are read."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), "label")
+    where = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    vector_index.build(e.select(F.col("vec_id").alias("chunk_id"), "embedding", "label"), where, lists=32, steps=3)
+    got = vector_index.Index(spark, where).exact(q, 5, 4, ("label",))
+    return got.select("query_id", "chunk_id", "distance", F.col("rank").cast("long").alias("rank"))
+
+
 def _field_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries as fields; several chunks share a text."""
     h = _hits(spark, sf_dir, 8)
@@ -41,6 +55,37 @@ def coverage_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.coverage(keys, R.field_ranks(R.guaranteed(_field_hits(spark, sf_dir), 2, 20)), 6)
 
 
+def _dossier_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dossier an order, a field a remainder of its lines' numbers; parts are passages, their suppliers' last digit the text."""
+    l = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey", F.col("l_linenumber") % 3).orderBy("l_extendedprice", "l_partkey", "l_linenumber")
+    field = (F.col("l_linenumber") % 3).cast("long")
+    return l.select(F.col("l_orderkey").alias("doc_id"), field.alias("field_ord"), F.concat(F.lit("f"), field).alias("field_key"), (F.row_number().over(w) - 1).alias("i"), F.col("l_partkey").alias("chunk_id"), F.concat(F.lit("t"), F.col("l_suppkey") % 7).alias("text"), F.col("l_extendedprice").cast("double").alias("distance"))
+
+
+def guaranteed_dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of every dossier in one plan: two of each field are kept whatever the cap of three texts a dossier."""
+    got = R.guaranteed(_dossier_hits(spark, sf_dir), 1, 3, "doc_id")
+    return got.select("doc_id", "key", "distance", "must", F.size("found").cast("long").alias("hits"))
+
+
+def dossier_field_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = R.field_ranks(R.guaranteed(_dossier_hits(spark, sf_dir), 1, 3, "doc_id"), "doc_id")
+    return got.select("doc_id", "field_key", "key", F.col("rank").cast("long").alias("rank"))
+
+
+def valid_topk_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every shipping day and priority the three cheapest orders in force, by status; before the first order none is."""
+    l = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
+    early = table(spark, sf_dir, "region").select(F.date_add(F.lit("1970-01-01").cast("date"), F.col("r_regionkey").cast("int")).alias("day"))
+    none = table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.lit(None).cast("date").alias("day"))
+    scopes = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("jurisdiction")).distinct()
+    days = l.unionByName(early).unionByName(none).withColumn("jurisdiction", F.explode(F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]))).join(scopes, "jurisdiction", "left_semi")
+    p = _passages(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").cast("double").alias("distance")), "chunk_id")
+    got = R.valid_top_k(days, p, 3, ("jurisdiction",), ("doc_type",))
+    return got.select("jurisdiction", "doc_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "chunk_id", "distance", F.col("rank").cast("long").alias("rank"), "in_force")
+
+
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _hits(spark, sf_dir, 5).withColumn("field_key", F.col("query_id"))
     scores = h.select("query_id", "chunk_id", (F.col("chunk_id") * 7 % 5).alias("score"))
@@ -137,11 +182,27 @@ _PASS = "p AS (SELECT o_orderkey AS chunk_id, o_orderpriority AS j, CAST(o_order
 _REQ = "q AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 6 <> 5 THEN DATE '1990-01-01' + CAST(n_nationkey * 150 AS INTEGER) END AS day, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][n_nationkey % 5 + 1] AS j FROM nation)"
 _FORCE = "(day IS NULL OR (f <= day AND coalesce(t, DATE '9999-12-31') >= day))"
 _TOK = "list_filter(list_distinct(regexp_split_to_array(lower(strip_accents(replace(replace({0}, 'đ', 'd'), 'Đ', 'D'))), '[^a-z0-9]+')), lambda t: length(t) >= 4)"
+_GD = """WITH fh AS (SELECT l_orderkey AS doc_id, l_linenumber % 3 AS o, 'f' || CAST(l_linenumber % 3 AS VARCHAR) AS field_key, 't' || CAST(l_suppkey % 7 AS VARCHAR) AS key, CAST(l_extendedprice AS DOUBLE) AS distance,
+  row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_extendedprice, l_partkey, l_linenumber) - 1 AS i FROM lineitem),
+ k AS (SELECT doc_id, key, bool_or(i < 1) AS must, min(CASE WHEN i >= 1 THEN struct_pack(d := distance, f := o, i := i) END) AS fe, min(distance) AS distance, count(*) AS hits FROM fh GROUP BY 1, 2),
+ o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY must DESC, fe, key) AS place, count(*) FILTER (must) OVER (PARTITION BY doc_id) AS m FROM k),
+ g AS (SELECT doc_id, key, distance, must, hits FROM o WHERE must OR place <= greatest(3, m))"""
+_VT = """WITH p AS (SELECT o_orderkey AS chunk_id, o_orderpriority AS jurisdiction, o_orderstatus AS doc_type, CAST(o_orderdate AS DATE) AS f, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) + 30 ELSE DATE '9999-12-31' END AS t, CAST(o_totalprice AS DOUBLE) AS distance FROM orders),
+ d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem UNION ALL SELECT DATE '1970-01-01' + CAST(r_regionkey AS INTEGER) FROM region UNION ALL SELECT NULL),
+ m AS (SELECT p.*, d.day, d.day IS NULL OR (f <= d.day AND t >= d.day) AS ok FROM p, d),
+ a AS (SELECT jurisdiction, day, bool_or(ok) AS hit FROM m GROUP BY 1, 2),
+ r AS (SELECT m.jurisdiction, doc_type, m.day, chunk_id, distance, ok, row_number() OVER (PARTITION BY m.jurisdiction, doc_type, m.day ORDER BY distance, chunk_id) AS rank
+  FROM m JOIN a ON a.jurisdiction = m.jurisdiction AND a.day IS NOT DISTINCT FROM m.day WHERE ok OR NOT hit)
+ SELECT jurisdiction, doc_type, strftime(day, '%Y-%m-%d') AS day, chunk_id, distance, rank, ok AS in_force FROM r WHERE rank <= 3"""
 QUERIES = {
     "knn_topk": knn_topk,
+    "indexed_topk": indexed_topk,
     "guaranteed_topk_cap": guaranteed_topk,
     "field_ranks": field_ranks,
     "coverage_at_k": coverage_at_k,
+    "guaranteed_by_dossier": guaranteed_dossiers,
+    "dossier_field_ranks": dossier_field_ranks,
+    "valid_topk_by_day": valid_topk_days,
     "rerank_order": rerank,
     "scope_filter": scope_filter,
     "in_force_interval_join": in_force_join,
@@ -155,10 +216,14 @@ QUERIES = {
     "rank_within": rank_within,
 }
 SQL = {
+    "indexed_topk": f"WITH {_HITS.format(5)} SELECT query_id, chunk_id, distance, rank FROM hits",
     "knn_topk": f"WITH {_HITS.format(5)} SELECT query_id, chunk_id, distance, rank FROM hits",
     "guaranteed_topk_cap": _G + " SELECT key, distance, must, hits FROM g",
     "field_ranks": _G + " SELECT * FROM fr",
     "coverage_at_k": _G + " SELECT count(*) AS fields, round(avg(CASE WHEN c > 0 THEN 1 ELSE 0 END), 4) AS coverage, round(avg(CASE WHEN c >= 6 THEN 1 ELSE 0 END), 4) AS full_coverage, count(*) FILTER (c = 0) AS uncovered FROM (SELECT a.field_key, count(fr.key) AS c FROM (SELECT DISTINCT field_key FROM fh UNION ALL SELECT r_name FROM region) a LEFT JOIN fr ON fr.field_key = a.field_key GROUP BY 1)",
+    "guaranteed_by_dossier": _GD + " SELECT * FROM g",
+    "dossier_field_ranks": _GD + " SELECT doc_id, field_key, key, CAST(min(i) AS BIGINT) AS rank FROM fh JOIN g USING (doc_id, key) GROUP BY 1, 2, 3",
+    "valid_topk_by_day": _VT,
     "rerank_order": f"WITH {_HITS.format(5)} SELECT query_id AS field_key, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id * 7 % 5 DESC, distance, chunk_id) - 1 AS i FROM hits",
     "scope_filter": "SELECT o_orderkey AS chunk_id, o_orderstatus AS doc_type, CAST(o_custkey % 4 AS VARCHAR) AS reg_set FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus IN ('F', 'P') AND o_custkey % 4 IN (1, 2)",
     "in_force_interval_join": f"WITH {_PASS}, {_REQ} SELECT query_id, count(*) AS passages, max(chunk_id) AS last FROM p JOIN q USING (j) WHERE {_FORCE} GROUP BY 1",

@@ -67,10 +67,11 @@ def doc_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that begin like headings of each kind, and some that only seem to."""
     p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    line = F.when(k % 5 == 0, F.concat(F.lit("Chương IV "), "p_name")).when(k % 5 == 1, F.concat(F.lit("Điều "), "p_size", F.lit(". "), "p_name")).when(k % 5 == 2, F.concat(F.lit("MỤC 2 "), "p_name")).when(k % 5 == 3, F.concat(F.lit("Phần I: "), "p_name")).otherwise(F.col("p_name"))
-    return p.select("p_partkey", X.heading_level(line).alias("level"), X.strip_numbering(line).alias("rest"))
+    heads = ("Chương IV ", "Điều ", "MỤC 2 ", "Phần thứ nhất ", "dieu 7b: ", "Điều 5 quy định ", "Chương trình ", "section 3a ", "  Article 12 . ", "Phần", "")
+    line = F.concat(F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("p_partkey") % len(heads) + 1).cast("int")), F.when(F.col("p_partkey") % len(heads) == 1, F.concat("p_size", F.element_at(F.array(*[F.lit(x) for x in (".", " ", ":")]), (F.col("p_size") % 3 + 1).cast("int")), F.lit(" "))).otherwise(""), "p_name")
+    return p.select("p_partkey", X.heading_level(line).alias("level"), X.strip_numbering(F.concat(F.lit("Điều "), "p_size", F.lit(". "), "p_name")).alias("rest"))
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +189,10 @@ SQL = {
     "doc_types": """SELECT p_partkey, CASE WHEN p_name LIKE '%widget%' THEN 'decree' WHEN p_name LIKE '%ring%' THEN 'circular' WHEN p_name LIKE '%bolt%' THEN 'law' ELSE 'other' END AS doc_type, p_type AS title,
  repeat('M', CAST(floor(n / 1000) AS INT)) || ['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'][CAST(floor(n / 100) % 10 AS INT) + 1] || ['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][CAST(floor(n / 10) % 10 AS INT) + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][CAST(n % 10 AS INT) + 1] AS roman
  FROM (SELECT *, (p_size * 37) % 3999 + 1 AS n FROM part)""",
-    "heading_levels": """SELECT p_partkey, CAST(CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 1 END AS INTEGER) AS level,
- CASE p_partkey % 5 WHEN 0 THEN 'chuong iv ' || lower(p_name) WHEN 1 THEN lower(p_name) WHEN 2 THEN 'muc 2 ' || lower(p_name) WHEN 3 THEN 'phan i: ' || lower(p_name) ELSE lower(p_name) END AS rest FROM part""",
+    "heading_levels": r"""WITH l AS (SELECT *, lower(trim(['Chương IV ', 'Điều ', 'MỤC 2 ', 'Phần thứ nhất ', 'dieu 7b: ', 'Điều 5 quy định ', 'Chương trình ', 'section 3a ', '  Article 12 . ', 'Phần', ''][p_partkey % 11 + 1]
+  || CASE WHEN p_partkey % 11 = 1 THEN CAST(p_size AS VARCHAR) || ['.', ' ', ':'][p_size % 3 + 1] || ' ' ELSE '' END || p_name)) AS t FROM part)
+ SELECT p_partkey, CAST(CASE WHEN regexp_matches(t, '^(phần|phan|part)\s+') OR regexp_matches(t, '^(chương|chuong|chapter)\s+[ivxlc0-9]+([^0-9a-zà-ỹđ]|$)') THEN 2
+  WHEN regexp_matches(t, '^(mục|muc|section)\s+[0-9]+([^0-9a-zà-ỹđ]|$)') OR regexp_matches(t, '^(điều|dieu|article)\s+[0-9]+[a-zđ]?\s*[.:]') THEN 3 END AS INTEGER) AS level, lower(p_name) AS rest FROM l""",
     "chunk_ids_sha1": "SELECT doc_id, source || '::' || CAST(doc_id AS VARCHAR) || '::' || sha1(text)[1:12] AS chunk_id, sha256(replace(text || chr(13) || chr(10), chr(13) || chr(10), chr(10))) AS sha256 FROM documents",
     "edit_distances": "SELECT p_partkey, CAST(levenshtein(p_name, reverse(p_brand) || ' ' || p_name[3:]) AS BIGINT) AS chars FROM part",
     "date_parse": f"SELECT o_orderkey, {_DT.format('NULL')} AS any_date, CASE WHEN o_orderkey % 6 = 4 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE coalesce({_DT.format('NULL')}, '') END AS signed, CAST(CASE WHEN length(g) >= 8 THEN CAST(g[1:8] AS INTEGER) ELSE 99991231 END AS INTEGER) AS as_int"

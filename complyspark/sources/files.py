@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import HEADINGS
+
 CHECK_SET = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -192,9 +194,6 @@ class ListNumbers:
         return re.sub(r"%([1-9])", number, levels[level].text or f"%{level + 1}.").strip() or "-"
 
 
-HEADINGS = ((2, r"(?i)(chương|chapter|phần|part)\s+[ivx\d]+"), (3, r"(?i)(mục|section)\s+[ivx\d]+"), (4, r"(?i)(điều|article)\s+\d+"))
-
-
 def docx_to_markdown(content: bytes, title: str = "") -> str:
     """Paragraphs, headings, numbered lists and tables of an office document. A bar within a cell is escaped, its lines are joined."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -228,7 +227,7 @@ def docx_to_markdown(content: bytes, title: str = "") -> str:
             out += table(node)
         elif node.tag == f"{_W}p" and (t := text_of(node)):
             plain = t.replace("**", "")
-            level = next((n for n, rx in HEADINGS if re.match(rx, plain)), 0)
+            level = next((n for n, rx in HEADINGS if re.match(rx, plain.lower())), 0)
             if not level and (g := re.search(r"(?i)heading\s*(\d)", _val(node.find(f"{_W}pPr/{_W}pStyle")))):
                 level = min(6, int(g[1]))
             num = node.find(f"{_W}pPr/{_W}numPr")
@@ -326,7 +325,26 @@ def save_registry(entries: DataFrame, path: str) -> None:
     entries.agg(F.lit(1).alias("version"), rows.alias("entries")).coalesce(1).write.mode("overwrite").json(path)
 
 
-def page_checkpoint(lines: DataFrame, path: str) -> DataFrame:
-    """Lines of read pages, written by document, so that a restart reads only what is missing; and read again."""
-    lines.write.mode("append").partitionBy("doc_id").parquet(path)
-    return lines.sparkSession.read.parquet(path)
+PLACE = ("doc_id", "page_index", "line_no")
+
+
+def page_checkpoint(lines: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """Lines of read pages (`doc_id`, `page_index`, `line_no` where a page has several, and what else) with those of the store at `path`: pages
+    that it holds stay as they are, the others are added, in buckets of documents. Only the buckets of new pages are
+    rewritten, and a writer that breaks off leaves the store as it was."""
+    store = _pages_at(lines.sparkSession, path, buckets, ", ".join(f"`{n}` {t}" for n, t in lines.dtypes), tuple(c for c in PLACE if c in lines.columns))
+    store.upsert(lines.join(store.read().select("doc_id", "page_index").distinct(), ["doc_id", "page_index"], "left_anti").select(lines.columns))
+    return store.read()
+
+
+def unread(pages: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """The pages (`doc_id, page_index`, and what else) that the store at `path` has no line of: what a restart has to read."""
+    kinds = dict(pages.dtypes)
+    held = _pages_at(pages.sparkSession, path, buckets, f"doc_id {kinds['doc_id']}, page_index {kinds['page_index']}", PLACE[:2]).read().distinct()
+    return pages.join(held, ["doc_id", "page_index"], "left_anti")
+
+
+def _pages_at(spark: SparkSession, path: str, buckets: int, schema: str, key: tuple[str, ...]):
+    from .store import KeyedStore
+
+    return KeyedStore(spark, path, schema, key, buckets, PLACE[:1])

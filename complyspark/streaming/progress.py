@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.store import KeyedStore
+
 TERMINAL = ("done", "error")
 TTL_MS = 3_600_000
 
@@ -68,25 +70,31 @@ def follow_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
-def upsert_latest(events: DataFrame, path: str, checkpoint: str):
-    """Stream sink: the last state of each key, as one small table a batch under `path`.
+LATEST = "pid long, ts timestamp, stage string"
+LATEST_BUCKETS = 64
+
+
+def _latest(spark: SparkSession, path: str) -> KeyedStore:
+    return KeyedStore(spark, path, LATEST, ("pid",), LATEST_BUCKETS)
+
 
-    A batch writes only its own keys, once, in a folder named by the query and the batch: a batch that runs
-    again replaces its own folder, and a query with a new checkpoint never meets another one's. `latest_table` reads it."""
+def upsert_latest(events: DataFrame, path: str, checkpoint: str, keep: int = 3):
+    """Stream sink: the last state of each key in a keyed store. A batch rewrites the buckets of its own keys; one that runs again, or that comes with
+    older states, changes nothing. The newest `keep` versions stay, so readers of the last ones aren't disturbed. One sink a store may run."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        new = batch.groupBy("pid").agg(F.max(F.struct("ts", "stage")).alias("s")).select("pid", "s.ts", "s.stage")
-        new.write.mode("overwrite").parquet(f"{path}/query={query}/batch={batch_id}")
+        store = _latest(batch.sparkSession, path)
+        store.upsert(batch.select("pid", "ts", "stage"), order="ts", newest=True)
+        if batch_id % 20 == 19:
+            store.vacuum(keep)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
 
 
 def latest_table(spark: SparkSession, path: str, ttl_s: int | None = None) -> DataFrame:
-    """The last state of each key over all batches of `upsert_latest`; with `ttl_s`, without ended keys and those
+    """The last state of each key of `upsert_latest`; with `ttl_s`, without ended keys and those
     that have been silent so much longer than the latest one."""
-    rows = spark.read.schema("pid long, ts timestamp, stage string, query string, batch long").option("basePath", path).parquet(path)
-    now = rows.groupBy("pid").agg(F.max(F.struct("ts", "stage")).alias("s")).select("pid", "s.ts", "s.stage")
+    now = _latest(spark, path).read()
     if ttl_s is None:
         return now
     last = now.agg(F.max("ts").alias("last"))

@@ -335,9 +335,9 @@ def test_flow(spark):
     from complyspark.plans import flow
 
     docs = spark.createDataFrame([(1, "Ngày ký: 01/02/2024\n2. Tiền lương: 5000 USD\n- Số lượng: 3 người\n- Địa điểm làm việc: Kho 1"), (2, None)], "doc_id long, text string")
-    chunks = spark.createDataFrame([("c1", "tiền lương", dt.date(2020, 1, 1), None)], "chunk_id string, text string, effective_from date, effective_to date")
+    chunks = spark.createDataFrame([("c1", "tiền lương", dt.date(2020, 1, 1), None, "VN", "law", "0")], "chunk_id string, text string, effective_from date, effective_to date, jurisdiction string, doc_type string, reg_set string")
     checks, report = flow.check_dossiers(docs, chunks, flow.CHECK)
     got = {(r.doc_id, r.field_key): (r.verdict, r.mandatory) for r in checks.collect()}
     assert got[1, "people"] == ("PASS", False) and got[1, "place"] == ("DECLARATION", False)
     assert {k for k in got if k[0] == 2 and got[k] == ("NEEDS_SUPPLEMENT", True)} == {(2, "day"), (2, "wage"), (2, "people")}
-    assert {r.doc_id: r.overall for r in report.collect()}[2] == "NEEDS_SUPPLEMENT"
+    assert {r.doc_id: r.overall_verdict for r in report.collect()}[2] == "NEEDS_SUPPLEMENT"

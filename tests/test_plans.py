@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from complyspark.operators import retrieval as R
 from complyspark.plans import registry
 
-PYTHON_QUERIES = {"restore_spelling", "grounded_merge", "respell_guard", "dossier_flow", "dossier_checks"}
+PYTHON_QUERIES = {"restore_spelling", "grounded_merge", "respell_guard", "dossier_flow", "dossier_checks", "indexed_topk"}
 # Queries that hold all rows against one row: a maximum, a count, a day asked for.
 ONE_ROW = {"active_jobs", "in_force_interval_join", "relaxed_fallback", "prune_orphans"}
 
@@ -32,11 +34,12 @@ def test_pruned_and_pushed(spark, sf_dir):
 
 
 def test_flow_joins_on_keys(spark, sf_dir):
-    """Passages meet the fields of a check set on a key; only valid_on holds them against one row."""
+    """Passages meet the fields of a check set on a key, and days on spans: nothing is held against all rows."""
     from complyspark.plans import flow
 
     docs, chunks = flow._forms(spark, sf_dir)
-    fields = flow.read_fields(docs, flow.CHECK).persist()
-    text = plan(flow.passages(fields, chunks, flow.CHECK))
-    assert "CartesianProduct" not in text and text.count("BroadcastNestedLoopJoin") <= 4
-    assert "LocalLimit 1" in text or "GlobalLimit 1" in text or "CollectLimit 1" in text or "Limit 1" in text
+    fields = spark.createDataFrame([(1, "wage", "Tiền lương", "5")], "doc_id long, field_key string, label string, value string")
+    near = flow.nearness(fields, chunks, flow.CHECK)
+    days = docs.select(F.to_date(F.lit("2024-01-01")).alias("day"))
+    text = plan(R.valid_top_k(days, near.drop("text_key"), 3, by=("field_key",)))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
