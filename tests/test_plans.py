@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from complyspark.operators import retrieval as R
 from complyspark.plans import registry
 
-PYTHON_QUERIES = {"restore_spelling", "grounded_merge", "respell_guard", "dossier_flow", "dossier_checks", "indexed_topk"}
+PYTHON_QUERIES = {"restore_spelling", "grounded_merge", "respell_guard", "dossier_flow", "dossier_checks", "indexed_topk", "logged_runs"}
 # Queries that hold all rows against one row: a maximum, a count, a day asked for.
 ONE_ROW = {"active_jobs", "in_force_interval_join", "relaxed_fallback", "prune_orphans"}
 
