@@ -71,7 +71,7 @@ def follow_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 LATEST = "pid long, ts timestamp, stage string"
-LATEST_BUCKETS = 64
+LATEST_BUCKETS = 16
 
 
 def _latest(spark: SparkSession, path: str) -> KeyedStore:

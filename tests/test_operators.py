@@ -339,5 +339,5 @@ def test_flow(spark):
     checks, report = flow.check_dossiers(docs, chunks, flow.CHECK)
     got = {(r.doc_id, r.field_key): (r.verdict, r.mandatory) for r in checks.collect()}
     assert got[1, "people"] == ("PASS", False) and got[1, "place"] == ("DECLARATION", False)
-    assert {k for k in got if k[0] == 2 and got[k] == ("NEEDS_SUPPLEMENT", True)} == {(2, "day"), (2, "wage"), (2, "people")}
+    assert {k for k in got if k[0] == 2 and got[k] == ("NEEDS_SUPPLEMENT", True)} == {(2, "day"), (2, "wage"), (2, "people"), (2, "one_of_wage"), (2, "one_of_people")}
     assert {r.doc_id: r.overall_verdict for r in report.collect()}[2] == "NEEDS_SUPPLEMENT"
