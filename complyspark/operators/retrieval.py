@@ -119,16 +119,23 @@ def valid_top_k(days: DataFrame, passages: DataFrame, k: int, on: tuple[str, ...
 
 
 SPLIT = 16
-"""Parts of a scope's chunks: a scope that holds most of them is as many tasks."""
+"""Parts of a scope's chunks where the caller names no other number: a scope that holds most of them is as many tasks."""
+PART_ROWS = 100_000
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, on: str, k: int) -> DataFrame:
+def parts_for(chunks: DataFrame, on: str, rows: int = PART_ROWS) -> int:
+    """Parts that leave about `rows` chunks of the largest scope in each: one count by scope, to be had when a store is loaded."""
+    most = chunks.groupBy(on).count().agg(F.max("count")).first()[0] or 0
+    return max(1, -(-most // rows))
+
+
+def top_k(queries: DataFrame, chunks: DataFrame, on: str, k: int, split: int = SPLIT) -> DataFrame:
     """The k nearest chunks of each query among those with the same `on`, ties by id.
 
-    `queries`: query_id, vec, `on`; `chunks`: chunk_id, embedding, `on`. Chunks of a scope are dealt to SPLIT parts, every
+    `queries`: query_id, vec, `on`; `chunks`: chunk_id, embedding, `on`. Chunks of a scope are dealt to `split` parts, every
     query meets each part, keeps its k best there, and these are merged."""
-    parts = chunks.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(SPLIT)).cast("int"))
-    asked = queries.withColumn("part", F.explode(F.array([F.lit(i) for i in range(SPLIT)])))
+    parts = chunks.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(split)).cast("int"))
+    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
     pairs = parts.join(asked, [on, "part"]).select("query_id", "chunk_id", F.round(squared_distance(F.col("vec"), F.col("embedding")), 6).alias("distance"))
     # rank <= k under a row_number: Spark keeps at most k rows a query and task before the shuffle
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")

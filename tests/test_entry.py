@@ -39,6 +39,8 @@ def test_rest_without_subpackage(tmp_path, core, without):
     assert asked(where)[0] == core
     said = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=where, capture_output=True, text=True)
     assert said.returncode == 0, said.stdout + said.stderr
+    said = subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_functions.py", "tests/test_queries.py::test_entry"], cwd=where, capture_output=True, text=True)
+    assert said.returncode == 0, said.stdout + said.stderr
 
 
 @pytest.mark.parametrize("module", ["xxhash", "tokenizers"])

@@ -264,6 +264,14 @@ def test_vector_index_of_odd_vectors(spark, tmp_path):
         vector_index.centres_of(v, 0)
 
 
+def test_parts_follow_the_largest_scope(spark):
+    v = spark.range(1000).select(F.col("id").alias("chunk_id"), F.array(F.col("id").cast("double")).alias("embedding"), F.when(F.col("id") < 900, "a").otherwise("b").alias("label"))
+    assert R.parts_for(v, "label", 100) == 9 and R.parts_for(v.limit(0), "label") == 1
+    q = spark.createDataFrame([(1, [0.2], "a"), (2, [950.0], "b")], "query_id long, vec array<double>, label string")
+    best = lambda n: sorted((r.query_id, r.chunk_id, r["rank"]) for r in R.top_k(q, v, "label", 2, n).collect())
+    assert best(9) == best(1) == [(1, 0, 1), (1, 1, 2), (2, 949, 2), (2, 950, 1)]
+
+
 def test_hash_embedder_is_used_alike():
     assert np.allclose(models.HashEmbedder().embed(["a b"]), models.HashEmbedder().embed(["b a"]))
     assert Q.QUERIES["valid_topk_by_day"] is not None

@@ -10,7 +10,7 @@ from complyspark.plans import registry
 
 PYTHON_QUERIES = {"restore_spelling", "grounded_merge", "respell_guard", "dossier_flow", "dossier_checks", "indexed_topk", "logged_runs"}
 # Queries that hold all rows against one row: a maximum, a count, a day asked for.
-ONE_ROW = {"active_jobs", "in_force_interval_join", "relaxed_fallback", "prune_orphans"}
+ONE_ROW = {"active_jobs", "in_force_interval_join", "relaxed_fallback", "prune_orphans", "guaranteed_topk_cap", "field_ranks", "coverage_at_k"}
 
 
 def plan(df):
@@ -34,12 +34,14 @@ def test_pruned_and_pushed(spark, sf_dir):
 
 
 def test_flow_joins_on_keys(spark, sf_dir):
-    """Passages meet the fields of a check set on a key, and days on spans: nothing is held against all rows."""
+    """Passages meet the one row of all fields' vectors, days meet passages on spans: nothing is held against all rows."""
     from complyspark.plans import flow
 
     docs, chunks = flow._forms(spark, sf_dir)
     fields = spark.createDataFrame([(1, "wage", "Tiền lương", "5")], "doc_id long, field_key string, label string, value string")
-    near = flow.nearness(fields, chunks, flow.CHECK)
+    near = plan(flow.nearness(fields, chunks, flow.CHECK))
+    assert near.count("BroadcastNestedLoopJoin") <= 1 and "collect_list" in near and "CartesianProduct" not in near
     days = docs.select(F.to_date(F.lit("2024-01-01")).alias("day"))
-    text = plan(R.valid_top_k(days, near.drop("text_key"), 3, by=("field_key",)))
+    table = spark.createDataFrame([], "field_key string, chunk_id string, distance double, effective_from date, effective_to date")
+    text = plan(R.valid_top_k(days, table, 3, by=("field_key",)))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
