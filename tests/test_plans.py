@@ -41,7 +41,8 @@ def test_flow_joins_on_keys(spark, sf_dir):
     fields = spark.createDataFrame([(1, "wage", "Tiền lương", "5")], "doc_id long, field_key string, label string, value string")
     near = plan(flow.nearness(fields, chunks, flow.CHECK))
     assert near.count("BroadcastNestedLoopJoin") <= 1 and "collect_list" in near and "CartesianProduct" not in near
-    days = docs.select(F.to_date(F.lit("2024-01-01")).alias("day"))
-    table = spark.createDataFrame([], "field_key string, chunk_id string, distance double, effective_from date, effective_to date")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int"))
+    days = spark.range(50).select(day.alias("day"))
+    table = spark.range(500).select((F.col("id") % 3).cast("string").alias("field_key"), F.col("id").cast("string").alias("chunk_id"), F.rand(1).alias("distance"), day.alias("effective_from"), F.lit(None).cast("date").alias("effective_to"))
     text = plan(R.valid_top_k(days, table, 3, by=("field_key",)))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
