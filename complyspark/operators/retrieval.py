@@ -101,12 +101,12 @@ def valid_top_k(days: DataFrame, passages: DataFrame, k: int, on: tuple[str, ...
     choice grows with the passages and with the days, never with their product."""
     last = F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))
     anyway = F.array(F.struct(F.lit(ANY_DAY).alias("level"), F.lit(0).cast("long").alias("span")))
-    spread = passages.select(*on, *by, "chunk_id", "distance", F.explode(F.concat(anyway, spans_of(F.col("effective_from"), last))).alias("s")).select(*on, *by, "chunk_id", "distance", "s.*")
+    spread = passages.select(*on, *by, "chunk_id", "distance", F.explode(F.concat(anyway, spans_of(F.col("effective_from"), last))).alias("_s")).select(*on, *by, "chunk_id", "distance", "_s.*")
     near = Window.partitionBy(*on, *by, "level", "span").orderBy("distance", "chunk_id")
     kept = spread.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k).drop("_r")
     key = [*on, "level", "span"]
     asked = days.select(*on, "day").distinct()
-    strict = asked.select(*on, "day", F.explode(spans_at(F.col("day"))).alias("s")).select(*on, "day", "s.*").join(kept, key)
+    strict = asked.select(*on, "day", F.explode(spans_at(F.col("day"))).alias("_s")).select(*on, "day", "_s.*").join(kept, key)
     strict = strict.withColumn("_day", F.coalesce("day", F.lit(FIRST_DAY).cast("date"))).withColumn("_known", F.col("day").isNotNull())
     best = Window.partitionBy(*on, *by, "_known", "_day").orderBy("distance", "chunk_id")
     strict = strict.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("in_force", F.lit(True))
