@@ -112,3 +112,55 @@ def test_sketches_rule_out_no_near_pair():
                 assert near_copies.may_be_near(*counts).all()
     far = [np.bincount((rng.integers(0, 2**63, 600) & 255), minlength=256)[None] for _ in range(2)]
     assert not near_copies.may_be_near(*far).any()
+
+
+def prints_of(spark, sets):
+    rows = [(k, len(c), near_copies.simhash(c)) for k, c in enumerate(sets)]
+    return common.cut(spark.createDataFrame(rows, "sid long, n int, fp binary"))
+
+
+def test_simhash_tables_tie_what_is_near(spark):
+    """The tables alone, without the exact search behind them: at least 0.9 of the near pairs meet in groups, and a fingerprint's bits are majorities."""
+    texts = sorted({t for _, t in corpus() if t and len(t.split()) > 9})
+    sets = list(near_copies.shingle_sets(pa.array(texts)))
+    one = sets[0]
+    bits = np.array([[(int(common.mix(np.array([c ^ s]))[0]) >> k) & 1 for s in near_copies.SALTS for k in range(64)] for c in one])
+    assert np.unpackbits(np.frombuffer(near_copies.simhash(one), np.uint8), bitorder="little").tolist() == (2 * bits.sum(0) > len(one)).astype(int).tolist()
+    assert len({tuple(x) for x in np.sort(near_copies.TABLES, 1).tolist()}) == len(near_copies.TABLES)
+    pairs = near_copies.alike(prints_of(spark, sets)).collect()
+    exact = [shingles(t) for t in texts]
+    near = lambda a, b: 5 * len(exact[a] & exact[b]) >= 4 * len(exact[a] | exact[b])
+    group = list(range(len(texts)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for p in pairs:
+        assert p.d <= near_copies.DISTANCE
+        if near(p.src, p.dst):
+            group[max(find(p.src), find(p.dst))] = min(find(p.src), find(p.dst))
+    want = [(a, b) for b in range(len(texts)) for a in range(b) if near(a, b)]
+    assert len(want) > 200 and sum(find(a) == find(b) for a, b in want) >= 0.9 * len(want)
+
+
+def test_a_large_group_is_not_compared_by_all_pairs(make_docs, monkeypatch):
+    """Copies of one text that are near to it more than to each other: pairs that remain grow with the group, not with its square."""
+    rng = np.random.default_rng(4)
+    base = words(12, 150)
+    rows = [(0, " ".join(base))]
+    for k in range(1, 401):
+        copy = list(base)
+        for at in rng.choice(140, 2 + k % 2, replace=False):
+            copy[at + 5] = f"new{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    seen = []
+    real = near_copies._possible
+    monkeypatch.setattr(near_copies, "_possible", lambda pairs, sets: (seen.append(pairs.count()), real(pairs, sets))[1])
+    got = near_copies.groups(make_docs(rows)).collect()
+    least = {}
+    for r in got:
+        least[r.comp] = min(r._id, least.get(r.comp, r._id))
+    assert {(r._id, least[r.comp]) for r in got} == brute(rows)
+    assert sum(seen) <= 10 * len(rows), seen
