@@ -164,3 +164,28 @@ def test_a_large_group_is_not_compared_by_all_pairs(make_docs, monkeypatch):
         least[r.comp] = min(r._id, least.get(r.comp, r._id))
     assert {(r._id, least[r.comp]) for r in got} == brute(rows)
     assert sum(seen) <= 10 * len(rows), seen
+
+
+def test_comparing_moves_the_sets_of_pairs_alone(spark, make_docs, monkeypatch):
+    """Sets lie in buckets: a round of comparisons moves its pairs and one set of each, never the table of all sets; tables go at the end."""
+    monkeypatch.setattr(near_copies, "PARTS", 2)
+    moved, real = [], near_copies._in_rounds
+
+    def spied(spark, met):
+        moved.extend(met(k)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for k in range(2))
+        return real(spark, met)
+
+    monkeypatch.setattr(near_copies, "_in_rounds", spied)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corpus()[::3]
+        got = near_copies.groups(make_docs(rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    least = {}
+    for r in got:
+        least[r.comp] = min(r._id, least.get(r.comp, r._id))
+    assert {(r._id, least[r.comp]) for r in got} == brute(rows)
+    assert len(moved) == 8 and max(moved) == 2, moved
+    assert not [t for t in spark.catalog.listTables("default") if t.name.startswith("cut_")]
