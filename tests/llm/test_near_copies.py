@@ -189,3 +189,33 @@ def test_comparing_moves_the_sets_of_pairs_alone(spark, make_docs, monkeypatch):
     assert {(r._id, least[r.comp]) for r in got} == brute(rows)
     assert len(moved) == 8 and max(moved) == 2, moved
     assert not [t for t in spark.catalog.listTables("default") if t.name.startswith("cut_")]
+
+
+def test_small_tables_take_few_rounds(spark, make_docs, monkeypatch):
+    """The driver keeps the plans of all queries: a small table has one round of each kind and a bounded number of queries, and all
+    rounds give the same groups."""
+    rows, tables, real = corpus()[::3], [], near_copies.cut_parts
+
+    def spied(session, parts, *by):
+        tables.append(0)
+
+        def counted():
+            for part in parts:
+                tables[-1] += 1
+                yield part
+
+        return real(session, counted(), *by)
+
+    monkeypatch.setattr(near_copies, "cut_parts", spied)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().last().executionId()
+    few = {(r._id, r.comp) for r in near_copies.groups(make_docs(rows)).collect()}
+    assert tables == [1] * 7 and store.executionsList().last().executionId() - before < 80
+    tables.clear()
+    monkeypatch.setattr(near_copies, "FULL", 1)
+    assert {(r._id, r.comp) for r in near_copies.groups(make_docs(rows)).collect()} == few
+    assert sorted(tables) == [near_copies.PARTS] * 6 + [near_copies.READS]
+
+
+def test_rounds_follow_the_size():
+    assert [near_copies.rounds(near_copies.PARTS, n) for n in (0, 1, near_copies.FULL // 4, near_copies.FULL // 4 + 1, near_copies.FULL, 99 * near_copies.FULL)] == [1, 1, 1, 2, 4, 4]
