@@ -7,6 +7,8 @@ the scope is the join key, hence no cross product of the whole corpus."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +92,7 @@ def spans_at(day: Column) -> Column:
     return F.when(day.isNull(), F.array(F.struct(F.lit(ANY_DAY).alias("level"), F.lit(0).cast("long").alias("span")))).otherwise(of)
 
 
-def valid_top_k(days: DataFrame, passages: DataFrame, k: int, on: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+def valid_top_k(days: DataFrame, passages: DataFrame, k: int, on: tuple[str, ...] = (), by: tuple[str, ...] = (), cut: Callable[[DataFrame], DataFrame] = lambda kept: kept) -> DataFrame:
     """`on, by, day, chunk_id, distance, rank, in_force`: of each day and each `by` (a field, say) the `k` nearest passages in force.
 
     `days`: distinct (`on`, `day`), null: all passages; `passages`: `on`, `by`, chunk_id, distance, effective_from, effective_to (null: open).
@@ -98,12 +100,13 @@ def valid_top_k(days: DataFrame, passages: DataFrame, k: int, on: tuple[str, ...
 
     Each passage stands in the few spans of days that make up its validity, and each span keeps its own k nearest: a
     day's k nearest are among those of the spans it lies in, one a level. So what meets before the
-    choice grows with the passages and with the days, never with their product."""
+    choice grows with the passages and with the days, never with their product. What the spans keep is read several times:
+    `cut` may write it once."""
     last = F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))
     anyway = F.array(F.struct(F.lit(ANY_DAY).alias("level"), F.lit(0).cast("long").alias("span")))
     spread = passages.select(*on, *by, "chunk_id", "distance", F.explode(F.concat(anyway, spans_of(F.col("effective_from"), last))).alias("_s")).select(*on, *by, "chunk_id", "distance", "_s.*")
     near = Window.partitionBy(*on, *by, "level", "span").orderBy("distance", "chunk_id")
-    kept = spread.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k).drop("_r")
+    kept = cut(spread.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k).drop("_r"))
     key = [*on, "level", "span"]
     asked = days.select(*on, "day").distinct()
     strict = asked.select(*on, "day", F.explode(spans_at(F.col("day"))).alias("_s")).select(*on, "day", "_s.*").join(kept, key)

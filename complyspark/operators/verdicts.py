@@ -148,12 +148,12 @@ def selected_but_empty(checks: DataFrame, fields: DataFrame) -> DataFrame:
     return checks.select("doc_id", "field_key", "verdict").unionByName(new)
 
 
-def overall(checks: DataFrame, fields: DataFrame) -> DataFrame:
+def overall(checks: DataFrame, fields: DataFrame, *more: Column) -> DataFrame:
     """`doc_id, overall_verdict, asked`: the worst verdict of a dossier, where declarations don't count. A dossier
     without a regulated field that has a value was never held against a regulation: it needs supplement and
-    carries the flag NO_REGULATED_FIELDS."""
+    carries the flag NO_REGULATED_FIELDS. `more`: aggregates of its checks, in columns behind these."""
     asked = fields.groupBy("doc_id").agg((F.count_if((F.col("check_type") == "regulated") & has_value(F.col("value"))) > 0).alias("asked"))
-    worst = checks.groupBy("doc_id").agg(F.bool_or(F.col("verdict") == "FAIL").alias("fail"), F.bool_or(F.col("verdict") == "NEEDS_SUPPLEMENT").alias("needs"))
+    worst = checks.groupBy("doc_id").agg(F.bool_or(F.col("verdict") == "FAIL").alias("fail"), F.bool_or(F.col("verdict") == "NEEDS_SUPPLEMENT").alias("needs"), *more)
     j = asked.join(worst, "doc_id", "left")
     verdict = F.when(F.coalesce("fail", F.lit(False)), "FAIL").when(F.coalesce("needs", F.lit(False)) | ~F.col("asked"), "NEEDS_SUPPLEMENT").otherwise("PASS")
-    return j.select("doc_id", verdict.alias("overall_verdict"), "asked", F.when(~F.col("asked"), "NO_REGULATED_FIELDS").alias("flag"))
+    return j.select("doc_id", verdict.alias("overall_verdict"), "asked", F.when(~F.col("asked"), "NO_REGULATED_FIELDS").alias("flag"), *worst.columns[3:])

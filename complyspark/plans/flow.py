@@ -83,11 +83,12 @@ def check_dossiers(docs: DataFrame, chunks: DataFrame, check: CheckSet) -> tuple
 
 
 def _forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Forms and passages made from orders and parts."""
-    o = table(spark, sf_dir, "orders")
+    """Forms and passages made from orders and parts; small files are few splits, and reading forms is the work."""
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    o = table(spark, sf_dir, "orders").repartition(tasks)
     k = F.col("o_orderkey")
     text = F.concat(F.lit("HỢP ĐỒNG\n1. Ngày ký: "), F.when(k % 30 == 0, "chưa rõ").otherwise(F.date_format("o_orderdate", "01/MM/yyyy")), F.lit("\n2. Tien luong: "), F.floor("o_totalprice").cast("long"), F.lit(" USD/tháng\n- Số lượng: "), k % 1000, F.lit(" người\n- Địa điểm làm việc: Kho "), F.col("o_orderpriority"), F.lit("\n\nHết"))
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").repartition(tasks)
     start = F.date_add(F.lit("1992-01-01").cast("date"), (F.col("p_partkey") % 2000).cast("int"))
     chunks = p.select("p_size", F.concat(F.lit("c"), "p_partkey").alias("chunk_id"), F.concat_ws(" ", F.lit("Tiền lương"), "p_name", "p_type").alias("text"), start.alias("effective_from"), F.when(F.col("p_partkey") % 3 == 0, F.date_add(start, 900)).alias("effective_to"))
     scope = [F.when(F.col("p_size") % 4 == 0, "JP").otherwise("VN").alias("jurisdiction"), F.when(F.col("p_size") % 5 == 0, "memo").otherwise("law").alias("doc_type"), (F.col("p_size") % 3).cast("string").alias("reg_set")]
