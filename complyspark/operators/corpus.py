@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, content_hash
+from ..sources.cuts import written
 
 STATUSES = ("missing_file", "hash_mismatch", "unapproved", "unregistered", "ok")
 
@@ -110,24 +111,73 @@ def add_to_set(registry: DataFrame, new: DataFrame) -> DataFrame:
     """New documents whose content the set doesn't hold yet, each content once, under free names in the order of `ord`: a stem that is
     taken gets the first number from 2 on that makes it free, and names given before count as taken.
 
-    Names can only meet where stems differ in such numbers at their end, so each family of these is named by one fold over
-    its uploads (as many as there are files of one name)."""
+    A stem gives itself or itself with a number, so stems are named apart, each upload by its place among those of its stem, unless one stem
+    is what another one gives: such linked stems are one fold over their uploads. Of the names taken just those that a stem
+    would give are looked at, and just as many free numbers are kept as its uploads can need.
+
+    Rows without a stem get no name."""
     w = Window.partitionBy("reg_set", "sha256").orderBy("ord")
     fresh = new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").join(registry.select("reg_set", "sha256"), ["reg_set", "sha256"], "left_anti")
-    family = lambda c: F.regexp_replace(c, r"(_\d+)+$", "")
-    asked = fresh.groupBy(family("stem").alias("_f")).agg(F.array_sort(F.collect_list(F.struct("ord", "stem"))).alias("_asked"))
-    taken = registry.groupBy(family("file").alias("_f")).agg(F.collect_set("file").alias("_taken"))
-    j = asked.join(taken, "_f", "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<string>")))
-    item = "array<struct<ord:bigint,file:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        tried = F.concat(F.array(x["stem"]), F.transform(F.sequence(F.lit(2), F.size(acc["taken"]) + 2), lambda n: F.concat(x["stem"], F.lit("_"), n)))
-        free = F.filter(tried, lambda c: ~F.array_contains(acc["taken"], c))[0]
-        return F.struct(F.concat(acc["taken"], F.array(free)).alias("taken"), F.concat(acc["named"], F.array(F.struct(x["ord"].cast("bigint").alias("ord"), free.alias("file")))).alias("named"))
-
-    named = F.aggregate("_asked", F.struct(F.col("_taken").alias("taken"), F.array().cast(item).alias("named")), step, lambda acc: acc["named"])
-    names = j.select(F.explode(named).alias("x")).select("x.ord", "x.file")
-    return fresh.join(names, "ord").select(*[c for c in fresh.columns if c != "file"], "file")
+    fresh = written(fresh)
+    numbered = r"(?s)\A(.*)_([2-9]|[1-9]\d{1,8})\z"  # what a stem gives from 2 on
+    base = lambda c: F.when(F.rlike(c, F.lit(numbered)), F.regexp_extract(c, numbered, 1))
+    number = lambda c: F.nullif(F.regexp_extract(c, numbered, 2), F.lit("")).cast("int")
+    stems = fresh.filter("stem is not null").groupBy("stem").agg(F.count("*").alias("_asks"))
+
+    # The family of a stem: from it upwards as long as stems are asked for.
+    above = F.filter(F.aggregate(F.sequence(F.lit(1), F.size(F.split("stem", "_"))), F.array("stem"), lambda acc, _: F.concat(acc, F.array(base(F.element_at(acc, -1))))), lambda x: x.isNotNull())
+    chain = stems.select("stem", F.posexplode(above).alias("_up", "_above")).join(stems.select(F.col("stem").alias("_above")), "_above")
+    reach = chain.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("_up", "_above"))).alias("_chain"))
+    root = F.element_at(F.filter("_chain", lambda x, i: x["_up"] == i), -1)["_above"]
+    family = reach.select("stem", root.alias("_f")).join(stems, "stem")
+    size = family.groupBy("_f").agg(F.count("*").alias("_stems"), F.sum("_asks").alias("_most"))
+    family = written(family.join(size, "_f"))
+
+    # The names each stem may give, in order: itself (number 1) and free numbers, from the gaps between numbers that are taken.
+    names = registry.select("file").distinct()
+    taken = names.select(F.explode(F.array(F.struct(F.col("file").alias("stem"), F.lit(1).alias("_k")), F.struct(base(F.col("file")).alias("stem"), number(F.col("file")).alias("_k")))).alias("_t")).select("_t.*")
+    held = family.join(taken, "stem").select("stem", "_most", "_k").unionByName(family.select("stem", "_most", F.lit(0).alias("_k")))
+    by_number = Window.partitionBy("stem").orderBy("_k")
+    gaps = held.withColumn("_next", F.lead("_k").over(by_number)).withColumn("_before", F.col("_k") + 1 - F.row_number().over(by_number)).filter(F.col("_before") < F.col("_most"))
+    last = F.least(F.coalesce(F.col("_next") - 1, F.lit(2**31 - 2)), F.col("_k") + F.col("_most") - F.col("_before")).cast("int")
+    free = gaps.filter(F.coalesce(F.col("_next") > F.col("_k") + 1, F.lit(True))).select("stem", "_before", F.posexplode(F.sequence(F.col("_k") + 1, last)).alias("_i", "_k"))
+    free = free.select("stem", (F.col("_before") + F.col("_i") + 1).alias("_place"), F.when(F.col("_k") == 1, F.col("stem")).otherwise(F.concat_ws("_", "stem", "_k")).alias("_file"))
+
+    own = fresh.withColumn("_row", F.struct(*[F.col(c) for c in fresh.columns]))
+    columns = [F.col(f"_row.{c}").alias(c) for c in fresh.columns if c != "file"]
+    alone = family.filter("_stems = 1").select("stem")
+    place = F.row_number().over(Window.partitionBy("stem").orderBy("ord"))
+    apart = own.join(alone, "stem").withColumn("_place", place).join(free, ["stem", "_place"]).select(*columns, F.col("_file").alias("file"))
+    nameless = own.filter("stem is null").select(*columns, F.lit(None).cast("string").alias("file"))
+
+    given = family.filter("_stems > 1").select("_f", "stem").join(free, "stem").groupBy("_f", "stem").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_file"))), lambda x: x["_file"]).alias("_names"))
+    given = given.groupBy("_f").agg(F.array_sort(F.collect_list(F.struct("stem", "_names"))).alias("_given"))
+    uploads = own.join(family.filter("_stems > 1").select("_f", "stem"), "stem").groupBy("_f").agg(F.array_sort(F.collect_list(F.struct("ord", "stem", "_row")), lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).when(a["stem"] < b["stem"], -1).otherwise(1)).alias("_asked"))
+    at = F.transform("_asked", lambda x: F.array_position(F.transform("_given", lambda g: g["stem"]), x["stem"]).cast("int"))
+    j = uploads.join(given, "_f").withColumn("_at", at).withColumn("_shared", F.transform("_given", lambda g: g["stem"]))
+    start = F.struct(F.transform("_given", lambda g: F.lit(1)).alias("next"), F.array().cast("array<string>").alias("gone"), F.array().cast("array<string>").alias("files"))
+
+    def step(acc: Column, k: Column) -> Column:
+        """The first name of the stem from its next place on that no other stem of the family was given; those that others could be given are kept in `gone`."""
+        before = F.element_at(acc["next"], k)
+        tried = F.slice(F.element_at(F.col("_given"), k)["_names"], before, F.size(acc["gone"]) + 1)
+        skipped = F.aggregate(tried, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, x: F.struct((a["n"] + F.when(a["go"] & F.array_contains(acc["gone"], x), 1).otherwise(0)).alias("n"), (a["go"] & F.array_contains(acc["gone"], x)).alias("go")), lambda a: a["n"])
+        one = F.array(F.struct(skipped.alias("s"), F.get(tried, skipped).alias("file")))
+        return F.get(
+            F.transform(
+                one,
+                lambda o: F.struct(
+                    F.transform(acc["next"], lambda n, i: F.when(i == k - 1, n + o["s"] + 1).otherwise(n)).alias("next"),
+                    F.when(F.array_contains("_shared", o["file"]), F.concat(acc["gone"], F.array(o["file"]))).otherwise(acc["gone"]).alias("gone"),
+                    F.concat(acc["files"], F.array(o["file"])).alias("files"),
+                ),
+            ),
+            0,
+        )
+
+    folded = j.select("_asked", F.aggregate("_at", start, step, lambda acc: acc["files"]).alias("_files"))
+    linked = folded.select(F.explode(F.arrays_zip("_asked", "_files")).alias("x")).select(F.col("x._asked._row").alias("_row"), F.col("x._files").alias("file")).select(*columns, "file")
+    return apart.unionByName(linked).unionByName(nameless)
 
 
 def delete_set(registry: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:

@@ -341,3 +341,25 @@ def test_flow(spark):
     assert got[1, "people"] == ("PASS", False) and got[1, "place"] == ("DECLARATION", False)
     assert {k for k in got if k[0] == 2 and got[k] == ("NEEDS_SUPPLEMENT", True)} == {(2, "day"), (2, "wage"), (2, "people"), (2, "one_of_wage"), (2, "one_of_people")}
     assert {r.doc_id: r.overall_verdict for r in report.collect()}[2] == "NEEDS_SUPPLEMENT"
+
+
+def test_free_names_against_plain_python(spark):
+    """Names of linked stems, gaps between taken numbers, and a set that holds very many names of one beginning."""
+    import random
+
+    rnd = random.Random(3)
+    taken = {"a", "a_3", "a_2_2", "b_2", "c", "c_2_2_3", "d_02", "e_1", "_2"} | {f"doc_{i}" for i in range(60_000)}
+    stems = ["a", "a_2", "a_2_2", "a_2_2_2", "b", "b_2", "b_3", "c_2_2", "c", "d_0", "d", "e", "doc", "doc_7", "doc_9_2", "", "_2", "f_1", "f"]
+    asked = [(k, stem, f"h{k}") for k, stem in enumerate(rnd.choice(stems) for _ in range(300))]
+    used, want = set(taken), {}
+    for k, stem, _ in asked:
+        name, n = stem, 2
+        while name in used:
+            name, n = f"{stem}_{n}", n + 1
+        used.add(name)
+        want[k] = name
+    registry = spark.createDataFrame([("r", f"x{i}", f) for i, f in enumerate(sorted(taken))], "reg_set string, sha256 string, file string")
+    new = spark.createDataFrame([("s", h, stem, k) for k, stem, h in asked], "reg_set string, sha256 string, stem string, ord long")
+    out = corpus.add_to_set(registry, new)
+    assert out.columns == ["reg_set", "sha256", "stem", "ord", "file"]
+    assert {r.ord: r.file for r in out.collect()} == want
