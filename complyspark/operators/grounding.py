@@ -125,11 +125,32 @@ def display_value(value: Column, amount: Column, currency: Column, period: Colum
     return F.coalesce(F.nullif(raw, F.lit("")), F.when(amount.isNotNull(), money), value, F.lit("—"))
 
 
+def _with_words(quotes: DataFrame) -> DataFrame:
+    """Quotes folded (`low_quote`) and their words, once a quote."""
+    low = quotes.withColumn("low_quote", F.lower(fold_diacritics(F.col("quote"))))
+    return low.withColumn("words", F.filter(F.split("low_quote", "[^a-z0-9]+"), lambda w: F.length(w) >= 2))
+
+
 def best_line(lines: DataFrame, quotes: DataFrame, least: int = 2) -> DataFrame:
     """The line of each document that holds most words of a quote (all of it: one more)."""
-    words = F.filter(F.split(F.lower(fold_diacritics(F.col("quote"))), "[^a-z0-9]+"), lambda w: F.length(w) >= 2)
-    low = F.lower(fold_diacritics(F.col("text")))
-    hits = F.size(F.filter(F.col("words"), lambda w: F.contains(low, w)))
-    score = F.when(F.contains(low, F.lower(fold_diacritics(F.col("quote")))), F.size("words") + 1).otherwise(hits)
-    j = lines.join(quotes.withColumn("words", words), "doc_id").withColumn("score", score).filter(F.col("score") >= least)
-    return j.groupBy("doc_id", "quote").agg(F.max_by("line_no", F.struct("score", -F.col("line_no"))).alias("line_no"), F.max("score").alias("score"))
+    return _best(lines.join(_with_words(quotes), "doc_id"), least)
+
+
+def best_own_line(docs: DataFrame, quote: Column, least: int = 2) -> DataFrame:
+    """`best_line` for a quote that is drawn from each document (`doc_id`, `text`): lines and quote are in one row, so lines are not
+    joined to quotes. Ids that several documents have are: each of their quotes meets the lines of all of them."""
+    own = docs.select("doc_id", F.col("text").alias("_text"), quote.alias("quote"))
+    lines = lambda d, *more: d.select("doc_id", *more, F.posexplode(F.split("_text", "\n")).alias("line_no", "text"))
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    apart = lines(_with_words(own.join(repeated, "doc_id", "left_anti")), "quote", "low_quote", "words")
+    shared = own.join(repeated, "doc_id", "left_semi")
+    return _best(apart, least).unionByName(best_line(lines(shared), shared.select("doc_id", "quote"), least))
+
+
+def _best(j: DataFrame, least: int) -> DataFrame:
+    """The best line of each quote. A line is folded once, not for each word, and scored once: a filter on the score would repeat it."""
+    hits = lambda t: F.size(F.filter(F.col("words"), lambda w: F.contains(t, w)))
+    score = F.transform(F.array(F.lower(fold_diacritics(F.col("text")))), lambda t: F.when(F.contains(t, F.col("low_quote")), F.size("words") + 1).otherwise(hits(t)))
+    placed = F.get(F.transform(score, lambda n: F.when(n >= least, F.struct(n.alias("score"), (-F.col("line_no")).alias("place")))), 0)
+    best = j.groupBy("doc_id", "quote").agg(F.max(placed).alias("best")).filter("best is not null")
+    return best.select("doc_id", "quote", (-F.col("best.place")).alias("line_no"), F.col("best.score").alias("score"))

@@ -297,3 +297,22 @@ def test_parts_follow_the_largest_scope(spark):
 def test_hash_embedder_is_used_alike():
     assert np.allclose(models.HashEmbedder().embed(["a b"]), models.HashEmbedder().embed(["b a"]))
     assert Q.QUERIES["valid_topk_by_day"] is not None
+
+
+# -- lines of evidence -----------------------------------------------------------------------------------
+
+
+def test_best_own_line(spark):
+    """As the join of lines and quotes, for repeated and null ids too, without a shuffle of lines."""
+    from complyspark.operators import grounding, pages
+
+    rows = [(1, "alpha beta gamma\nbeta gamma\nAlpha béta gamma delta"), (2, "one two\nthree four"), (2, "three four five\none two six\nthree four five"), (None, "x yy zz\nyy zz"), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    l = F.split("text", "\n")
+    quote = F.get(l, F.floor(F.size(l) / 2).cast("int"))
+    want = grounding.best_line(pages.lines(docs), docs.select("doc_id", quote.alias("quote")))
+    got = grounding.best_own_line(docs, quote)
+    key = lambda df: sorted((r.doc_id, r.quote, r.line_no, r.score) for r in df.collect() if r.doc_id is not None)
+    assert key(got) == key(want) and len(key(want)) == 3
+    text = plan(grounding.best_own_line(docs.filter("doc_id < 2"), quote))
+    assert not [x for x in text.splitlines() if "Exchange hashpartitioning" in x and "line_no" in x and "words" in x]
