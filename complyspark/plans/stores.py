@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import counters, frontier, retrieval
 from ..operators.memo import Memo
 from ..sources import runlog
-from ..sources.cuts import shared_folder
+from ..sources.cuts import freed, shared_folder, written
 from ..sources.store import KeyedStore
 from .audit import table
 
@@ -70,11 +71,27 @@ PAGE = 4
 
 
 def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of PAGE lines, read round by round, two pages a round, until a line begins with `the` or `der` after the first one that holds `que` or `und`."""
+    """Documents as pages of PAGE lines, read round by round, two pages a round, until a line begins with `the` or `der` after the first one that holds `que` or `und`.
+
+    Pages are filed in folders by index (pages 0 and 1, 2 to 5, 6 to 13 and so on), so a round opens just the folders of its pages."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     lines = rows.select("doc_id", F.floor(F.col("n") / PAGE).cast("int").alias("page_index"), (F.col("n") % PAGE).alias("line_no"), "text", F.lit(1.0).alias("conf"))
-    docs = lines.groupBy("doc_id").agg((F.max("page_index") + 1).cast("int").alias("n_pages"))
-    _, state = frontier.read_until(docs, lambda want: lines.join(want, ["doc_id", "page_index"], "left_semi"), _place(spark, "rounds"), ["que", "und"], ["the", "der"], step=2)
+    folder = lambda page: F.floor(F.log2(page / 2 + 1)).cast("int")
+    path = _place(spark, "pages")
+    lines.withColumn("folder", folder(F.col("page_index"))).sortWithinPartitions("folder", "page_index").write.partitionBy("folder").parquet(path)
+    filed = spark.read.schema(lines.withColumn("folder", F.lit(0)).schema).parquet(path)
+    docs = written(filed.groupBy("doc_id").agg((F.max("page_index") + 1).cast("int").alias("n_pages")))
+
+    def read(want: DataFrame) -> DataFrame:
+        low, high = want.agg(F.min("page_index"), F.max("page_index")).first()
+        if low is None:
+            return filed.limit(0)
+        own = filed.filter(F.col("folder").between(int(math.log2(low / 2 + 1)), int(math.log2(high / 2 + 1))) & F.col("page_index").between(low, high))
+        return own.join(want, ["doc_id", "page_index"], "left_semi")
+
+    _, state = frontier.read_until(docs, read, _place(spark, "rounds"), ["que", "und"], ["the", "der"], step=2)
+    filed.step_path = path
+    freed(filed)  # rounds hold what was read
     return state
 
 

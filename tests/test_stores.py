@@ -274,6 +274,19 @@ def test_rounds_of_reading(spark, tmp_path, step):
     assert again.count() == len(want_lines) and len(asked) == before  # a restart reads no page again
 
 
+def test_a_round_looks_at_its_own_lines(spark, tmp_path, monkeypatch):
+    """Anchors are looked for in a round's lines, not in those of the rounds before; the end reads all of them."""
+    n = 12
+    table = spark.createDataFrame([(0, n)], "doc_id long, n_pages int")
+    seen = []
+    monkeypatch.setattr(frontier, "_ended", lambda lines, *a, f=frontier._ended: (seen.append(len(lines.inputFiles())), f(lines, *a))[1])
+    read = lambda want: want.withColumn("line_no", F.lit(0)).withColumn("text", F.concat(F.lit("page "), "page_index")).withColumn("conf", F.lit(1.0))
+    lines, state = frontier.read_until(table, read, str(tmp_path / "r"), ["page3"], ["page9"])
+    assert len(seen) == 1 and state.first().pages_read == lines.count() == 10
+    lines, state = frontier.read_until(table, read, str(tmp_path / "q"), ["page3"], ["page"], None, 2)
+    assert (state.first().pages_read, state.first().stopped_early, lines.count()) == (6, True, 5)
+
+
 # -- calls --------------------------------------------------------------------------------------------------
 
 
